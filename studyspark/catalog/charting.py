@@ -51,15 +51,15 @@ def hist_by_group(spark, folder):
     return rounded(charts.histogram(table(spark, folder, "events"), "value", "event_type"))
 
 
-BOX = """q AS (SELECT {g}, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS q2,
+BOX = """bq AS (SELECT {g}, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS q2,
   quantile_cont({v}, 0.75) AS q3 FROM {src} GROUP BY 1),
-f AS (SELECT t.{g}, {v} AS v, q1, q2, q3, {v} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)
-  AS inside FROM {src} t JOIN q USING ({g}))"""
+bx AS (SELECT t.{g}, {v} AS v, q1, q2, q3, {v} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)
+  AS inside FROM {src} t JOIN bq USING ({g}))"""
 BOX_OUT = """ SELECT '{v}' AS feature, {g}, count(*) AS n, round(any_value(q1), 4) AS q1,
   round(any_value(q2), 4) AS median, round(any_value(q3), 4) AS q3,
   round(least(min(v) FILTER (inside), any_value(q1)), 4) AS whisker_low,
   round(greatest(max(v) FILTER (inside), any_value(q3)), 4) AS whisker_high,
-  count(*) FILTER (NOT inside) AS n_fliers FROM f GROUP BY {g}"""
+  count(*) FILTER (NOT inside) AS n_fliers FROM bx GROUP BY {g}"""
 
 
 @query("WITH " + (BOX + BOX_OUT).format(g="event_type", v="value", src="events"))
@@ -70,7 +70,7 @@ def box_stats(spark, folder):
 @query(
     "WITH "
     + BOX.format(g="event_type", v="value", src="events")
-    + """ SELECT 'value' AS feature, event_type, v AS value, count(*) AS n FROM f WHERE NOT inside
+    + """ SELECT 'value' AS feature, event_type, v AS value, count(*) AS n FROM bx WHERE NOT inside
 GROUP BY 2, 3"""
 )
 def box_fliers(spark, folder):

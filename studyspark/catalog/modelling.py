@@ -160,9 +160,9 @@ m AS (SELECT count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, std
   avg(y) AS my FROM s WHERE train),
 g AS (SELECT sum((a - ma) / sa * (a - ma) / sa) + 1 AS aa, sum((b - mb) / sb * (b - mb) / sb) + 1 AS bb,
   sum((a - ma) / sa * (b - mb) / sb) AS ab, sum((a - ma) / sa * (y - my)) AS ay,
-  sum((b - mb) / sb * (y - my)) AS by FROM s, m WHERE train),
-w AS (SELECT (bb * ay - ab * by) / (aa * bb - ab * ab) AS wa,
-  (aa * by - ab * ay) / (aa * bb - ab * ab) AS wb FROM g),
+  sum((b - mb) / sb * (y - my)) AS byy FROM s, m WHERE train),
+w AS (SELECT (bb * ay - ab * byy) / (aa * bb - ab * ab) AS wa,
+  (aa * byy - ab * ay) / (aa * bb - ab * ab) AS wb FROM g),
 p AS (SELECT event_id, y, my + wa * (a - ma) / sa + wb * (b - mb) / sb AS yp FROM s, m, w
   WHERE NOT train)"""
 

@@ -27,39 +27,40 @@ def rate(count: Column, duration: Column) -> Column:
 def time_list(text: Column) -> Column:
     """Sorted ARRAY<DOUBLE> of a bracketed list; NULL if any token is not a number."""
     body = F.regexp_replace(text, r"^[\[\]]+|[\[\]]+$", "")
-    tokens = F.filter(F.transform(F.split(body, ","), F.trim), lambda x: x != "")
+    tokens = F.filter(F.transform(F.split(body, ","), lambda x: F.trim(x)), lambda x: x != "")
     good = F.forall(tokens, lambda x: x.rlike(NUMERIC_TEXT))
-    return F.when(good, F.array_sort(F.transform(tokens, lambda x: x.try_cast("double"))))
+    return F.when(good, F.sort_array(F.transform(tokens, lambda x: x.try_cast("double"))))
 
 
-def gaps(stamps: Column) -> Column:
-    n = F.size(stamps)
-    later, earlier = F.slice(stamps, F.lit(2), n - 1), F.slice(stamps, F.lit(1), n - 1)
-    return F.zip_with(later, earlier, lambda a, b: a - b)
+def gap_sd(stamps: Column) -> Column:
+    """Population sd of the gaps of sorted stamps; NULL below three stamps.
 
+    `stamps` must be a plain column: it is read once per gap.
+    """
+    n = F.size(stamps)
+    mean = (F.get(stamps, n - 1) - F.get(stamps, F.lit(0))) / (n - 1)
 
-def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(total, F.size(values))
+    def add(acc: Column, i: Column) -> Column:
+        off = F.get(stamps, i) - F.get(stamps, i - 1) - acc["mean"]
+        return F.struct(acc["mean"].alias("mean"), (acc["ss"] + off * off).alias("ss"))
 
+    start = F.struct(mean.alias("mean"), F.lit(0.0).alias("ss"))
+    squares = F.aggregate(F.sequence(F.lit(1), n - 1), start, add)["ss"]
+    return F.when(n >= 3, F.round(F.sqrt(squares / (n - 1)), 6))
 
-def variability(text: Column) -> Column:
-    """Population sd of the gaps between sorted stamps; NULL below three stamps."""
-    stamps = time_list(text)
-    step = F.when(F.size(stamps) >= 3, gaps(stamps))
-    mean = _mean(step)
-    squares = F.transform(step, lambda x: (x - mean) * (x - mean))
-    return F.round(F.sqrt(_mean(squares)), 6)
 
+def half_rates(stamps: Column) -> Column:
+    """Rate over the later gaps minus rate over the earlier ones; NULL below six stamps.
 
-def fatigue(text: Column) -> Column:
-    """Rate of the second half of the gaps minus the first; NULL below six stamps."""
-    stamps = time_list(text)
-    step = F.when(F.size(stamps) >= 6, gaps(stamps))
-    half = F.floor(F.size(step) / 2).cast("int")
-    first = _mean(F.slice(step, F.lit(1), half))
-    second = _mean(F.slice(step, half + 1, F.size(step) - half))
-    return F.round(F.try_divide(F.lit(1.0), second) - F.try_divide(F.lit(1.0), first), 6)
+    The mean of consecutive gaps is the distance of the outer stamps over their number.
+    """
+    n = F.size(stamps)
+    half = F.floor((n - 1) / 2).cast("int")
+    first, middle = F.get(stamps, F.lit(0)), F.get(stamps, half)
+    last = F.get(stamps, n - 1)
+    early = F.try_divide(half.cast("double"), middle - first)
+    late = F.try_divide((n - 1 - half).cast("double"), last - middle)
+    return F.when(n >= 6, F.round(late - early, 6))
 
 
 def list_length(text: Column) -> Column:

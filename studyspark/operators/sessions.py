@@ -40,10 +40,14 @@ def tap_metrics(
     if count in df.columns and duration in df.columns:
         out = out.withColumn("tap_rate", signal.rate(numeric_of(df, count), numeric_of(df, duration)))
     if stamps in df.columns:
-        text = F.col(stamps).cast("string")
+        # the list is parsed once per row into its own column
+        out = out.withColumn("_stamps", signal.time_list(F.col(stamps).cast("string")))
         out = out.withColumns(
-            {"tap_variability": signal.variability(text), "tap_fatigue_slope": signal.fatigue(text)}
-        )
+            {
+                "tap_variability": signal.gap_sd(F.col("_stamps")),
+                "tap_fatigue_slope": signal.half_rates(F.col("_stamps")),
+            }
+        ).drop("_stamps")
     return out
 
 
