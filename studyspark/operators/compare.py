@@ -18,6 +18,10 @@ from studyspark.operators.standardise import is_categorical
 ALPHA = 0.05
 # A small sample without ties is tested exactly while the count of outcomes stays small.
 EXACT_MIN, EXACT_PRODUCT = 8, 10_000
+COMPARISON = (
+    "feature string, n_groups bigint, n_total bigint, group_a string, group_b string, test string, "
+    "method string, statistic double, p_value double, effect_size double, effect_size_type string"
+)
 
 
 def group_moments(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
@@ -99,123 +103,144 @@ def _exact_u(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
+def group_sizes(df: DataFrame, features: Sequence[str], group: str) -> dict[str, tuple]:
+    """Per feature: usable groups, smallest usable size, groups with a single value."""
+    counts = [F.count(numeric_of(df, c)).alias(f"n{i}") for i, c in enumerate(features)]
+    pairs = [
+        F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"))
+        for i, c in enumerate(features)
+    ]
+    usable = F.col("n") >= 2
+    rows = (
+        df.where(F.col(group).isNotNull())
+        .groupBy(group)
+        .agg(*counts)
+        .select(F.inline(F.array(*pairs)))
+        .groupBy("feature")
+        .agg(
+            F.count(F.when(usable, 1)).alias("groups"),
+            F.min(F.when(usable, F.col("n"))).alias("least"),
+            F.count(F.when(F.col("n") == 1, 1)).alias("lonely"),
+        )
+        .collect()
+    )
+    return {r["feature"]: (r["groups"], r["least"], r["lonely"]) for r in rows}
+
+
+def _by_feature(values: dict[str, float]) -> Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, v in values.items():
+        out = out.when(F.col("feature") == name, F.lit(float(v)))
+    return out
+
+
 def compare_groups(
-    df: DataFrame,
-    features: Sequence[str],
-    group: str,
-    reference_group=None,
-    exact_small: bool = True,
+    df: DataFrame, features: Sequence[str], group: str, reference_group=None
 ) -> DataFrame:
     """One row per feature: n_groups, test, method, statistic, p_value, effect size and its type.
 
     Two groups: Mann-Whitney U with Cohen's d of the lower (or `reference_group`) against the other
     group. More groups: Kruskal-Wallis with eta squared. Groups below two values do not take part.
+
+    Two narrow passes fix bucket edges, column means and group sizes; one pass over folded values
+    then gives ranks and moments together.
     """
     features = [c for c in features if c in df.columns]
-    work = df.where(F.col(group).isNotNull())
-    moments = group_moments(df, features, group).withColumnRenamed("group", "g")
-    rows = long_values(
-        work.withColumn("g", F.col(group)), features, ["g"], profile_values(work, features)
-    )
-    usable = moments.select(F.col("feature").alias("_f"), F.col("g").alias("_g"))
-    # lonely groups leave after values are counted: the join sees distinct values, not rows
-    rows = rows.groupBy("feature", "_bucket", "value", "g").agg(F.count("*").alias("w"))
-    rows = rows.join(
-        usable, (F.col("feature") == F.col("_f")) & (F.col("g") == F.col("_g")), "left_semi"
-    )
-    ranks = (
-        average_ranks(rows, ["g"], F.col("w"))
+    profile = profile_values(df, features)
+    sizes = group_sizes(df, features, group)
+    features = [c for c in features if sizes.get(c, (0,))[0] >= 2]
+    if not features:
+        return df.sparkSession.createDataFrame([], COMPARISON)
+    work = df.where(F.col(group).isNotNull()).withColumn("g", F.col(group))
+    rows = long_values(work, features, ["g"], profile)
+    weight = F.lit(1)
+    if any(sizes[c][2] for c in features):
+        # single values leave after folding: the join sees distinct values, not rows
+        usable = group_moments(df, features, group).select(
+            F.col("feature").alias("_f"), F.col("group").alias("_g")
+        )
+        rows = rows.groupBy("feature", "_bucket", "value", "g").agg(F.count("*").alias("w"))
+        same = (F.col("feature") == F.col("_f")) & (F.col("g") == F.col("_g"))
+        rows, weight = rows.join(usable, same, "left_semi"), F.col("w")
+    n, t = F.col("n").cast("double"), F.col("t").cast("double")
+    off = F.col("value") - _by_feature({c: profile.center(c) for c in features})
+    per_group = (
+        average_ranks(rows, ["g"], weight)
+        .select("feature", "g", n.alias("n"), (n * F.col("rank")).alias("nr"), off.alias("x"), t.alias("t"))
         .groupBy("feature", "g")
         .agg(
-            F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),
-            F.sum("n").alias("rank_n"),
-            F.sum(F.col("n") * (F.col("t").cast("double") * F.col("t") - 1)).alias("ties"),
+            F.sum("n").alias("n"),
+            F.sum("nr").alias("r"),
+            F.sum(F.col("n") * F.col("x")).alias("sx"),
+            F.sum(F.col("n") * F.col("x") * F.col("x")).alias("sxx"),
+            F.sum(F.col("n") * (F.col("t") * F.col("t") - 1)).alias("ties"),
         )
+        .withColumn("ss", F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.lit(0.0)))
     )
     key = F.col("g")
     if reference_group is not None:
-        key = F.struct((F.col("g") != F.lit(reference_group)).alias("later"), F.col("g"))
-    both = moments.join(
-        ranks.withColumnRenamed("feature", "_rf").withColumnRenamed("g", "_rg"),
-        (F.col("feature") == F.col("_rf")) & (F.col("g") == F.col("_rg")),
-    ).withColumn("_key", key)
-    side = F.struct("n", "mean", "var", "rank_sum", F.col("g").alias("g"))
-    nd = F.col("n").cast("double")
-    per = both.groupBy("feature").agg(
-        F.count("*").alias("n_groups"),
-        F.sum("n").alias("n_total"),
+        key = F.struct((F.col("g") != F.lit(reference_group)).alias("later"), F.col("g").alias("g"))
+    side = F.struct("g", "n", "r", (F.col("sx") / F.col("n")).alias("mean"), "ss")
+    # x is measured from the mean of the whole column, the centre eta squared is defined on
+    per = per_group.groupBy("feature").agg(
+        F.count("*").alias("k"),
+        F.sum("n").alias("n"),
         F.sum("ties").alias("ties"),
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / nd).alias("r2n"),
-        F.min_by(side, "_key").alias("a"),
-        F.max_by(side, "_key").alias("b"),
-        F.sum(nd * F.col("mean")).alias("s1"),
-        F.sum((nd - 1) * F.col("var")).alias("within"),
-        F.sum(nd * F.col("mean") * F.col("mean")).alias("s2"),
-    ).where("n_groups >= 2")
-    # eta squared uses the mean of the whole column, lonely and ungrouped rows included
-    means = df.agg(*[F.avg(numeric_of(df, c)).alias(f"m{i}") for i, c in enumerate(features)])
-    grand = means.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("_gf"), F.col(f"m{i}").alias("gm"))
-                    for i, c in enumerate(features)
-                ]
-            )
-        )
+        F.sum(F.col("r") * F.col("r") / F.col("n")).alias("r2n"),
+        F.sum("ss").alias("within"),
+        F.sum(F.col("sx") * F.col("sx") / F.col("n")).alias("between"),
+        F.min_by(side, key).alias("a"),
+        F.max_by(side, key).alias("b"),
     )
-    per = per.join(F.broadcast(grand), F.col("feature") == F.col("_gf"))
-    total = F.col("n_total").cast("double")
-    n_a, n_b = F.col("a.n").cast("double"), F.col("b.n").cast("double")
-    u = F.col("a.rank_sum") - n_a * (n_a + 1) / 2
-    sigma = F.sqrt(
-        n_a * n_b / 12 * (total + 1 - F.try_divide(F.col("ties"), total * (total - 1)))
+    flat = per.selectExpr(
+        "feature", "k", "n", "ties", "r2n", "within", "between", "k = 2 AS two",
+        "CAST(a.g AS STRING) AS ga", "CAST(b.g AS STRING) AS gb", "a.n AS na", "b.n AS nb",
+        "a.mean AS ma", "b.mean AS mb", "a.ss / (a.n - 1) AS va", "b.ss / (b.n - 1) AS vb",
+        "a.r - a.n * (a.n + 1) / 2 AS u",
+        "(12 / (n * (n + 1)) * r2n - 3 * (n + 1)) AS h0",
+        "sqrt(a.n * b.n / 12 * (n + 1 - try_divide(ties, n * (n - 1)))) AS sigma",
+    ).selectExpr(
+        "*",
+        "try_divide(h0, 1 - ties / (n * n * n - n)) AS h",
+        "try_divide(greatest(u, na * nb - u) - na * nb / 2 - 0.5, sigma) AS z",
     )
-    z = F.try_divide(F.greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5, sigma)
-    p_u = F.when(sigma > 0, F.least(_two_sided_from_upper(z), F.lit(1.0))).otherwise(1.0)
-    h_raw = 12 / (total * (total + 1)) * F.col("r2n") - 3 * (total + 1)
-    h = F.try_divide(h_raw, 1 - F.col("ties") / (total * total * total - total))
-    gm = F.col("gm")
-    between = F.col("s2") - 2 * gm * F.col("s1") + gm * gm * total
-    eta = F.try_divide(between, between + F.col("within"))
-    d = pooled_d(F.col("a.mean"), F.col("b.mean"), F.col("a.var"), F.col("b.var"), n_a, n_b)
-    two = F.col("n_groups") == 2
-    out = per.select(
+    two = F.col("two")
+    p_u = F.when(F.col("sigma") > 0, F.least(_two_sided_from_upper(F.col("z")), F.lit(1.0)))
+    p = F.when(two, F.coalesce(p_u, F.lit(1.0)))
+    if any(sizes[c][0] > 2 for c in features):
+        p = p.otherwise(chi2_upper(F.col("h"), F.col("k") - 1))
+    d = pooled_d(*[F.col(c) for c in ("ma", "mb", "va", "vb", "na", "nb")])
+    eta = F.try_divide(F.col("between"), F.col("between") + F.col("within"))
+    small = [c for c in features if sizes[c][0] == 2 and sizes[c][1] <= EXACT_MIN]
+    exact = two & (F.col("na") * F.col("nb") <= EXACT_PRODUCT) & (F.col("ties") == 0)
+    out = flat.select(
         "feature",
-        "n_groups",
-        "n_total",
-        F.when(two, F.col("a.g").cast("string")).alias("group_a"),
-        F.when(two, F.col("b.g").cast("string")).alias("group_b"),
-        n_a.alias("n_a"),
-        n_b.alias("n_b"),
-        F.when(two, F.lit("Mann-Whitney U")).otherwise(F.lit("Kruskal-Wallis")).alias("test"),
-        F.when(two, u).otherwise(h).alias("u"),
-        F.when(two, p_u).otherwise(chi2_upper(h, F.col("n_groups") - 1)).alias("p_raw"),
+        "k",
+        "n",
+        "two",
+        "ga",
+        "gb",
+        F.col("na").alias("n_a"),
+        F.col("nb").alias("n_b"),
+        F.when(two, F.col("u")).otherwise(F.col("h")).alias("u"),
+        p.alias("p_raw"),
         F.when(two, d).otherwise(eta).alias("effect"),
-        F.when(two, F.lit("Cohen's d")).otherwise(F.lit("eta-squared")).alias("effect_size_type"),
-        (
-            two
-            & (F.least(n_a, n_b) <= EXACT_MIN)
-            & (n_a * n_b <= EXACT_PRODUCT)
-            & (F.col("ties") == 0)
-        ).alias("exact"),
+        (exact & F.col("feature").isin(small) if small else F.lit(False)).alias("exact"),
     )
-    if exact_small:
+    if small:
         out = out.mapInPandas(_exact_u, out.schema)
     return out.select(
         "feature",
-        "n_groups",
-        "n_total",
-        "group_a",
-        "group_b",
-        "test",
-        F.when(F.col("exact") & F.lit(exact_small), F.lit("exact"))
-        .otherwise(F.lit("asymptotic"))
-        .alias("method"),
+        F.col("k").alias("n_groups"),
+        F.col("n").cast("bigint").alias("n_total"),
+        F.when(two, F.col("ga")).alias("group_a"),
+        F.when(two, F.col("gb")).alias("group_b"),
+        F.when(two, F.lit("Mann-Whitney U")).otherwise(F.lit("Kruskal-Wallis")).alias("test"),
+        F.when(F.col("exact"), F.lit("exact")).otherwise(F.lit("asymptotic")).alias("method"),
         F.round("u", 4).alias("statistic"),
         F.round("p_raw", 4).alias("p_value"),
         F.round("effect", 4).alias("effect_size"),
-        "effect_size_type",
+        F.when(two, F.lit("Cohen's d")).otherwise(F.lit("eta-squared")).alias("effect_size_type"),
     )
 
 

@@ -29,12 +29,17 @@ HASH_VALUES = 50_000
 
 @dataclass(frozen=True)
 class ValueProfile:
-    """Per column: sketched distinct count and bucket edges."""
+    """Per column: sketched distinct count, mean and bucket edges."""
 
     distinct: dict[str, int]
+    means: dict[str, float | None]
     edges: dict[str, list[float]]
     depth: int
 
+    def center(self, col: str) -> float:
+        """A number amid the values, to keep sums of squares small."""
+        return self.means[col] or 0.0
+
     def small(self, limit: int = HASH_VALUES) -> bool:
         return 1.2 * sum(self.distinct.values()) <= limit
 
@@ -53,11 +58,14 @@ def profile_values(df: DataFrame, cols: Sequence[str], depth: int | None = None)
     aggs = []
     for i, c in enumerate(cols):
         x = numeric_of(df, c)
-        aggs.append(F.approx_count_distinct(x, 0.02).alias(f"d{i}"))
+        aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
+        aggs.append(F.avg(x).alias(f"m{i}"))
         aggs.append(F.percentile_approx(x, probs, max(10000, 4 * n)).alias(f"e{i}"))
     got = df.agg(*aggs).first()
     edges = {c: sorted(set(got[f"e{i}"] or [])) for i, c in enumerate(cols)}
-    return ValueProfile({c: got[f"d{i}"] for i, c in enumerate(cols)}, edges, depth)
+    distinct = {c: got[f"d{i}"] for i, c in enumerate(cols)}
+    means = {c: got[f"m{i}"] for i, c in enumerate(cols)}
+    return ValueProfile(distinct, means, edges, depth)
 
 
 def even_bucket(value: Column, low: float, high: float, depth: int) -> Column:

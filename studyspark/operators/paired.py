@@ -10,15 +10,16 @@ for features whose exact number of distinct-value pairs was counted first and is
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions.coerce import numeric_of
 from studyspark.functions.tails import normal_two_sided, student_two_sided
-from studyspark.operators.compare import pooled_d
+from studyspark.operators.compare import _by_feature, pooled_d
 from studyspark.operators.keyed import profile_keys
 from studyspark.operators.order import bucket_depth, even_bucket, average_ranks, long_values
 
@@ -76,35 +77,79 @@ def _collapse(moments: DataFrame) -> DataFrame:
     )
 
 
-def _pair_moments(moments: DataFrame) -> DataFrame:
-    """Pair-level moments per feature, in two passes so that no large squares cancel."""
-    w = F.col("na") * F.col("nb")
-    center = moments.groupBy("feature").agg(
-        (F.sum(w * F.col("ma")) / F.sum(w)).alias("_ca"),
-        (F.sum(w * F.col("mb")) / F.sum(w)).alias("_cb"),
-    )
-    at = moments.join(
-        # one row per feature
-        F.broadcast(center.withColumnRenamed("feature", "_f")),
-        F.col("feature") == F.col("_f"),
-    )
-    da, db = F.col("ma") - F.col("_ca"), F.col("mb") - F.col("_cb")
-    spread_a = F.col("nb") * F.col("qa") + w * da * da
-    spread_b = F.col("na") * F.col("qb") + w * db * db
-    spread_d = (
-        F.col("nb") * F.col("qa") + F.col("na") * F.col("qb") + w * (da - db) * (da - db)
+def _pair_moments(moments: DataFrame, centers: dict[str, float]) -> DataFrame:
+    """Pair-level counts, means and squared deviations per feature, in one aggregate.
+
+    Values are measured from a fixed centre, so sums of squares stay small.
+    """
+    c = _by_feature(centers)
+    at = moments.select(
+        "feature", "na", "nb", "qa", "qb",
+        (F.col("na") * F.col("nb")).alias("w"),
+        (F.col("ma") - c).alias("a"),
+        (F.col("mb") - c).alias("b"),
+        c.alias("c"),
     )
-    return at.groupBy("feature").agg(
-        F.sum(w).alias("pairs"),
+    sums = at.groupBy("feature").agg(
+        F.sum("w").alias("pairs"),
         F.count("*").alias("n_entities"),
-        F.first("_ca").alias("mean_a"),
-        F.first("_cb").alias("mean_b"),
-        F.sum(spread_a).alias("sa"),
-        F.sum(spread_b).alias("sb"),
-        F.sum(spread_d).alias("sd"),
+        F.max("c").alias("c"),
+        F.expr("sum(w * a)").alias("wa"),
+        F.expr("sum(w * b)").alias("wb"),
+        F.expr("sum(w * (a - b))").alias("wd"),
+        F.expr("sum(nb * qa + w * a * a)").alias("waa"),
+        F.expr("sum(na * qb + w * b * b)").alias("wbb"),
+        F.expr("sum(nb * qa + na * qb + w * (a - b) * (a - b))").alias("wdd"),
+    )
+    return sums.selectExpr(
+        "feature",
+        "pairs",
+        "n_entities",
+        "c + wa / pairs AS mean_a",
+        "c + wb / pairs AS mean_b",
+        "wd / pairs AS mean_diff",
+        "greatest(waa - wa * wa / pairs, 0D) AS sa",
+        "greatest(wbb - wb * wb / pairs, 0D) AS sb",
+        "greatest(wdd - wd * wd / pairs, 0D) AS sd",
     )
 
 
+@dataclass(frozen=True)
+class PairProfile:
+    """Per feature: row pairs, value range and mean of both sides."""
+
+    pairs: dict[str, float]
+    ranges: dict[str, float]
+    centers: dict[str, float]
+
+
+def profile_pairs(sides: DataFrame, features: Sequence[str], entity: str) -> PairProfile:
+    """One pass: per-entity counts fold to the exact number of pairs."""
+    aggs, out = [], []
+    for i, c in enumerate(features):
+        x = numeric_of(sides, c)
+        aggs += [
+            F.count(F.when(F.col("_in_a"), x)).cast("double").alias(f"a{i}"),
+            F.count(F.when(~F.col("_in_a"), x)).cast("double").alias(f"b{i}"),
+            F.min(x).alias(f"l{i}"),
+            F.max(x).alias(f"h{i}"),
+            F.sum(x).alias(f"s{i}"),
+        ]
+        out += [
+            F.sum(F.col(f"a{i}") * F.col(f"b{i}")).alias(f"p{i}"),
+            F.min(f"l{i}").alias(f"l{i}"),
+            F.max(f"h{i}").alias(f"h{i}"),
+            (F.sum(f"s{i}") / F.sum(F.col(f"a{i}") + F.col(f"b{i}"))).alias(f"m{i}"),
+        ]
+    got = sides.groupBy(entity).agg(*aggs).agg(*out).first()
+    pairs, ranges, centers = {}, {}, {}
+    for i, c in enumerate(features):
+        pairs[c] = got[f"p{i}"] or 0.0
+        ranges[c] = (got[f"h{i}"] or 0.0) - (got[f"l{i}"] or 0.0)
+        centers[c] = got[f"m{i}"] or 0.0
+    return PairProfile(pairs, ranges, centers)
+
+
 def _exact_w(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Exact two-sided signed-rank p of small tie-free features."""
     for pdf in batches:
@@ -189,7 +234,6 @@ def within_subject(
     b,
     pairing: str = "all",
     pair_budget: int = PAIR_BUDGET,
-    exact_small: bool = True,
 ) -> DataFrame:
     """One row per feature with at least five pairs.
 
@@ -199,62 +243,49 @@ def within_subject(
     """
     features = [c for c in features if c in df.columns]
     sides = _sides(df, entity, condition, a, b)
+    seen = profile_pairs(sides, features, entity)
     moments = _entity_moments(sides, features, entity)
     if pairing == "mean":
         moments = _collapse(moments)
-    base = _pair_moments(moments).where(F.col("pairs") >= MIN_PAIRS)
-    aggs, names = [], list(features)
-    for i, c in enumerate(names):
-        x = numeric_of(sides, c)
-        aggs += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
-    span = sides.agg(*aggs).first()
-    ranges = {c: (span[f"h{i}"] or 0.0) - (span[f"l{i}"] or 0.0) for i, c in enumerate(names)}
-    if pairing == "mean":
-        within = names
-        diffs = _mean_differences(moments, ranges, bucket_depth(df))
+        diffs = _mean_differences(moments, seen.ranges, bucket_depth(df))
+        small = features
     else:
-        within = rankable_features(sides, names, entity, pair_budget)
-        diffs = _differences(sides, within, entity, ranges) if within else None
-    out = base
+        ranked = rankable_features(sides, features, entity, seen, pair_budget)
+        diffs = _differences(sides, ranked, entity, seen.ranges) if ranked else None
+        small = [c for c in ranked if seen.pairs[c] <= EXACT_PAIRS]
+    out = _pair_moments(moments, seen.centers).where(F.col("pairs") >= MIN_PAIRS)
     if diffs is not None:
         ranks = signed_ranks(diffs).withColumnRenamed("feature", "_rf")
-        out = base.join(ranks, F.col("feature") == F.col("_rf"), "left")
+        out = out.join(ranks, F.col("feature") == F.col("_rf"), "left")
     else:
-        for c in ("nz", "w_pos", "w_neg", "ties", "p_w"):
-            out = out.withColumn(c, F.lit(None).cast("double"))
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("nz", "w_pos", "w_neg", "ties", "p_w")})
+    out = out.selectExpr(
+        "*", "try_divide(sd, pairs - 1) AS var_d", "try_divide(sa, pairs - 1) AS va", "try_divide(sb, pairs - 1) AS vb"
+    ).withColumn("t_stat", F.expr("try_divide(mean_diff, sqrt(var_d / pairs))"))
     n = F.col("pairs")
-    mean_diff = F.col("mean_a") - F.col("mean_b")
-    var_d = F.try_divide(F.col("sd"), n - 1)
-    t = F.try_divide(mean_diff, F.sqrt(var_d / n))
-    d = pooled_d(
-        F.col("mean_a"),
-        F.col("mean_b"),
-        F.try_divide(F.col("sa"), n - 1),
-        F.try_divide(F.col("sb"), n - 1),
-        n,
-        n,
-    )
     out = out.select(
         "feature",
         "mean_a",
         "mean_b",
-        mean_diff.alias("mean_diff"),
+        "mean_diff",
         n.cast("bigint").alias("n_pairs"),
         "n_entities",
         F.coalesce("nz", F.lit(0.0)).alias("nz"),
         "w_pos",
         "w_neg",
         "p_w",
-        F.when(var_d > 0, student_two_sided(t, F.least(n - 1, F.lit(2e9)))).alias("p_t"),
-        t.alias("t_stat"),
-        d.alias("d"),
+        F.when(F.col("var_d") > 0, student_two_sided(F.col("t_stat"), F.least(n - 1, F.lit(2e9)))).alias("p_t"),
+        "t_stat",
+        pooled_d(F.col("mean_a"), F.col("mean_b"), F.col("va"), F.col("vb"), n, n).alias("d"),
         F.coalesce(
             (F.col("nz") == n) & (n <= EXACT_PAIRS) & (F.col("ties") == 0), F.lit(False)
         ).alias("exact"),
     )
-    if exact_small:
+    if small:
         out = out.mapInPandas(_exact_w, out.schema)
-    ranked = F.col("nz") > 0
+    else:
+        out = out.withColumn("exact", F.lit(False))
+    use = F.col("nz") > 0
     return out.select(
         "feature",
         F.round("mean_a", 4).alias("mean_a"),
@@ -262,31 +293,37 @@ def within_subject(
         F.round("mean_diff", 4).alias("mean_diff"),
         "n_pairs",
         "n_entities",
-        F.when(ranked, F.lit("Wilcoxon")).otherwise(F.lit("Paired t-test")).alias("test"),
-        F.when(ranked & F.col("exact") & F.lit(exact_small), F.lit("exact"))
-        .when(ranked, F.lit("asymptotic"))
+        F.when(use, F.lit("Wilcoxon")).otherwise(F.lit("Paired t-test")).alias("test"),
+        F.when(use & F.col("exact"), F.lit("exact"))
+        .when(use, F.lit("asymptotic"))
         .otherwise(F.lit("paired_t"))
         .alias("method"),
-        F.round(F.when(ranked, F.least("w_pos", "w_neg")).otherwise(F.col("t_stat")), 4).alias(
-            "statistic"
-        ),
-        F.round(F.when(ranked, F.col("p_w")).otherwise(F.col("p_t")), 4).alias("p_value"),
+        F.round(F.when(use, F.least("w_pos", "w_neg")).otherwise(F.col("t_stat")), 4).alias("statistic"),
+        F.round(F.when(use, F.col("p_w")).otherwise(F.col("p_t")), 4).alias("p_value"),
         F.round("d", 4).alias("effect_size_d"),
     )
 
 
 def rankable_features(
-    sides: DataFrame, features: Sequence[str], entity: str, budget: int
+    sides: DataFrame, features: Sequence[str], entity: str, seen: PairProfile, budget: int
 ) -> list[str]:
-    """Features whose distinct-value pairs, counted exactly, number at most `budget`."""
-    long = long_values(sides, features, [entity, "_in_a"])
-    distinct = long.distinct().groupBy("feature", entity).agg(
-        F.count(F.when(F.col("_in_a"), 1)).cast("double").alias("da"),
-        F.count(F.when(~F.col("_in_a"), 1)).cast("double").alias("db"),
+    """Features whose pairs number at most `budget`; where rows exceed it, distinct-value pairs are
+    counted, again exactly."""
+    large = [f for f in features if seen.pairs[f] > budget]
+    if not large:
+        return list(features)
+    distinct = (
+        long_values(sides, large, [entity, "_in_a"])
+        .distinct()
+        .groupBy("feature", entity)
+        .agg(
+            F.count(F.when(F.col("_in_a"), 1)).cast("double").alias("da"),
+            F.count(F.when(~F.col("_in_a"), 1)).cast("double").alias("db"),
+        )
     )
     work = distinct.groupBy("feature").agg(F.sum(F.col("da") * F.col("db")).alias("work"))
-    small = {r["feature"] for r in work.collect() if r["work"] <= budget}
-    return [f for f in features if f in small]
+    over = {r["feature"] for r in work.collect() if r["work"] > budget}
+    return [f for f in features if f not in over]
 
 
 def paired_t(
@@ -294,18 +331,20 @@ def paired_t(
 ) -> DataFrame:
     """(feature, n_pairs, mean_diff, sd_diff, t, p_value) from per-entity moments alone."""
     sides = _sides(df, entity, condition, a, b)
+    seen = profile_pairs(sides, features, entity)
     moments = _entity_moments(sides, features, entity)
-    base = _pair_moments(_collapse(moments) if pairing == "mean" else moments)
-    n = F.col("pairs")
-    var_d = F.try_divide(F.col("sd"), n - 1)
-    mean_diff = F.col("mean_a") - F.col("mean_b")
-    t = F.try_divide(mean_diff, F.sqrt(var_d / n))
-    p: Column = F.when(var_d > 0, student_two_sided(t, F.least(n - 1, F.lit(2e9))))
-    return base.where(n >= MIN_PAIRS).select(
+    base = _pair_moments(_collapse(moments) if pairing == "mean" else moments, seen.centers)
+    out = (
+        base.where(F.col("pairs") >= MIN_PAIRS)
+        .withColumn("var_d", F.expr("try_divide(sd, pairs - 1)"))
+        .withColumn("t", F.expr("try_divide(mean_diff, sqrt(var_d / pairs))"))
+    )
+    p = student_two_sided(F.col("t"), F.least(F.col("pairs") - 1, F.lit(2e9)))
+    return out.select(
         "feature",
-        n.cast("bigint").alias("n_pairs"),
-        F.round(mean_diff, 4).alias("mean_diff"),
-        F.round(F.sqrt(var_d), 4).alias("sd_diff"),
-        F.round(t, 4).alias("t"),
-        F.round(p, 4).alias("p_value"),
+        F.col("pairs").cast("bigint").alias("n_pairs"),
+        F.round("mean_diff", 4).alias("mean_diff"),
+        F.round(F.sqrt("var_d"), 4).alias("sd_diff"),
+        F.round("t", 4).alias("t"),
+        F.round(F.when(F.col("var_d") > 0, p), 4).alias("p_value"),
     )
