@@ -27,8 +27,12 @@ def hist_sql(src: str, value: str, bins: int, keys: str = "") -> str:
     on = f"AND c.{keys} = s.{keys}" if keys else ""
     cols = f"s.{keys}, " if keys else ""
     return f"""s AS (SELECT {k}min({value}) AS lo, max({value}) AS hi FROM {src} {by}),
-c AS (SELECT {cols}CAST(least(floor(({value} - lo) / (hi - lo) * {bins}), {bins - 1}) AS INT) AS bin,
-        count(*) AS n FROM {src} t JOIN s ON {f't.{keys} = s.{keys}' if keys else 'true'} GROUP BY ALL),
+w AS (SELECT {cols}{value} AS x, lo, (hi - lo) / {bins} AS step,
+        CAST(least(floor(({value} - lo) / (hi - lo) * {bins}), {bins - 1}) AS INT) AS i
+      FROM {src} t JOIN s ON {f't.{keys} = s.{keys}' if keys else 'true'}),
+c AS (SELECT {k}i - CAST(x < lo + i * step AS INT)
+        + CAST(x >= lo + (i + 1) * step AND i < {bins - 1} AS INT) AS bin, count(*) AS n
+      FROM w GROUP BY ALL),
 b AS (SELECT CAST(unnest(range({bins})) AS INT) AS bin)
 SELECT {cols}b.bin, round(lo + (hi - lo) / {bins} * b.bin, 4) AS bin_low,
   round(lo + (hi - lo) / {bins} * (b.bin + 1), 4) AS bin_high, coalesce(c.n, 0) AS n

@@ -41,10 +41,14 @@ def histogram(df: DataFrame, col: str, group: str | None = None, bins: int = 30)
         one = span.first()
         placed = rows
         low, high = F.lit(one["_lo"] if one else None), F.lit(one["_hi"] if one else None)
-    at = F.floor((F.col("_x") - low) / (high - low) * bins).cast("int")
-    counts = placed.groupBy(*keys, F.least(at, F.lit(bins - 1)).alias("bin")).agg(
-        F.count("*").alias("_n")
-    )
+    width = (high - low) / bins
+    at = F.least(F.floor((F.col("_x") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    # rounding may put a value on the wrong side of its edge by one bin
+    near = placed.withColumn("_at", at)
+    below = F.col("_x") < low + F.col("_at") * width
+    beyond = (F.col("_x") >= low + (F.col("_at") + 1) * width) & (F.col("_at") < bins - 1)
+    fixed = F.col("_at") - below.cast("int") + beyond.cast("int")
+    counts = near.groupBy(*keys, fixed.alias("bin")).agg(F.count("*").alias("_n"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     step = (F.col("_hi") - F.col("_lo")) / bins
     return grid.join(counts, [*keys, "bin"], "left").select(
