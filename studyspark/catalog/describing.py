@@ -196,3 +196,29 @@ def exact_quantiles(spark, folder):
         mode="select",
     )
     return q.select("l_returnflag", "feature", *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p99")])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20")
+def preview(spark, folder):
+    from studyspark.operators.qc import preview as first_rows
+
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return first_rows(o, ["o_orderkey"])
+
+
+@query(
+    """WITH t AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE value END AS value,
+  user_id, CASE WHEN event_type = 'error' THEN props END AS props FROM events)
+SELECT 'value' AS "column", round(avg(CAST(value IS NULL AS INT)), 6) AS missing_share FROM t
+UNION ALL SELECT 'user_id', round(avg(CAST(user_id IS NULL AS INT)), 6) FROM t
+UNION ALL SELECT 'props', round(avg(CAST(props IS NULL AS INT)), 6) FROM t"""
+)
+def column_missingness(spark, folder):
+    kind = F.col("event_type")
+    e = table(spark, folder, "events").select(
+        F.when(~kind.isin("view", "click"), F.col("value")).alias("value"),
+        "user_id",
+        F.when(kind == "error", F.col("props")).alias("props"),
+    )
+    got = standardise.column_missingness(e)
+    return got.withColumn("missing_share", F.round("missing_share", 6))

@@ -235,3 +235,15 @@ def forest_regression(spark, folder):
         labelled(spark, folder), "n_chars", "doc_id", ["n_lines", "lang", "toxic"],
         models=[models.FOREST],
     ).metrics
+
+
+@query()
+def model_by_roles(spark, folder):
+    """Predictions of the outcome from every other column of the flagged table."""
+    from studyspark.operators import qc
+
+    flagged = qc.role_qc(labelled(spark, folder), "doc_id", "quality")
+    run = models.run_by_roles(
+        flagged, "doc_id", outcome="quality", model="Logistic", importance=False
+    )
+    return run.predictions[models.LOGISTIC]

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+# Shape of the text and the format to read it with. The shape decides first, because a failed parse
+# costs far more than a failed match.
 TIME_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd-MMM-yyyy",
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
+    (r"^\d{2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
 )
+ISO_TEXT = r"^\d{4}-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?$"
 
 
 def nan_to_null(col: Column) -> Column:
@@ -64,11 +66,15 @@ def nulls_for_nans(df: DataFrame) -> DataFrame:
     return df.withColumns(floats) if floats else df
 
 
-def timestamp_text(col: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """First listed format that parses; ISO text as a last resort."""
+def timestamp_text(
+    col: Column, formats: Sequence[tuple[str, str]] = TIME_FORMATS
+) -> Column:
+    """TIMESTAMP of text in a known shape, ISO text included; anything else is NULL."""
     text = F.trim(col)
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*tries, F.when(text.rlike(r"^\d{4}-\d{2}"), text.try_cast("timestamp")))
+    out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, fmt in formats:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    return out.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
 
 
 def blank(col: Column) -> Column:

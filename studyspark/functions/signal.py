@@ -19,17 +19,26 @@ MEDICATION_CODES = {"NO_MEDS": 0, "BEFORE": 1, "AFTER": 2, "OTHER": 3}
 STATE_CODES = {"BEFORE": 1, "AFTER": 2, "OTHER": 3}
 COUNT_RANGE = (0, 300)
 
+NUMBER = r"\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*"
+NUMBER_LIST = rf"^{NUMBER}(?:,{NUMBER})*$"
+
 
 def rate(count: Column, duration: Column) -> Column:
     return F.round(F.try_divide(count, F.nullif(duration, F.lit(0.0))), 4)
 
 
 def time_list(text: Column) -> Column:
-    """Sorted ARRAY<DOUBLE> of a bracketed list; NULL if any token is not a number."""
+    """Sorted ARRAY<DOUBLE> of a bracketed list; NULL if any token is not a number.
+
+    One match clears a list of plain numbers for a whole-array cast; only other spellings (empty
+    cells, infinities) are looked at token by token.
+    """
     body = F.regexp_replace(text, r"^[\[\]]+|[\[\]]+$", "")
+    quick = F.split(body, ",").cast("array<double>")
     tokens = F.filter(F.transform(F.split(body, ","), lambda x: F.trim(x)), lambda x: x != "")
     good = F.forall(tokens, lambda x: x.rlike(NUMERIC_TEXT))
-    return F.when(good, F.sort_array(F.transform(tokens, lambda x: x.try_cast("double"))))
+    slow = F.when(good, F.transform(tokens, lambda x: x.try_cast("double")))
+    return F.sort_array(F.when(body.rlike(NUMBER_LIST), quick).otherwise(slow))
 
 
 def gap_sd(stamps: Column) -> Column:
@@ -39,13 +48,11 @@ def gap_sd(stamps: Column) -> Column:
     """
     n = F.size(stamps)
     mean = (F.get(stamps, n - 1) - F.get(stamps, F.lit(0))) / (n - 1)
-
-    def add(acc: Column, i: Column) -> Column:
-        off = F.get(stamps, i) - F.get(stamps, i - 1) - acc["mean"]
-        return F.struct(acc["mean"].alias("mean"), (acc["ss"] + off * off).alias("ss"))
-
-    start = F.struct(mean.alias("mean"), F.lit(0.0).alias("ss"))
-    squares = F.aggregate(F.sequence(F.lit(1), n - 1), start, add)["ss"]
+    squares = F.aggregate(
+        F.sequence(F.lit(1), n - 1),
+        F.lit(0.0),
+        lambda acc, i: acc + F.pow(F.get(stamps, i) - F.get(stamps, i - 1) - mean, F.lit(2.0)),
+    )
     return F.when(n >= 3, F.round(F.sqrt(squares / (n - 1)), 6))
 
 

@@ -1,8 +1,9 @@
-"""Cut long lineage through the cluster's shared checkpoint folder."""
+"""Cut long lineage with tables in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow table that several later passes read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` once as a table in the shared folder and go on from there.
+
+    Used where several later passes read the same result. Unlike an in-memory copy the table
+    survives lost executors, and later passes read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,12 +1,12 @@
 """Exploratory classification and regression on spark.ml.
 
-The input becomes one narrow table (row key, label, features), checkpointed once; every fit, score
-and importance pass reads that table.
+The input becomes one narrow table (row key, label, features), written once; every fit, score and
+importance pass reads that table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -36,7 +36,8 @@ MAX_CLASSES = 100
 MAX_LEVELS = 1000
 MIN_TRAIN, MIN_TEST = 10, 5
 TOP_IMPORTANCE = 15
-STRATIFY_UP_TO = 10
+STRATIFY_UP_TO, STRATIFY_UP_TO_ROLES = 10, 49
+MIN_ROWS = 20
 RARE_CLASS, RARE_BELOW = 5, 200
 
 LOGISTIC, FOREST, RIDGE = "Logistic Regression", "Random Forest", "Ridge Regression"
@@ -100,7 +101,11 @@ def rare_class_warning(class_counts: dict, n: int) -> bool:
 
 
 def model_table(
-    df: DataFrame, features: Sequence[str], target: str, key: str, extra: Sequence[str] = ()
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: str,
+    extra: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rows with a target: key, target as `_y`, numeric features coerced, text features kept."""
     cols = []
@@ -112,7 +117,7 @@ def model_table(
         F.col(key).alias("_key"),
         F.col(target).alias("_y"),
         *cols,
-        *[F.col(c).alias(f"_x_{c}") for c in extra],
+        *[F.col(c).alias(f"_x_{name}") for name, c in (extra or {}).items()],
     )
 
 
@@ -308,13 +313,15 @@ def permutation_importance(
     )
 
 
-def _split(rows: DataFrame, split: str, test_share: float, seed: int, classes: int | None):
+def _split(
+    rows: DataFrame, split: str, test_share: float, seed: int, classes: int | None, strata_limit: int
+):
     if split == "time":
         return time_split(rows, "_x_time", "_key", test_share)
     if split == "entity":
         folds = max(round(1 / test_share), 2)
         return entity_split(rows, "_x_entity", 1, folds, seed)
-    strata = "_label" if classes is not None and classes <= STRATIFY_UP_TO else None
+    strata = "_label" if classes is not None and classes <= strata_limit else None
     return random_split(rows, "_key", test_share, seed, strata)
 
 
@@ -387,13 +394,9 @@ def label_value_of(table: Column | None, col: str) -> Column:
     return F.element_at(table, F.col(col).cast("int") + 1)
 
 
-def _prepare(df, features, target, key, split, time_col, entity, impute_scope):
-    extra = {"time": time_col if split == "time" else None, "entity": entity if split == "entity" else None}
-    src = df
-    for name, col in extra.items():
-        if col:
-            src = src.withColumn(name, F.col(col)) if name != col else src
-    return model_table(src, features, target, key, [n for n, c in extra.items() if c])
+def _prepare(df, features, target, key, time_col, entity) -> DataFrame:
+    extra = {"time": time_col, "entity": None if time_col else entity}
+    return model_table(df, features, target, key, {n: c for n, c in extra.items() if c})
 
 
 def run_classification(
@@ -411,11 +414,12 @@ def run_classification(
     repeats: int = 5,
     trees: int = 100,
     depth: int = 30,
+    stratify_up_to: int = STRATIFY_UP_TO,
 ) -> ModelRun:
     """Logistic regression and a random forest; time order, entities or strata decide the split."""
     features = list(features or default_features(df, target))
     split = "time" if time_col else "entity" if entity else "random"
-    raw = _prepare(df, features, target, key, split, time_col, entity, impute_scope)
+    raw = _prepare(df, features, target, key, time_col, entity)
     counts = raw.groupBy("_y").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
     run = ModelRun("classification")
     if len(counts) < 2:
@@ -429,7 +433,11 @@ def run_classification(
     label = F.when(F.lit(False), F.lit(0.0))
     for i, c in enumerate(classes):
         label = label.when(F.col("_y") == F.lit(c), F.lit(float(i)))
-    rows = cut(_split(raw.withColumn("_label", label), split, test_share, seed, len(classes)))
+    rows = cut(
+        _split(
+            raw.withColumn("_label", label), split, test_share, seed, len(classes), stratify_up_to
+        )
+    )
     n = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
     if n.get(TRAIN, 0) < MIN_TRAIN or n.get(TEST, 0) < MIN_TEST:
         run.error = "Not enough data after split."
@@ -473,9 +481,9 @@ def run_regression(
     """Ridge regression and a random forest."""
     features = list(features or default_features(df, target))
     split = "time" if time_col else "entity" if entity else "random"
-    raw = _prepare(df, features, target, key, split, time_col, entity, impute_scope)
+    raw = _prepare(df, features, target, key, time_col, entity)
     raw = raw.withColumn("_label", numeric_of(raw, "_y")).where("_label is not null")
-    rows = cut(_split(raw, split, test_share, seed, None))
+    rows = cut(_split(raw, split, test_share, seed, None, 0))
     got = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("_label").alias("s")).collect()
     n = {r["split"]: r["n"] for r in got}
     run = ModelRun("regression")
@@ -497,3 +505,36 @@ def run_regression(
     recipes = {RIDGE: ridge(n[TRAIN], y_sd), FOREST: forest_regressor(trees, depth, seed)}
     _fit_all(run, rows, features, {m: recipes[m] for m in models}, impute, None, importance, repeats)
     return run
+
+
+def run_by_roles(
+    df: DataFrame,
+    key: str,
+    outcome: str | None = None,
+    target: str | None = None,
+    id_col: str | None = None,
+    time_col: str | None = None,
+    model: str = "Auto",
+    **options,
+) -> ModelRun:
+    """Model the mapped outcome (classes) or target (number) from all other columns.
+
+    Flagged rows are left out. A parsed time column gives year, month, weekday and hour; ids, times
+    and flags are not features.
+    """
+    kept = df.where(F.col("qc_keep").cast("boolean")) if "qc_keep" in df.columns else df
+    task, y = choose_task(kept, outcome, target)
+    if kept.where(F.col(y).isNotNull()).limit(MIN_ROWS).count() < MIN_ROWS:
+        return ModelRun(task, error=f"Not enough rows to train a model (need {MIN_ROWS}).")
+    if time_col:
+        kept = time_features(kept, time_col)
+    out = {"qc_reason", "qc_keep", key, id_col, time_col, y}
+    usable = (T.NumericType, T.BooleanType, T.StringType)
+    features = [f.name for f in kept.schema if f.name not in out and isinstance(f.dataType, usable)]
+    picked = MODEL_CHOICES[model]
+    if task == "classification":
+        models = [picked] if picked in (LOGISTIC, FOREST) else [LOGISTIC, FOREST]
+        options.setdefault("stratify_up_to", STRATIFY_UP_TO_ROLES)
+        return run_classification(kept, y, key, features, models=models, **options)
+    models = [picked] if picked in (RIDGE, FOREST) else [RIDGE, FOREST]
+    return run_regression(kept, y, key, features, models=models, **options)

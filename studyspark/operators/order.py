@@ -40,8 +40,15 @@ class ValueProfile:
         """A number amid the values, to keep sums of squares small."""
         return self.means[col] or 0.0
 
-    def small(self, limit: int = HASH_VALUES) -> bool:
-        return 1.2 * sum(self.distinct.values()) <= limit
+    def few_valued(self, cols: Sequence[str], limit: int = HASH_VALUES) -> list[str]:
+        """Columns, fewest values first, whose values together stay within `limit`."""
+        out, total = [], 0.0
+        for c in sorted(cols, key=lambda c: self.distinct[c]):
+            total += 1.2 * self.distinct[c]
+            if total > limit:
+                break
+            out.append(c)
+        return out
 
 
 def bucket_depth(df: DataFrame) -> int:
@@ -198,7 +205,8 @@ def kth_values(
     )
     return (
         one.withColumn("before", F.col("_before") + F.sum("ties").over(upto) - F.col("ties"))
-        .withColumn("ask", F.explode(within("before", "ties")))
+        .withColumn("ask", F.explode(asks(F.col("_total"))))
+        .where("ask.k >= before and ask.k < before + ties")
         .select(*part, "ask", "value", "before", "ties")
     )
 
@@ -226,11 +234,17 @@ def quantiles(
         fn = lambda x: F.percentile_approx(x, list(probs), 10000)
         return _wide_quantiles(df, cols, names, by, fn)
     profile = profile or profile_values(df, cols)
-    if mode == "exact" and profile.small() and not by:
-        fn = lambda x: F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-        return _wide_quantiles(df, cols, names, by, fn)
+    if mode == "exact" and not by:
+        few = profile.few_valued(cols)
+        if few:
+            fn = lambda x: F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+            direct = _wide_quantiles(df, few, names, by, fn)
+            rest = [c for c in cols if c not in few]
+            if not rest:
+                return direct
+            return direct.unionByName(quantiles(df, rest, probs, by, "select", profile))
     part = [*by, "feature"]
-    if mode == "exact" and profile.small():
+    if mode == "exact" and len(profile.few_valued(cols)) == len(cols):
         counts = long_values(df, cols, by).groupBy(*part, "value").agg(F.count("*").alias("n"))
         pct = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
         got = counts.groupBy(*part).agg(pct.alias("_q"))

@@ -53,7 +53,7 @@ def normalise_columns(df: DataFrame, style: str = "strict") -> DataFrame:
     return df.toDF(*normal_names(df.columns, style))
 
 
-def parse_shares(df: DataFrame, formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+def parse_shares(df: DataFrame, formats: Sequence[tuple[str, str]] = TIME_FORMATS) -> DataFrame:
     """Per text column: share of all rows that read as a number and as a time."""
     cols = text_columns(df)
     aggs = []
@@ -86,7 +86,7 @@ def infer_types(
     df: DataFrame,
     numeric_share: float = 0.7,
     time_share: float = 0.5,
-    formats: Sequence[str] = TIME_FORMATS,
+    formats: Sequence[tuple[str, str]] = TIME_FORMATS,
 ) -> DataFrame:
     """Cast text columns that mostly read as numbers or times (one aggregate decides all).
 
@@ -125,7 +125,7 @@ def parse_time(
     share: float = 0.5,
     ms_above: float = 1e10,
     s_above: float = 1e6,
-    formats: Sequence[str] = TIME_FORMATS,
+    formats: Sequence[tuple[str, str]] = TIME_FORMATS,
 ) -> Column:
     """TIMESTAMP from epoch ms, epoch s or text; the defaults and (0.7, 1e12, 1e9) are in use."""
     unit = time_unit(df, col, share, ms_above, s_above)

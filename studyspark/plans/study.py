@@ -28,7 +28,7 @@ def run_study(df: DataFrame, config: Mapping[str, Any], order_cols: list[str]) -
 
     Config: roles (entity_id, time_col, group_col, outcome_col), rules, row_missingness,
     outlier_method, outlier_threshold, duplicate_keys, group_cols, model (task, target, ...).
-    Returns lazy tables; the annotated table is checkpointed once because every step reads it.
+    Returns lazy tables; the annotated table is written once because every step reads it.
     """
     roles = Roles(**{k: config[k] for k in Roles().as_dict() if k in config})
     if roles == Roles():
