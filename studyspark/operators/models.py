@@ -121,19 +121,30 @@ def model_table(
     )
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Exact medians; a column without values imputes 0."""
+def medians(df: DataFrame, cols: Sequence[str], seen: DataFrame | None = None) -> dict[str, float]:
+    """Exact medians over `df` of the columns with a gap anywhere in `seen`.
+
+    A column without values imputes 0. Complete columns cost one count, not a quantile.
+    """
     if not cols:
         return {}
-    found = {r["feature"]: r["p50"] for r in quantiles(df, cols, [0.5]).collect()}
-    return {c: found.get(c, 0.0) for c in cols}
+    seen = df if seen is None else seen
+    filled = seen.agg(F.count("*"), *[F.count(c) for c in cols]).first()
+    gaps = [c for c, n in zip(cols, filled[1:]) if n < filled[0]]
+    if not gaps:
+        return {}
+    found = {r["feature"]: r["p50"] for r in quantiles(df, gaps, [0.5]).collect()}
+    return {c: found.get(c, 0.0) for c in gaps}
 
 
 def feature_stages(train: DataFrame, features: Sequence[str], impute: dict[str, float]) -> list:
     """Impute, one-hot (first sorted level dropped, missing text all zero) and assemble."""
     text = [c for c in features if isinstance(train.schema[c].dataType, T.StringType)]
     number = [c for c in features if c not in text]
-    filled = [f"coalesce(`{c}`, {impute[c]!r}D) AS `_f_{c}`" for c in number]
+    filled = [
+        f"coalesce(`{c}`, {impute[c]!r}D) AS `_f_{c}`" if c in impute else f"`{c}` AS `_f_{c}`"
+        for c in number
+    ]
     stages: list = []
     extra = list(filled)
     if text:
@@ -454,7 +465,7 @@ def run_classification(
     }
     train = rows.where(F.col("split") == TRAIN)
     number = [c for c in features if not isinstance(rows.schema[c].dataType, T.StringType)]
-    impute = medians(train if impute_scope == "train" else rows, number)
+    impute = medians(train if impute_scope == "train" else rows, number, rows)
     recipes = {LOGISTIC: logistic(n[TRAIN]), FOREST: forest_classifier(trees, depth, seed)}
     names = F.array(*[F.lit(c) for c in classes])
     chosen = {m: recipes[m] for m in models}
@@ -500,7 +511,7 @@ def run_regression(
     }
     train = rows.where(F.col("split") == TRAIN)
     number = [c for c in features if not isinstance(rows.schema[c].dataType, T.StringType)]
-    impute = medians(train if impute_scope == "train" else rows, number)
+    impute = medians(train if impute_scope == "train" else rows, number, rows)
     y_sd = train.agg(F.stddev_pop("_label")).first()[0]
     recipes = {RIDGE: ridge(n[TRAIN], y_sd), FOREST: forest_regressor(trees, depth, seed)}
     _fit_all(run, rows, features, {m: recipes[m] for m in models}, impute, None, importance, repeats)
