@@ -283,7 +283,7 @@ def rule_formula(spark, folder):
   WHEN lower(o_orderpriority) LIKE '%not%' THEN 'OTHER_TEXT' ELSE 'NORMAL' END AS pace,
   round(date_diff('microsecond', min(o_orderdate) OVER (PARTITION BY o_custkey), o_orderdate)
     / 1e6 / 86400 / 30.44, 2) AS months, o_totalprice FROM orders)
-SELECT o_orderkey, pace, months, round(o_totalprice / nullif(months, 0), 2) AS price_per_month,
+SELECT o_orderkey, pace, months, o_totalprice / nullif(months, 0) AS price_per_month,
   CASE WHEN months > 0 AND months <= 12 THEN 'year 1' WHEN months > 12 AND months <= 120
     THEN 'later' END AS phase,
   CASE WHEN pace = 'RUSH' THEN 'hot' ELSE 'cold' END AS heat FROM a"""
@@ -317,7 +317,7 @@ def rule_chain(spark, folder):
         "o_orderkey",
         "pace",
         "months",
-        F.round("price_per_month", 2).alias("price_per_month"),
+        "price_per_month",
         "phase",
         "heat",
     )
@@ -415,10 +415,9 @@ def raw_sessions(spark, folder):
   round(value, 3) AS duration_sec, CAST(tap_cnt AS BIGINT) AS tap_cnt,
   round(tap_cnt / nullif(value, 0), 4) AS tap_hz,
   CAST(tap_cnt IS NULL AS BIGINT) AS tap_samples_is_filehandle,
-  CASE WHEN event_type = 'signup' THEN
-      CASE WHEN value < 5 OR value > 60 THEN 'missing_pid,duration_out_of_range(5.0-60.0)'
-           ELSE 'missing_pid' END
-    WHEN value < 5 OR value > 60 THEN 'duration_out_of_range(5.0-60.0)' ELSE 'OK' END AS qc_reason
+  coalesce(nullif(concat_ws(',', CASE WHEN event_type = 'signup' THEN 'missing_pid' END,
+    CASE WHEN value <= 0 THEN 'nonpositive_duration' END,
+    CASE WHEN value < 5 OR value > 60 THEN 'duration_out_of_range(5.0-60.0)' END), ''), 'OK') AS qc_reason
 FROM raw"""
 )
 def clean_sessions(spark, folder):

@@ -112,11 +112,26 @@ def time_unit(
     dtype = df.schema[col].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return "native"
-    got = df.agg(F.avg(numeric_of(df, col).isNotNull().cast("int"))).first()[0]
-    if got is None or got <= share:
+    x = numeric_of(df, col)
+    rows, n, over_ms, over_s = df.agg(
+        F.count("*"),
+        F.count(x),
+        F.count(F.when(x > ms_above, 1)),
+        F.count(F.when(x > s_above, 1)),
+    ).first()
+    if not rows or n / rows <= share:
         return "text"
-    median = quantiles(df, [col], [0.5]).first()["p50"]
-    return "ms" if median > ms_above else "s" if median > s_above else "text"
+
+    def median_above(limit: float, over: int) -> bool:
+        # counts settle on which side both middle values lie; only a limit between them needs the
+        # median itself
+        if n - over <= (n - 1) // 2:
+            return True
+        if n - over >= n // 2 + 1:
+            return False
+        return quantiles(df, [col], [0.5]).first()["p50"] > limit
+
+    return "ms" if median_above(ms_above, over_ms) else "s" if median_above(s_above, over_s) else "text"
 
 
 def parse_time(

@@ -30,6 +30,9 @@ def test_epochs(spark):
         assert df.select(st.parse_time(df, c).alias("t")).first()["t"] == day
     assert st.time_unit(df, "s", 0.7, 1e12, 1e9) == "s"
     assert st.time_unit(df, "small") == "text"
+    even = spark.createDataFrame([(x,) for x in (1.0, 2.0, 1.5e6, 9e6)], "t double")
+    assert st.time_unit(even, "t") == "text"  # the limit lies between the middle values
+    assert st.time_unit(even.unionByName(even.where("t > 1.5e6")), "t") == "s"
 
 
 def test_months(spark):
