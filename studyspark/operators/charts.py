@@ -38,9 +38,11 @@ def histogram(df: DataFrame, col: str, group: str | None = None, bins: int = 30)
         placed = attach(rows, span, keys)
         low, high = F.col("_lo"), F.col("_hi")
     else:
+        # one range for the table: scanned once, then a literal
+        span = df.sparkSession.createDataFrame(span.collect(), span.schema)
         one = span.first()
         placed = rows
-        low, high = F.lit(one["_lo"] if one else None), F.lit(one["_hi"] if one else None)
+        low, high = (F.lit(one[c] if one else None).cast("double") for c in ("_lo", "_hi"))
     width = (high - low) / bins
     at = F.least(F.floor((F.col("_x") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
     # rounding may put a value on the wrong side of its edge by one bin

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyspark.functions.coerce import numeric_of
 from studyspark.functions.tails import student_two_sided
+from studyspark.operators.lineage import cut
 from studyspark.operators.order import quantiles
 from studyspark.operators.standardise import months_since_baseline
 
@@ -60,15 +61,18 @@ def slopes_by_months(
     return slopes(months_since_baseline(df, entity, time, "_months", **parse), entity, "_months", outcome)
 
 
-def fast_threshold(per_entity: DataFrame) -> float | None:
-    row = quantiles(per_entity, ["slope"], [0.75]).first()
-    return row["p75"] if row else None
+def _quartiles(per_entity: DataFrame) -> tuple[float | None, float | None]:
+    row = quantiles(per_entity, ["slope"], [0.5, 0.75]).first()
+    return (row["p50"], row["p75"]) if row else (None, None)
 
 
 def progression_summary(per_entity: DataFrame) -> DataFrame:
-    """One row: n_subjects, mean, median, sd, threshold (upper quartile), fast count and share."""
-    row = quantiles(per_entity, ["slope"], [0.5, 0.75]).first()
-    median, q75 = (row["p50"], row["p75"]) if row else (None, None)
+    """One row: n_subjects, mean, median, sd, threshold (upper quartile), fast count and share.
+
+    The slopes are written once as one column; the passes below read that.
+    """
+    per_entity = cut(per_entity.select("slope"))
+    median, q75 = _quartiles(per_entity)
     fast = F.count(F.when(F.col("slope") >= F.lit(q75), 1))
     n = F.count("slope")
     return per_entity.agg(
@@ -84,7 +88,8 @@ def progression_summary(per_entity: DataFrame) -> DataFrame:
 
 def fast_progressors(per_entity: DataFrame) -> DataFrame:
     """Slopes with is_fast = slope at or above the upper quartile."""
-    q75 = fast_threshold(per_entity)
+    per_entity = cut(per_entity)
+    _, q75 = _quartiles(per_entity)
     return per_entity.withColumn(
         "is_fast", F.coalesce(F.col("slope") >= F.lit(q75).cast("double"), F.lit(False))
     )
