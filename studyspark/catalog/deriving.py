@@ -28,6 +28,32 @@ def csv_round_trip(spark, folder):
     )
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS kind,
+  event_type = 'error' AS rejected FROM events"""
+)
+def csv_long_rows(spark, folder):
+    """Rows with one cell too many are kept aside; all others are read."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e = table(spark, folder, "events").select(
+        "event_id",
+        # an unquoted comma makes a fourth cell
+        F.when(F.col("event_type") == "error", F.lit("error,extra"))
+        .otherwise(F.col("event_type"))
+        .alias("kind"),
+        "user_id",
+    )
+    e.write.option("header", True).option("quote", "").csv(path)
+    rows, rejects = read_study(spark, [path])
+    good = rows.select(F.col("event_id").cast("bigint").alias("event_id"), "kind", F.lit(False).alias("rejected"))
+    bad = rejects.select(
+        F.split("line", ",")[0].cast("bigint").alias("event_id"),
+        F.lit(None).cast("string").alias("kind"),
+        F.lit(True).alias("rejected"),
+    )
+    return good.unionByName(bad)
+
+
 @query(
     """SELECT o_orderkey AS order_key, o_custkey AS total_price, o_totalprice AS total_price_1,
   o_orderstatus AS col_3 FROM orders"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studyspark.catalog.base import query, table
+from studyspark.catalog.comparing import SLOPE_FIT, TWO, rank_sql
 from studyspark.catalog.modelling import FEATURES, labelled
 from studyspark.catalog.quality import FLAGS, flagged_visits
 from studyspark.operators import models
@@ -64,7 +65,56 @@ def report_model(spark, folder):
     return report.model_facts(spark, run)
 
 
-@query()
+STUDY = (
+    """WITH os AS (SELECT *, CASE WHEN o_totalprice > 0 AND o_totalprice <= 200000 THEN 'small'
+    WHEN o_totalprice > 200000 AND o_totalprice <= 1000000 THEN 'large' END AS size FROM orders),
+bs AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM os),
+fs AS (SELECT os.*, concat_ws(',',
+    CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) > 1
+         THEN 'duplicate_key' END,
+    CASE WHEN o_totalprice < q1 - 3 * (q3 - q1) OR o_totalprice > q3 + 3 * (q3 - q1)
+         THEN 'outlier:o_totalprice' END) AS reason FROM os, bs),
+ks AS (SELECT * FROM fs WHERE reason = ''),
+ts AS (SELECT count(*) AS total, CAST(sum(CAST(reason = '' AS INT)) AS BIGINT) AS kept FROM fs),
+us AS (SELECT unnest(string_split(reason, ',')) AS reason FROM fs WHERE reason <> ''),
+vs AS (SELECT reason, count(*) AS n FROM us GROUP BY 1)"""
+    + rank_sql("SELECT 'o_totalprice' AS feature, size AS g, o_totalprice AS v FROM ks", ",")
+    + TWO
+    + SLOPE_FIT.replace("WITH om", ", om").replace("FROM orders", "FROM ks")
+    + """, qs AS (SELECT quantile_cont(slope, 0.5) AS md, quantile_cont(slope, 0.75) AS q FROM sl),
+ps AS (SELECT count(*) AS n, round(avg(slope), 6) AS mean, round(any_value(md), 6) AS median,
+  round(stddev_samp(slope), 6) AS sd, round(any_value(q), 6) AS cut,
+  count(*) FILTER (slope >= q) AS fast,
+  round(100.0 * count(*) FILTER (slope >= q) / count(*), 1) AS pct FROM sl, qs)
+SELECT 'qc' AS section, 1 AS ord, 'total' AS key, CAST(total AS VARCHAR) AS value FROM ts
+UNION ALL SELECT 'qc', 2, 'kept', CAST(kept AS VARCHAR) FROM ts
+UNION ALL SELECT 'qc', 3, 'removed', CAST(total - kept AS VARCHAR) FROM ts
+UNION ALL SELECT 'qc', 4, 'kept_pct', CAST(round(100.0 * kept / total, 1) AS VARCHAR) FROM ts
+UNION ALL SELECT 'qc_reasons', CAST(row_number() OVER (ORDER BY n DESC, reason) AS INT), reason,
+  CAST(n AS VARCHAR) FROM vs
+UNION ALL SELECT 'describe', 1, 'o_totalprice', 'mean=' || round(avg(o_totalprice), 4) || ', SD='
+  || round(stddev_samp(o_totalprice), 4) || ', median=' || round(quantile_cont(o_totalprice, 0.5), 4)
+  || ', missing=0.0%' FROM ks
+UNION ALL SELECT 'compare', 1, feature, 'effect=' || effect_size || '; '
+  || CASE WHEN abs(effect_size) >= 0.8 THEN 'LARGE' WHEN abs(effect_size) >= 0.5 THEN 'medium'
+     WHEN abs(effect_size) >= 0.2 THEN 'small' ELSE 'negligible' END || '; p=' || p_value || '; '
+  || CASE WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END
+  || '; expected=UNKNOWN' FROM c
+UNION ALL SELECT 'progression', 1, 'n_subjects', CAST(n AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 2, 'mean_slope', CAST(mean AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 3, 'median_slope', CAST(median AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 4, 'sd_slope', CAST(sd AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 5, 'fast_progressor_threshold', CAST(cut AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 6, 'n_fast_progressors', CAST(fast AS VARCHAR) FROM ps
+UNION ALL SELECT 'progression', 7, 'pct_fast', CAST(pct AS VARCHAR) FROM ps"""
+    + "".join(
+        f" UNION ALL SELECT 'limitations', {i}, '{i}', '{text}'"
+        for i, text in enumerate(report.LIMITATIONS, 1)
+    )
+)
+
+
+@query(STUDY)
 def study_report(spark, folder):
     """The whole study on orders: rules, QC, describe, compare, progression, report."""
     config = {
