@@ -131,10 +131,10 @@ def condition_comparison(spark, folder):
     return got.select("feature", "n_groups", "n_total", "statistic", "effect_size")
 
 
-PAIRS = """WITH pr AS (SELECT a.user_id AS e, a.value AS va, b.value AS vb
+PAIRS = """WITH RECURSIVE pr AS (SELECT a.user_id AS e, a.value AS va, b.value AS vb
   FROM events a JOIN events b ON a.user_id = b.user_id
   WHERE a.event_type = 'click' AND b.event_type = 'view')"""
-PAIRS_MEAN = """WITH s AS (SELECT user_id AS e, avg(CASE WHEN event_type = 'click' THEN value END) AS va,
+PAIRS_MEAN = """WITH RECURSIVE s AS (SELECT user_id AS e, avg(CASE WHEN event_type = 'click' THEN value END) AS va,
   avg(CASE WHEN event_type = 'view' THEN value END) AS vb FROM events GROUP BY 1),
 pr AS (SELECT e, va, vb FROM s WHERE va IS NOT NULL AND vb IS NOT NULL)"""
 SIGNED = """, d AS (SELECT abs(va - vb) AS v, va > vb AS pos FROM pr WHERE va <> vb),
@@ -146,16 +146,26 @@ g AS (SELECT count(*) AS n_pairs, count(DISTINCT e) AS n_entities, avg(va) AS ma
         avg(va - vb) AS md, var_samp(va) AS xa, var_samp(vb) AS xb, stddev_samp(va - vb) AS sd
       FROM pr),
 o AS (SELECT *, (least(wp, wn) - nz * (nz + 1) / 4)
-        / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24 - ties / 48) AS z FROM w, g)
+        / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24 - ties / 48) AS z,
+        nz = n_pairs AND n_pairs <= 50 AND ties = 0 AS exact FROM w, g),
+ways(k, ws) AS (
+  SELECT CAST(0 AS BIGINT), [CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0 END for i in range(1, 1277)]
+  UNION ALL
+  SELECT k + 1, [ws[i] + CASE WHEN i > k + 1 THEN ws[i - k - 1] ELSE 0 END for i in range(1, 1277)]
+  FROM ways WHERE k < (SELECT CASE WHEN exact THEN n_pairs ELSE 0 END FROM o)),
+lw AS (SELECT ws FROM ways ORDER BY k DESC LIMIT 1)
 SELECT 'value' AS feature, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b,
-  round(md, 4) AS mean_diff, n_pairs, n_entities, 'Wilcoxon' AS test, 'asymptotic' AS method,
-  round(least(wp, wn), 4) AS statistic, round({tail}, 4) AS p_value,
-  round((ma - mb) / sqrt((xa + xb) / 2), 4) AS effect_size_d FROM o""".format(
+  round(md, 4) AS mean_diff, n_pairs, n_entities, 'Wilcoxon' AS test,
+  CASE WHEN exact THEN 'exact' ELSE 'asymptotic' END AS method,
+  round(least(wp, wn), 4) AS statistic,
+  round(CASE WHEN exact THEN least(1.0, 2 * list_sum(ws[1:CAST(least(wp, wn) AS BIGINT) + 1])
+    / pow(2, n_pairs)) ELSE {tail} END, 4) AS p_value,
+  round((ma - mb) / sqrt((xa + xb) / 2), 4) AS effect_size_d FROM o, lw""".format(
     tail=sql_normal_two_sided("z")
 )
 
 
-@query(PAIRS + SIGNED.replace("abs(va - vb)", "abs(va - vb)"))
+@query(PAIRS + SIGNED)
 def within_subject(spark, folder):
     return paired.within_subject(
         table(spark, folder, "events"), ["value"], "user_id", "event_type", "click", "view"
