@@ -67,7 +67,8 @@ def describe_categorical(spark, folder):
     """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS k FROM c)
 SELECT value, n, false AS is_rest FROM r WHERE k <= 15
-UNION ALL SELECT '(others)', CAST(sum(n) AS BIGINT), true FROM r WHERE k > 15"""
+UNION ALL SELECT '(others)', CAST(sum(n) AS BIGINT), true FROM r WHERE k > 15
+HAVING count(*) > 0"""
 )
 def top_values_others(spark, folder):
     return describe.top_values(table(spark, folder, "events"), "user_id", 15)

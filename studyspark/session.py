@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a stack capture per Column call costs more than building the whole plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
