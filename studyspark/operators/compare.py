@@ -84,23 +84,30 @@ def pooled_d(
     return F.when((n_a >= 2) & (n_b >= 2), d)
 
 
-def _exact_u(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact two-sided p of the few small tie-free features; others pass unchanged."""
-    for pdf in batches:
-        for i in pdf.index[pdf["exact"]]:
-            m, n = sorted((int(pdf.at[i, "n_a"]), int(pdf.at[i, "n_b"])))
-            # ways[u]: choices of m ranks out of m + n with statistic u, built rank by rank
-            ways = np.zeros((m + 1, m * n + 1))
-            ways[0, 0] = 1.0
-            for rank in range(m + n):
-                for j in range(min(m, rank + 1), 0, -1):
-                    shift = rank - (j - 1)
-                    if shift <= n:
-                        ways[j, shift:] += ways[j - 1, : m * n + 1 - shift]
-            top = int(max(pdf.at[i, "u"], m * n - pdf.at[i, "u"]))
-            share = ways[m, top:].sum() / ways[m].sum()
-            pdf.at[i, "p_raw"] = min(1.0, 2.0 * share)
-        yield pdf
+def _exact_u():
+    """Exact two-sided p of the few small tie-free features; others pass unchanged.
+
+    A nested function travels to the workers by value, so they need not have this package.
+    """
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf.index[pdf["exact"]]:
+                m, n = sorted((int(pdf.at[i, "n_a"]), int(pdf.at[i, "n_b"])))
+                # ways[u]: choices of m ranks out of m + n with statistic u, built rank by rank
+                ways = np.zeros((m + 1, m * n + 1))
+                ways[0, 0] = 1.0
+                for rank in range(m + n):
+                    for j in range(min(m, rank + 1), 0, -1):
+                        shift = rank - (j - 1)
+                        if shift <= n:
+                            ways[j, shift:] += ways[j - 1, : m * n + 1 - shift]
+                top = int(max(pdf.at[i, "u"], m * n - pdf.at[i, "u"]))
+                share = ways[m, top:].sum() / ways[m].sum()
+                pdf.at[i, "p_raw"] = min(1.0, 2.0 * share)
+            yield pdf
+
+    return step
 
 
 def group_sizes(df: DataFrame, features: Sequence[str], group: str) -> dict[str, tuple]:
@@ -228,7 +235,7 @@ def compare_groups(
         (exact & F.col("feature").isin(small) if small else F.lit(False)).alias("exact"),
     )
     if small:
-        out = out.mapInPandas(_exact_u, out.schema)
+        out = out.mapInPandas(_exact_u(), out.schema)
     return out.select(
         "feature",
         F.col("k").alias("n_groups"),

@@ -150,18 +150,25 @@ def profile_pairs(sides: DataFrame, features: Sequence[str], entity: str) -> Pai
     return PairProfile(pairs, ranges, centers)
 
 
-def _exact_w(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact two-sided signed-rank p of small tie-free features."""
-    for pdf in batches:
-        for i in pdf.index[pdf["exact"]]:
-            n = int(pdf.at[i, "nz"])
-            ways = np.zeros(n * (n + 1) // 2 + 1)
-            ways[0] = 1.0
-            for r in range(1, n + 1):
-                ways[r:] = ways[r:] + ways[:-r]
-            low = int(min(pdf.at[i, "w_pos"], pdf.at[i, "w_neg"]))
-            pdf.at[i, "p_w"] = min(1.0, 2.0 * ways[: low + 1].sum() / ways.sum())
-        yield pdf
+def _exact_w():
+    """Exact two-sided signed-rank p of small tie-free features.
+
+    A nested function travels to the workers by value, so they need not have this package.
+    """
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf.index[pdf["exact"]]:
+                n = int(pdf.at[i, "nz"])
+                ways = np.zeros(n * (n + 1) // 2 + 1)
+                ways[0] = 1.0
+                for r in range(1, n + 1):
+                    ways[r:] = ways[r:] + ways[:-r]
+                low = int(min(pdf.at[i, "w_pos"], pdf.at[i, "w_neg"]))
+                pdf.at[i, "p_w"] = min(1.0, 2.0 * ways[: low + 1].sum() / ways.sum())
+            yield pdf
+
+    return step
 
 
 def _differences(
@@ -282,7 +289,7 @@ def within_subject(
         ).alias("exact"),
     )
     if small:
-        out = out.mapInPandas(_exact_w, out.schema)
+        out = out.mapInPandas(_exact_w(), out.schema)
     else:
         out = out.withColumn("exact", F.lit(False))
     use = F.col("nz") > 0
