@@ -4,9 +4,9 @@ A window over the key would put all rows of a hot key in one task. Here the per-
 map-side-combined aggregate, and the way it returns to the rows is chosen from a small profile of
 the keys (one column-pruned pass, at most HOT_LIMIT hashes on the driver):
 
-* few keys (size bound checked)  -> broadcast the per-key table; the rows are not shuffled
-* many keys, some of them hot    -> shuffle join on (key, salt); only hot keys are replicated
-* many keys, none hot            -> plain shuffle join
+* few keys, fixed-width values (size bound checked) -> broadcast; the rows are not shuffled
+* many keys, some of them hot -> shuffle join on (key, salt); only hot keys are replicated
+* many keys, none hot -> plain shuffle join
 
 Hot hashes enter the plan as literals, so both join sides always agree on them.
 """
@@ -69,10 +69,13 @@ def profile_keys(
     return KeyProfile(got["rows"], got["distinct"], got["w"] or 0, hot)
 
 
-def _width(dtype: T.DataType) -> int:
+def _width(dtype: T.DataType) -> int | None:
+    """Bytes of one value, or None where values have no fixed width."""
     if isinstance(dtype, T.StructType):
-        return 8 + sum(_width(f.dataType) for f in dtype)
-    return 16 if isinstance(dtype, (T.NumericType, T.BooleanType, T.DatetimeType)) else 128
+        parts = [_width(f.dataType) for f in dtype]
+        return None if None in parts else 8 + sum(parts)
+    fixed = isinstance(dtype, (T.NumericType, T.BooleanType, T.DatetimeType))
+    return 16 if fixed else None
 
 
 def attach(
@@ -95,8 +98,9 @@ def attach(
     same: Column = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-    value_bytes = 32 + sum(_width(per_key.schema[v].dataType) for v in values)
-    if profile.fits_broadcast(value_bytes, broadcast_bytes):
+    widths = [_width(per_key.schema[v].dataType) for v in values]
+    bounded = None not in widths
+    if bounded and profile.fits_broadcast(32 + sum(widths), broadcast_bytes):
         out = df.join(F.broadcast(right), same, how)
     elif not profile.hot:
         out = df.join(right, same, how)
