@@ -21,7 +21,7 @@ _MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE_CODE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    # short ones, as the driver hashes, aren't kept: what is kept here would travel with functions
+    size = n if n < 4096 else max(n, 2 * CHUNK_BYTES)
+    made = []
+    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 2**64))):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if size >= 4096:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 class Spans:
