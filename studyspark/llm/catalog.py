@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from studyspark.llm import html, mixing, quality, repetition, toxicity  # noqa: F401
+from studyspark.llm import html, mixing, neardup, quality, repetition, toxicity  # noqa: F401
 from studyspark.llm.base import REGISTRY  # noqa: F401
