@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-from studyspark.llm import html, mixing, neardup, quality, repetition, toxicity  # noqa: F401
+from studyspark.llm import (  # noqa: F401
+    decontam,
+    html,
+    licenses,
+    mixing,
+    neardup,
+    quality,
+    repetition,
+    toxicity,
+)
 from studyspark.llm.base import REGISTRY  # noqa: F401
