@@ -6,6 +6,7 @@ from studyspark.llm import (  # noqa: F401
     decontam,
     html,
     licenses,
+    linededup,
     mixing,
     neardup,
     quality,
