@@ -5,6 +5,7 @@ from __future__ import annotations
 from studyspark.llm import (  # noqa: F401
     decontam,
     html,
+    langid,
     licenses,
     linededup,
     mixing,
