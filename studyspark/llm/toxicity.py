@@ -70,14 +70,19 @@ VOTERS = (
 FEATURES = (*HITS, "log_terms")
 
 
-def mine_lexicon(known: DataFrame) -> Lexicon:
-    """Pieces of rows (text, label) that mark toxic texts. Bounded sample, whole texts."""
+def mine_lexicon(texts: DataFrame, known: DataFrame) -> Lexicon:
+    """Pieces of the texts (id, text) that mark toxic ones among the labels (id, label).
+
+    A hash of the id picks about `MINE_ROWS` labels of each class. That sample is small whatever
+    the corpus, so it goes to the texts; they are read whole and never moved.
+    """
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({"seed": list(SEEDS), **{k: [] for k in HITS[1:7]}})
-    chance = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, MINE_ROWS / sizes[1]).otherwise(MINE_ROWS / sizes[0])
-    sample = cut(known.where(chance < share).select(F.lower("text").alias("text"), "label"))
+    picked = F.broadcast(known.where(chance < share).select("id", "label"))
+    sample = cut(texts.join(picked, "id").select(F.lower("text").alias("text"), "label"))
     count = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = max(count.get(1, 0), 1), max(count.get(0, 0), 1)
     words = sample.withColumn(
@@ -356,10 +361,10 @@ def score_rows(
         .agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    open_rows = texts.where(
-        F.col("text").isNotNull() & (id_remainder(F.col("id"), FOLDS) != HELD)
-    ).join(known, "id")
-    lexicon = mine_lexicon(open_rows.select("text", "label"))
+    lexicon = mine_lexicon(
+        texts.where(F.col("text").isNotNull()),
+        cut(known.where(id_remainder(F.col("id"), FOLDS) != HELD)),
+    )
     rows = cut(
         carry.select(
             "row",
