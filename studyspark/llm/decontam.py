@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyspark.llm.base import packed, query, table
-from studyspark.llm.neardup import text_key
+from studyspark.llm.base import packed, query, table, text_key
 from studyspark.llm.wordbytes import Spans, chunks, mix
 from studyspark.operators.lineage import cut
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyspark.llm.base import packed, query, table
+from studyspark.llm.base import packed, query, table, text_key
 from studyspark.operators.lineage import cut
 
 MIN_WORDS = 30
@@ -34,19 +34,19 @@ def _doubled(ranks: Column, words: Column, step: int) -> tuple[Column, Column]:
 
 
 def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """(uid, id, start, end, name) of the windows of rows (uid, id, ranks, words).
+    """(id, th, start, end, name) of the windows of rows (id, th, ranks, words).
 
     `ranks` and `words` are arrays over the lines of a document: a hash and the number of words.
     """
     longest = rows.agg(F.max(F.size("ranks"))).first()[0] or 0
     levels = max(int(longest) - 1, 0).bit_length()  # 2^levels >= longest
-    df = rows.select("uid", "id", F.col("ranks").alias("r0"), F.col("words").alias("s0"))
+    df = rows.select("id", "th", F.col("ranks").alias("r0"), F.col("words").alias("s0"))
     for k in range(levels):
         ranks, words = _doubled(F.col(f"r{k}"), F.col(f"s{k}"), 1 << k)
         df = df.withColumns({f"r{k + 1}": ranks, f"s{k + 1}": words})
     df = df.select(
-        "uid",
         "id",
+        "th",
         F.size("r0").alias("n"),
         F.array(*[f"r{k}" for k in range(levels + 1)]).alias("r"),
         F.array(*[f"s{k}" for k in range(levels + 1)]).alias("s"),
@@ -97,11 +97,11 @@ def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
     lines = F.sequence(F.lit(0), F.col("n") - 1)
     spans = F.array_distinct(F.concat(F.transform(lines, forward), F.transform(lines, backward)))
     whole = df.where("n > 0").select(
-        "uid", "id", "n", "r", F.explode(spans).alias("w")
+        "id", "th", "n", "r", F.explode(spans).alias("w")
     ).where((F.col("w.start") >= 0) & (F.col("w.end") < F.col("n")))
     placed = whole.select(
-        "uid",
         "id",
+        "th",
         "r",
         F.col("w.start").alias("start"),
         F.col("w.end").alias("end"),
@@ -111,8 +111,8 @@ def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
     tail = F.col("end") + 1 - F.expr("shiftleft(1, level)")
     ranks = F.get("r", F.col("level"))
     return placed.select(
-        "uid",
         "id",
+        "th",
         "start",
         "end",
         F.xxhash64(F.get(ranks, F.col("start")), F.get(ranks, tail), F.col("length")).alias("name"),
@@ -120,19 +120,19 @@ def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """(uid, lines): the line numbers of each document that lie in a later copy of a run."""
-    place = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "start")
-    runs = cut(line_runs(rows, min_words).select("uid", "start", "end", "name", place.alias("place")))
+    """(id, th, lines): the line numbers of each document that lie in a later copy of a run."""
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "th", "start")
+    runs = cut(line_runs(rows, min_words))
     intervals = (
         runs.groupBy("name")
-        .agg(F.count(F.lit(1)).alias("places"), F.min("place").alias("first"))
+        .agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("first"))
         .where(F.col("places") > 1)
         .select("name", "first")
     )
-    later = runs.join(intervals, "name").where(F.col("place") != F.col("first"))
+    later = runs.join(intervals, "name").where(place != F.col("first"))
     return (
-        later.select("uid", F.explode(F.sequence("start", "end")).alias("line"))
-        .groupBy("uid")
+        later.select("id", "th", F.explode(F.sequence("start", "end")).alias("line"))
+        .groupBy("id", "th")
         .agg(F.collect_set("line").alias("lines"))
     )
 
@@ -145,33 +145,33 @@ def drop_repeated_lines(
     Lines are parted by \\n and equal if their characters are. Of every run of lines with at least
     `min_words` words that stands more than once, in one document or several, the first place stays,
     by smallest id (null last), then by line. Shorter runs stay, whatever their number. Null text
-    stays null and has no lines; a text whose lines all go becomes empty. Of equal rows the text
-    stays in one.
+    stays null and has no lines; a text whose lines all go becomes empty. Rows with equal id and
+    text are one document here: what stays, stays in each of them.
     """
     text = F.col(text_col).cast("string")
     lines = F.split(text, "\n")
-    # written once: the row number is fixed from here on
+    # a few bytes per line, written once for the passes below; texts are read again, not written
     rows = cut(
-        packed(
-            docs,
-            uid=F.monotonically_increasing_id(),
-            id=F.col(id_col),
-            text=text,
-            ranks=F.transform(lines, lambda x: F.xxhash64(x)),
-            words=F.transform(
+        docs.where(text.isNotNull()).select(
+            F.col(id_col).alias("id"),
+            F.xxhash64(text).alias("th"),
+            F.transform(lines, lambda x: F.xxhash64(x)).alias("ranks"),
+            F.transform(
                 lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-            ),
+            ).alias("words"),
         )
     )
-    found = repeated_lines(rows.select("uid", "id", "ranks", "words").where("ranks is not null"), min_words)
-    joined = rows.select("uid", "row", "text").join(found, "uid", "left")
-    n = F.size(F.split("text", "\n"))
+    found = repeated_lines(rows, min_words).select(F.struct("id", "th").alias("key"), "lines")
+    joined = packed(docs, key=text_key(F.col(id_col), text)).join(found, "key", "left")
+    text = F.col("row").getField(text_col).cast("string")
+    n = F.size(F.split(text, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("lines"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(F.split("text", "\n"), i)), "\n")
+    split = F.split(text, "\n")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     return joined.select(
         "row",
-        F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), n), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.when(F.col("lines").isNull(), text).otherwise(kept).alias("text"),
+        F.coalesce(F.when(text.isNotNull(), n), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_deleted"),
     )
 
