@@ -109,7 +109,7 @@ def template_windows(rows: DataFrame, seen: bytes | None = None) -> DataFrame:
     `seen` is a bit table of hashes; windows outside it are left out, as they can't match.
     """
     units = _unit_hashes()
-    bits = None if seen is None else np.unpackbits(np.frombuffer(seen, np.uint8), bitorder="little").view(bool)
+    bits = None if seen is None else np.frombuffer(seen, np.uint8)
 
     def run(batches):
         for batch in batches:
@@ -117,7 +117,8 @@ def template_windows(rows: DataFrame, seen: bytes | None = None) -> DataFrame:
             for chunk in chunks(batch.column(1)):
                 own, pos, typed, hashes, slots = _windows_of(chunk, units)
                 if bits is not None:
-                    keep = np.flatnonzero(bits[hashes & ((1 << FILTER_BITS) - 1)])
+                    low = hashes & ((1 << FILTER_BITS) - 1)
+                    keep = np.flatnonzero((bits[low >> 3] >> (low & 7)) & 1)
                     own, pos, typed, hashes, slots = own[keep], pos[keep], typed[keep], hashes[keep], slots[keep]
                 if not len(own):
                     continue
