@@ -13,19 +13,59 @@ from studyspark.sources.delimited import read_study
 from studyspark.sources.sinks import write_table
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query(
+    """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment,
+  'part-' AS file FROM customer"""
+)
 def csv_round_trip(spark, folder):
     """Write a table as delimited text, read it back, infer its types."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_table(table(spark, folder, "customer"), path, "csv")
     rows, _ = read_study(spark, [path])
-    return rows.select(
-        F.col("c_custkey").cast("bigint").alias("c_custkey"),
-        "c_name",
-        F.col("c_nationkey").cast("int").alias("c_nationkey"),
-        "c_acctbal",
-        "c_mktsegment",
+    # the writer numbers its files; the name's beginning is the same in every run
+    return rows.withColumn("file", F.substring("_source_file", 1, 5)).drop("_source_file")
+
+
+@query(
+    """SELECT event_id, user_id, '[' ||
+  array_to_string([x + user_id for x in range(event_id % 7 + 10000)], ',') || ']' AS taps,
+  CAST(NULL AS VARCHAR) AS note FROM events
+WHERE event_type = 'signup'"""
+)
+def csv_long_lists(spark, folder):
+    """Quoted lists of ten thousand numbers in rows that lack their last cell."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e = table(spark, folder, "events").where("event_type = 'signup'")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("event_id") % 7 + 9999)
+    taps = F.concat(
+        F.lit('"['),
+        F.array_join(F.transform(steps, lambda x: (x + F.col("user_id")).cast("string")), ","),
+        F.lit(']"'),
     )
+    line = F.concat_ws(",", "event_id", "user_id", taps)
+    head = spark.range(1).select(F.lit("event_id,user_id,taps,note").alias("value"))
+    # a file for each part of the rows, with the header on top of each
+    parts = e.select(line.alias("value"), F.lit(1).alias("n"))
+    one = head.withColumn("n", F.lit(0)).unionByName(parts).coalesce(1).sortWithinPartitions("n")
+    one.select("value").write.text(path)
+    rows, _ = read_study(spark, [path])
+    return rows.select("event_id", "user_id", "taps", F.col("note").cast("string").alias("note"))
+
+
+@query(
+    """SELECT l_orderkey AS id, CAST(l_linenumber + 0.5 AS DOUBLE) AS vel, l_quantity AS step_mean, l_discount AS step_sd,
+  l_extendedprice AS stride_mean, l_tax AS stride_sd FROM lineitem WHERE l_linenumber <= 7"""
+)
+def two_row_headers(spark, folder):
+    """An export with sub-headers on its second line."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    line = table(spark, folder, "lineitem").where("l_linenumber <= 7")
+    cells = ["l_orderkey", F.col("l_linenumber") + 0.5, "l_quantity", "l_discount", "l_extendedprice", "l_tax"]
+    text = line.select(F.concat_ws(",", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cells]).alias("value"), F.lit(2).alias("n"))
+    heads = spark.createDataFrame([("ID,Vel,Step,,Stride,", 0), (",,Mean,SD,Mean,SD", 1)], "value string, n int")
+    heads.unionByName(text).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    rows, _ = read_study(spark, [path])
+    return rows.drop("_source_file")
 
 
 @query(
@@ -150,9 +190,9 @@ def parse_shares(spark, folder):
 
 @query(
     TEXTS
-    + """ SELECT CAST(amount AS DOUBLE) AS amount, TRY_CAST(code AS DOUBLE) AS code,
+    + """ SELECT CAST(amount AS DOUBLE) AS amount, TRY_CAST(code AS BIGINT) AS code,
   CAST(CASE WHEN seen LIKE '2024-%' THEN epoch(CAST(seen AS TIMESTAMP)) END AS BIGINT) AS seen_s,
-  CAST(rare AS DOUBLE) AS rare, props FROM t"""
+  CAST(rare AS BIGINT) AS rare, props FROM t"""
 )
 def infer_types(spark, folder):
     """Text becomes numbers (also the sparse all-number column) and times; the rest stays."""

@@ -8,7 +8,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyspark.functions.coerce import nan_to_null, numeric_of
@@ -22,7 +22,7 @@ BINARY = {
     ast.Mult: lambda a, b: a * b,
     ast.Div: F.try_divide,
     ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)).cast("double"),
-    ast.Pow: F.pow,
+    ast.Pow: lambda a, b: F.when((a != 0) | (b >= 0), F.pow(a, b)),
 }
 
 
@@ -170,13 +170,13 @@ def validate_rules(rules: Sequence[Rule], columns: Sequence[str] | None = None)
     for i, r in enumerate(rules):
         for field in ("type", "output_col"):
             if field not in r:
-                out.append(f"Rule {i}: missing '{field}' field.")
+                out.append(f"rule {i} has no {field}")
         if "type" in r and r["type"] not in KINDS:
-            out.append(f"Rule {i}: unknown type '{r['type']}'.")
+            out.append(f"rule {i} is of no known type: {r['type']}")
         if known is not None:
             for field in ("source_col", "time_col", "entity_id_col"):
                 if field in r and r[field] not in known:
-                    out.append(f"Rule {i}: column '{r[field]}' not found.")
+                    out.append(f"rule {i} names a column that is not there: {r[field]}")
             if "output_col" in r:
                 known.add(r["output_col"])
     return out
@@ -193,11 +193,12 @@ def parse_keyword_mappings(text: str) -> list[dict[str, Any]]:
     return out
 
 
-def load_config(path: str) -> dict[str, Any]:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load_config(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A config written by `save_config`, or any JSON file, from any file system Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def save_config(config: Mapping[str, Any], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(dict(config), f, indent=2, default=str)
+def save_config(spark: SparkSession, config: Mapping[str, Any], path: str) -> None:
+    """One JSON text under `path`, written by Spark, so it lies where the tables lie."""
+    text = json.dumps(dict(config), indent=2, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -24,6 +24,13 @@ MAX_NAME = 64
 DAYS_PER_MONTH = 30.44
 
 
+# Text of a whole number, with an optional sign.
+WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
+# Name parts that mark a column as not a mean of interest, and as not plain.
+NOT_A_MEAN = ("ratio", "asi", "sample", "%cv", "_cv")
+NOT_PLAIN = ("%cv", "unnamed", "sample")
+
+
 def normal_name(name: str, style: str = "strict") -> str:
     text = name.strip()
     if style == "loose":
@@ -62,10 +69,16 @@ def parse_shares(df: DataFrame, formats: Sequence[tuple[str, str]] = TIME_FORMAT
         as_time = timestamp_text(F.col(c), formats).isNotNull().cast("int")
         filled = F.col(c).isNotNull()
         as_bad = (filled & numeric_of(df, c).isNull()).cast("int")
+        text = F.col(c).cast("string")
+        whole = filled & text.rlike(WHOLE_TEXT)
+        fits = whole & F.trim(text).try_cast("bigint").isNotNull()
+        number = numeric_of(df, c).isNotNull()
         aggs += [
             F.avg(as_num).alias(f"n{i}"),
             F.avg(as_time).alias(f"t{i}"),
             F.sum(as_bad).alias(f"b{i}"),
+            F.sum((number & ~whole).cast("int")).alias(f"f{i}"),
+            F.sum((whole & ~fits).cast("int")).alias(f"w{i}"),
         ]
     rows = [
         F.struct(
@@ -73,11 +86,16 @@ def parse_shares(df: DataFrame, formats: Sequence[tuple[str, str]] = TIME_FORMAT
             F.col(f"n{i}").alias("numeric_share"),
             F.col(f"t{i}").alias("time_share"),
             F.col(f"b{i}").alias("non_numeric"),
+            F.col(f"f{i}").alias("fractional"),
+            F.col(f"w{i}").alias("too_wide"),
         )
         for i, c in enumerate(cols)
     ]
     if not cols:
-        schema = "column string, numeric_share double, time_share double, non_numeric bigint"
+        schema = (
+            "column string, numeric_share double, time_share double, non_numeric bigint, "
+            "fractional bigint, too_wide bigint"
+        )
         return df.sparkSession.createDataFrame([], schema)
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
@@ -87,19 +105,26 @@ def infer_types(
     numeric_share: float = 0.7,
     time_share: float = 0.5,
     formats: Sequence[tuple[str, str]] = TIME_FORMATS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Cast text columns that mostly read as numbers or times (one aggregate decides all).
 
-    A column whose every filled cell is a number is numeric however sparse it is.
+    A column whose every filled cell is a number is numeric however sparse it is. Whole numbers
+    become BIGINT; `keep` names columns that stay text. A column of whole numbers of which some exceed it stays text, as a DOUBLE would
+    merge neighbours. Any other numeric column is DOUBLE.
     """
     casts: dict[str, Column] = {}
-    for row in parse_shares(df, formats).collect():
+    for row in parse_shares(df.drop(*keep), formats).collect():
         c = row["column"]
         if row["numeric_share"] is None:
             continue
         whole = row["non_numeric"] == 0 and row["numeric_share"] > 0
         if whole or row["numeric_share"] > numeric_share:
-            casts[c] = numeric_of(df, c)
+            if row["fractional"]:
+                casts[c] = numeric_of(df, c)
+            elif not row["too_wide"]:
+                text = F.col(c).cast("string")
+                casts[c] = F.when(text.rlike(WHOLE_TEXT), F.trim(text).try_cast("bigint"))
         elif row["time_share"] > time_share:
             casts[c] = timestamp_text(F.col(c), formats)
     return df.withColumns(casts) if casts else df
@@ -199,17 +224,16 @@ def concat_rows(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
-def best_numeric_columns(df: DataFrame, limit: int = 20) -> list[str]:
+def best_numeric_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     """Columns worth analysing: means first, else numeric without ratio/sample noise."""
     names = [f.name for f in df.schema if is_numeric(f.dataType)]
     low = {n: n.lower() for n in names}
-    noise = ("ratio", "asi", "sample", "%cv", "_cv")
-    means = [n for n in names if "mean" in low[n] and not any(w in low[n] for w in noise)]
-    plain = [n for n in names if not any(w in low[n] for w in ("%cv", "unnamed", "sample"))]
+    means = [n for n in names if "mean" in low[n] and not any(w in low[n] for w in NOT_A_MEAN)]
+    plain = [n for n in names if not any(w in low[n] for w in NOT_PLAIN)]
     return (means or plain or names)[:limit]
 
 
-def categorical_candidates(df: DataFrame, below: int = 50, limit: int = 10) -> list[str]:
+def categorical_candidates(df: DataFrame, below: int = 50, limit: int | None = None) -> list[str]:
     """Text columns with fewer than `below` distinct values."""
     cols = text_columns(df)
     if not cols:

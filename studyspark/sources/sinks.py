@@ -59,7 +59,7 @@ def write_study(result: Mapping[str, Any], folder: str, config: Mapping[str, Any
     write_qc_log(result["qc"], folder, "parquet")
     write_report(result["report"], folder, "insights_report")
     write_charts(result["charts"], folder)
-    save_config(config, f"{folder}/config.json")
+    save_config(result["qc"].sparkSession, config, f"{folder}/config")
     model = result.get("model")
     if model is not None and model.error is None:
         model.save(f"{folder}/model_result")

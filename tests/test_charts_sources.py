@@ -1,4 +1,3 @@
-import json
 import os
 
 import numpy as np
@@ -7,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studyspark.operators import charts, qc
 from studyspark.plans.report import insight_facts
+from studyspark.operators.rules import load_config
 from studyspark.plans.study import run_study
 from studyspark.sources import delimited, sinks
 
@@ -52,7 +52,7 @@ def write(path, text):
 def test_long_rows_are_kept_aside(spark, tmp_path):
     path = write(tmp_path / "m.csv", 'a,b,c\n1,2,3\n4,5\n6,7,8,9\n5,"q,r",7\n')
     got = delimited.read_delimited(spark, path)
-    assert sorted(map(tuple, got.rows.collect())) == [("1", "2", "3"), ("4", "5", None), ("5", "q,r", "7")]
+    assert sorted(map(tuple, got.rows.drop("_source_file").collect())) == [("1", "2", "3"), ("4", "5", None), ("5", "q,r", "7")]
     assert [r["line"] for r in got.rejects.collect()] == ["6,7,8,9"]
     assert got.rows.select("a").count() == 3 and got.rows.select("c").where("c = '7'").count() == 1
 
@@ -63,7 +63,7 @@ GAIT = "ID,Vel,Step,,,Stride,\n,,Mean,SD,%CV,Mean,SD\n1,2,3,4,5,6,7\n2,2.5,3,4,5
 def test_two_row_header(spark, tmp_path):
     got = delimited.read_delimited(spark, write(tmp_path / "g.csv", GAIT))
     assert got.two_row_header
-    assert got.rows.columns == ["id", "vel", "step_mean", "step_sd", "step_cv", "stride_mean", "stride_sd"]
+    assert got.rows.drop("_source_file").columns == ["id", "vel", "step_mean", "step_sd", "step_cv", "stride_mean", "stride_sd"]
     assert got.rows.count() == 2
     assert not delimited.is_sub_header(["Mean", "SD", "max", "x"])
 
@@ -72,9 +72,9 @@ def test_several_files(spark, tmp_path):
     a = write(tmp_path / "a.csv", "id,v\n1,2\n2,3\n")
     b = write(tmp_path / "b.csv", "id,v,extra\n1,x,7\n2,y,8\n9,9,9,9\n")
     rows, rejects = delimited.read_study(spark, [a, b])
-    assert rows.columns == ["id", "v", "_source_file", "extra"]
+    assert rows.columns == ["id", "v", "extra", "_source_file"]
     assert rows.count() == 4 and rejects.first()["_source_file"] == "b.csv"
-    assert dict(rows.dtypes)["v"] == "string" and dict(rows.dtypes)["id"] == "double"
+    assert dict(rows.dtypes)["v"] == "string" and dict(rows.dtypes)["id"] == "bigint"
     ids = delimited.with_row_id(rows, str(tmp_path / "out"))
     assert ids.select("_row_id").distinct().count() == 4
 
@@ -108,7 +108,7 @@ def test_study_end_to_end(spark, tmp_path):
     sinks.write_study(out, folder, config)
     text = [r[0] for r in spark.read.text(f"{folder}/insights_report").collect()]
     assert "## compare" in text and any(t.startswith("- score: effect=") for t in text)
-    assert json.load(open(f"{folder}/config.json"))["group_col"] == "arm"
+    assert load_config(spark, f"{folder}/config")["group_col"] == "arm"
     assert spark.read.parquet(f"{folder}/qc_log").count() == 96
     assert sorted(os.listdir(f"{folder}/plots"))
     assert spark.read.parquet(f"{folder}/predictions_random_forest").count() == out["model"].summary["n_test"]
@@ -120,3 +120,26 @@ def test_writers(spark, tmp_path):
     sinks.write_annotated(df, str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "kept")).count() == 4
     assert spark.read.option("header", True).csv(str(tmp_path / "cleaned_qc_dataset")).count() == 5
+
+
+def test_long_quoted_list_in_a_short_row(spark, tmp_path):
+    taps = ", ".join(str(k) for k in range(10_000))
+    (tmp_path / "a.csv").write_text(f'a,b,c\n1,"[{taps}]"\n2,x,y\n3,x,y,z\n')
+    rows, rejects = delimited.read_study(spark, [str(tmp_path / "a.csv")])
+    got = {r["a"]: r for r in rows.collect()}
+    assert got[1]["b"] == f"[{taps}]" and got[1]["c"] is None and set(got) == {1, 2}
+    assert [r["line"] for r in rejects.collect()] == ["3,x,y,z"]
+
+
+def test_ids_stay_whole_and_files_keep_their_names(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.csv").write_text("id,v\n9007199254740992,1\n")
+    (tmp_path / "d" / "two.csv").write_text("id,v\n9007199254740993,2.5\n")
+    (tmp_path / "x.csv").write_text("id,w\n5,123456789012345678901234\n")
+    rows, _ = delimited.read_study(spark, [str(tmp_path / "d"), str(tmp_path / "x.csv")])
+    got = {(r["id"], r["v"], r["w"], r["_source_file"]) for r in rows.collect()}
+    assert got == {
+        (9007199254740992, 1.0, None, "one.csv"),
+        (9007199254740993, 2.5, None, "two.csv"),
+        (5, None, "123456789012345678901234", "x.csv"),
+    }

@@ -63,17 +63,17 @@ def test_formula_rejects(spark, bad):
 def test_validate():
     got = rules.validate_rules([{"output_col": "x"}, {"type": "formula"}, {"type": "odd", "output_col": "y", "source_col": "q"}], ["a"])
     assert got == [
-        "Rule 0: missing 'type' field.",
-        "Rule 1: missing 'output_col' field.",
-        "Rule 2: unknown type 'odd'.",
-        "Rule 2: column 'q' not found.",
+        "rule 0 has no type",
+        "rule 1 has no output_col",
+        "rule 2 is of no known type: odd",
+        "rule 2 names a column that is not there: q",
     ]
 
 
-def test_config_round_trip(tmp_path):
+def test_config_round_trip(spark, tmp_path):
     config = {"entity_id": "pid", "rules": [{"type": "formula", "output_col": "o", "expression": "a"}]}
-    rules.save_config(config, str(tmp_path / "c.json"))
-    assert rules.load_config(str(tmp_path / "c.json")) == config
+    rules.save_config(spark, config, str(tmp_path / "c"))
+    assert rules.load_config(spark, str(tmp_path / "c")) == config
 
 
 def test_stateless_rules_stream(spark, tmp_path):

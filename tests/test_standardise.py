@@ -16,7 +16,7 @@ def test_names():
 def test_infer_types(spark):
     rows = [("1", "2020-01-01", "a", "5"), ("2", "2020-02-01", "b", None), ("x", "bad", "c", None), ("4", None, "d", None)]
     got = st.infer_types(spark.createDataFrame(rows, "n string, t string, s string, sparse string"))
-    assert [f.dataType.simpleString() for f in got.schema] == ["double", "string", "string", "double"]
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "string", "bigint"]
     half = st.infer_types(spark.createDataFrame(rows[:3], "n string, t string, s string, sparse string"))
     assert half.schema["t"].dataType.simpleString() == "timestamp"
     assert half.schema["n"].dataType.simpleString() == "string"
