@@ -16,8 +16,8 @@ from studyspark.operators.order import average_ranks, long_values, profile_value
 from studyspark.operators.standardise import is_categorical
 
 ALPHA = 0.05
-# A small sample without ties is tested exactly while the count of outcomes stays small.
-EXACT_MIN, EXACT_PRODUCT = 8, 10_000
+# Two groups without ties are tested exactly if the smaller one has at most so many values.
+EXACT_MIN = 8
 COMPARISON = (
     "feature string, n_groups bigint, n_total bigint, group_a string, group_b string, test string, "
     "method string, statistic double, p_value double, effect_size double, effect_size_type string"
@@ -94,17 +94,18 @@ def _exact_u():
         for pdf in batches:
             for i in pdf.index[pdf["exact"]]:
                 m, n = sorted((int(pdf.at[i, "n_a"]), int(pdf.at[i, "n_b"])))
-                # ways[u]: choices of m ranks out of m + n with statistic u, built rank by rank
-                ways = np.zeros((m + 1, m * n + 1))
-                ways[0, 0] = 1.0
-                for rank in range(m + n):
-                    for j in range(min(m, rank + 1), 0, -1):
-                        shift = rank - (j - 1)
-                        if shift <= n:
-                            ways[j, shift:] += ways[j - 1, : m * n + 1 - shift]
-                top = int(max(pdf.at[i, "u"], m * n - pdf.at[i, "u"]))
-                share = ways[m, top:].sum() / ways[m].sum()
-                pdf.at[i, "p_raw"] = min(1.0, 2.0 * share)
+                # chances[u] of statistic u, up to the smaller tail: the Gaussian binomial of
+                # m + n over m, a factor (1 - q^(n+j)) / (1 - q^j) for each j, scaled as it grows
+                low = int(min(pdf.at[i, "u"], m * n - pdf.at[i, "u"]))
+                chances = np.zeros(low + 1)
+                chances[0] = 1.0
+                for j in range(1, m + 1):
+                    if n + j <= low:
+                        chances[n + j :] -= chances[: low + 1 - n - j].copy()
+                    for start in range(min(j, low + 1)):
+                        chances[start::j] = np.cumsum(chances[start::j])
+                    chances *= j / (n + j)
+                pdf.at[i, "p_raw"] = min(1.0, 2.0 * chances.sum())
             yield pdf
 
     return step
@@ -219,7 +220,7 @@ def compare_groups(
     d = pooled_d(*[F.col(c) for c in ("ma", "mb", "va", "vb", "na", "nb")])
     eta = F.try_divide(F.col("between"), F.col("between") + F.col("within"))
     small = [c for c in features if sizes[c][0] == 2 and sizes[c][1] <= EXACT_MIN]
-    exact = two & (F.col("na") * F.col("nb") <= EXACT_PRODUCT) & (F.col("ties") == 0)
+    exact = two & (F.least("na", "nb") <= EXACT_MIN) & (F.col("ties") == 0)
     out = flat.select(
         "feature",
         "k",

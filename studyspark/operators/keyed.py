@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_LIMIT = 64
 HOT_SHARE = 0.005
+HOT_LIMIT = 256  # at least 1 / HOT_SHARE, so that no hot key is missed
 HOT_MIN_ROWS = 1_000_000
+# A key is hot in any case from so many rows: they should not be one task's work.
+HOT_ROWS = 20_000_000
 SALTS = 128
 
 
@@ -64,7 +66,7 @@ def profile_keys(
         )
         .first()
     )
-    floor = max(hot_min_rows, hot_share * got["rows"])
+    floor = max(hot_min_rows, min(hot_share * got["rows"], HOT_ROWS))
     hot = tuple(t["item"] for t in got["top"] or [] if t["count"] >= floor)
     return KeyProfile(got["rows"], got["distinct"], got["w"] or 0, hot)
 

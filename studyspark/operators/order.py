@@ -52,9 +52,12 @@ class ValueProfile:
 
 
 def bucket_depth(df: DataFrame) -> int:
-    """Enough buckets to keep every shuffle partition of this session busy."""
+    """Enough buckets to keep every shuffle partition of this session busy.
+
+    Sessions for larger tables have more partitions; up to 2^16 buckets follow them.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(math.ceil(math.log2(4 * parts)), 5), 12)
+    return min(max(math.ceil(math.log2(4 * parts)), 5), 16)
 
 
 def profile_values(df: DataFrame, cols: Sequence[str], depth: int | None = None) -> ValueProfile:
@@ -261,7 +264,8 @@ def quantiles(
                 out.append(F.struct(k.alias("k"), F.lit(i).alias("i"), w.alias("w")))
         return F.array(*out)
 
-    few = not by or profile_keys(df, by).fits_broadcast(512)
+    # one row for each group, feature and asked position
+    few = not by or profile_keys(df, by).fits_broadcast(512 * len(cols) * 2 * len(probs))
     found = kth_values(long_values(df, cols, by, profile), part, asks, few)
     aggs = [
         F.sum(F.when(F.col("ask.i") == i, F.col("ask.w") * F.col("value"))).alias(n)

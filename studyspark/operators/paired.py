@@ -2,9 +2,9 @@
 
 Pairs are all rows of condition A with all rows of condition B of the same entity. Pair counts,
 means, variances and the paired t statistic follow from per-entity moments, so they need no pairs
-at all. Signed ranks do need pair differences: they are built from distinct values only, and only
-for features whose exact number of distinct-value pairs was counted first and is within
-`pair_budget`. Beyond it the test is the paired t over all pairs, which is exact at any size.
+at all. Signed ranks do need pair differences: they are built from distinct values, whatever their
+number, so the test never depends on the size of the table. Callers who want a cost that is linear
+in the rows choose `pairing='mean'`.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from studyspark.operators.order import bucket_depth, even_bucket, average_ranks,
 
 MIN_PAIRS = 5
 EXACT_PAIRS = 50
-PAIR_BUDGET = 200_000_000
-SALTS = 64
+# A hot entity is dealt over a grid: side A to a row of it, side B to a column.
+GRID = 8
 
 
 def _sides(df: DataFrame, entity: str, condition: str, a, b) -> DataFrame:
@@ -184,12 +184,24 @@ def _differences(
     )
     same = (F.col("entity") == F.col("_e")) & (F.col("feature") == F.col("_f"))
     if hot:
-        # a hot entity is spread by the value of side A; side B goes to every part
-        salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
-        left = left.withColumn("_s", F.when(F.xxhash64("entity").isin(hot), salt).otherwise(0))
-        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        copies = F.when(F.xxhash64("_e").isin(hot), every).otherwise(F.array(F.lit(0)))
-        right = right.withColumn("_sr", F.explode(copies))
+        # each value of side A goes to the cells of one row of the grid, each of side B to those of
+        # one column: every pair meets in one cell, and neither side is copied whole
+        every = F.sequence(F.lit(0), F.lit(GRID - 1))
+        one = F.array(F.lit(0))
+        line = F.pmod(F.xxhash64("value"), F.lit(GRID)).cast("int")
+        down = F.pmod(F.xxhash64("_v"), F.lit(GRID)).cast("int")
+        left = left.withColumn(
+            "_s",
+            F.explode(
+                F.when(F.xxhash64("entity").isin(hot), F.transform(every, lambda k: line * GRID + k)).otherwise(one)
+            ),
+        )
+        right = right.withColumn(
+            "_sr",
+            F.explode(
+                F.when(F.xxhash64("_e").isin(hot), F.transform(every, lambda k: k * GRID + down)).otherwise(one)
+            ),
+        )
         same = same & (F.col("_s") == F.col("_sr"))
     depth = bucket_depth(df)
     d = F.col("value") - F.col("_v")
@@ -240,7 +252,6 @@ def within_subject(
     a,
     b,
     pairing: str = "all",
-    pair_budget: int = PAIR_BUDGET,
 ) -> DataFrame:
     """One row per feature with at least five pairs.
 
@@ -257,9 +268,8 @@ def within_subject(
         diffs = _mean_differences(moments, seen.ranges, bucket_depth(df))
         small = features
     else:
-        ranked = rankable_features(sides, features, entity, seen, pair_budget)
-        diffs = _differences(sides, ranked, entity, seen.ranges) if ranked else None
-        small = [c for c in ranked if seen.pairs[c] <= EXACT_PAIRS]
+        diffs = _differences(sides, features, entity, seen.ranges) if features else None
+        small = [c for c in features if seen.pairs[c] <= EXACT_PAIRS]
     out = _pair_moments(moments, seen.centers).where(F.col("pairs") >= MIN_PAIRS)
     if diffs is not None:
         ranks = signed_ranks(diffs).withColumnRenamed("feature", "_rf")
@@ -311,28 +321,6 @@ def within_subject(
     )
 
 
-def rankable_features(
-    sides: DataFrame, features: Sequence[str], entity: str, seen: PairProfile, budget: int
-) -> list[str]:
-    """Features whose pairs number at most `budget`; where rows exceed it, distinct-value pairs are
-    counted, again exactly."""
-    large = [f for f in features if seen.pairs[f] > budget]
-    if not large:
-        return list(features)
-    distinct = (
-        long_values(sides, large, [entity, "_in_a"])
-        .distinct()
-        .groupBy("feature", entity)
-        .agg(
-            F.count(F.when(F.col("_in_a"), 1)).cast("double").alias("da"),
-            F.count(F.when(~F.col("_in_a"), 1)).cast("double").alias("db"),
-        )
-    )
-    work = distinct.groupBy("feature").agg(F.sum(F.col("da") * F.col("db")).alias("work"))
-    over = {r["feature"] for r in work.collect() if r["work"] > budget}
-    return [f for f in features if f not in over]
-
-
 def paired_t(
     df: DataFrame, features: Sequence[str], entity: str, condition: str, a, b, pairing: str = "all"
 ) -> DataFrame:
