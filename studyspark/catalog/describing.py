@@ -90,13 +90,14 @@ def profile_columns(spark, folder):
 
 
 @query(
-    """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_cols,
+    """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(11 AS BIGINT) AS n_cols,
   CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag)"""
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
 )
 def profile_totals(spark, folder):
     line = table(spark, folder, "lineitem")
-    return describe.profile_totals(line.select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
+    return describe.profile_totals(line)
 
 
 @query(

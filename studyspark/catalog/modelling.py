@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from studyspark.catalog.base import query, table
 from studyspark.operators import metrics, models, splits
 
-HASH = "((({key} + 42) % 4294967296) * 2654435761) % 4294967296"
+# the split hash of a key that isn't negative, in plain arithmetic
+HASH = (
+    "(((({key} + 42) % 4294967296 + (({key} + 42) // 4294967296 * 2246822519) % 4294967296)"
+    " % 4294967296) * 2654435761) % 4294967296"
+)
 
 
 @query(
@@ -56,7 +60,7 @@ def split_random(spark, folder):
 
 
 @query(
-    f"""SELECT event_id, user_id, CASE WHEN {HASH.format(key='user_id')} % 5 < 1 THEN 'test'
+    f"""SELECT event_id, user_id, CASE WHEN ({HASH.format(key='user_id')}) * 5 // 4294967296 < 1 THEN 'test'
   ELSE 'train' END AS split FROM events"""
 )
 def split_by_entity(spark, folder):
@@ -64,6 +68,16 @@ def split_by_entity(spark, folder):
     return out.select("event_id", "user_id", "split")
 
 
+@query(
+    f"""SELECT event_id, user_id,
+  CAST(({HASH.format(key='(user_id * 8589934592 + user_id)')}) * 4 // 4294967296 AS INT) AS fold FROM events"""
+)
+def folds_of_wide_ids(spark, folder):
+    """Four folds over ids above 2^32, as row ids of many partitions are."""
+    e = table(spark, folder, "events").withColumn("wide", F.col("user_id") * 8589934592 + F.col("user_id"))
+    return e.select("event_id", "user_id", splits.fold_of(e, "wide", 4).alias("fold"))
+
+
 SCORED = """WITH p AS (SELECT doc_id, quality AS y_true, CAST(n_chars >= 500 AS INT) AS y_pred,
   n_chars AS score FROM labels JOIN documents USING (doc_id))"""
 
@@ -205,45 +219,188 @@ def labelled(spark, folder):
 
 FEATURES = ["n_chars", "n_words", "n_lines", "lang"]
 
+# labelled rows with their split: strata by label, ordered by hash
+LABELLED = f"""WITH d AS (
+  SELECT l.doc_id, l.quality, l.toxic, d.lang, d.n_chars,
+    CAST(len(regexp_split_to_array(d.text, '\\s+')) AS BIGINT) AS n_words,
+    CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, {HASH.format(key='l.doc_id')} AS h
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id)
+  <= floor(count(*) OVER (PARTITION BY quality) * 0.8) AS train FROM d)"""
+
+
+def newton_sql(x: str, y: str, steps: int = 12) -> str:
+    """CTEs that fit the standardised two-feature logistic regression on `s WHERE train`.
+
+    Columns {x} and {y} and label quality; the last CTE, w, holds b0, b1, b2 for standardised
+    columns. Every step solves the 3 x 3 Newton system by Cramer's rule.
+    """
+    out = f""",
+z AS (SELECT avg({x}) AS mx, stddev_samp({x}) AS sx, avg({y}) AS my, stddev_samp({y}) AS sy,
+  CAST(count(*) AS DOUBLE) AS n FROM s WHERE train),
+t AS (SELECT s.*, ({x} - mx) / sx AS u, ({y} - my) / sy AS v, (n - 1) / (n * n) AS pen, n FROM s, z),
+w0 AS (SELECT 0.0 AS b0, 0.0 AS b1, 0.0 AS b2)"""
+    for k in range(1, steps + 1):
+        out += f""",
+p{k} AS (SELECT u, v, quality - 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS e,
+  1 / (1 + exp(-(b0 + b1 * u + b2 * v))) * (1 - 1 / (1 + exp(-(b0 + b1 * u + b2 * v)))) AS q,
+  b0, b1, b2, pen, n FROM t, w{k - 1} WHERE train),
+m{k} AS (SELECT sum(q) AS a, sum(q * u) AS b, sum(q * v) AS c, sum(q * u * u) + any_value(n * pen) AS d,
+  sum(q * u * v) AS f, sum(q * v * v) + any_value(n * pen) AS g, sum(e) AS r0,
+  sum(e * u) - any_value(n * pen * b1) AS r1, sum(e * v) - any_value(n * pen * b2) AS r2,
+  any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2 FROM p{k}),
+w{k} AS (SELECT
+  b0 + (r0 * (d * g - f * f) - b * (r1 * g - f * r2) + c * (r1 * f - d * r2)) / det AS b0,
+  b1 + (a * (r1 * g - f * r2) - r0 * (b * g - f * c) + c * (b * r2 - r1 * c)) / det AS b1,
+  b2 + (a * (d * r2 - r1 * f) - b * (b * r2 - r1 * c) + r0 * (b * f - d * c)) / det AS b2
+  FROM (SELECT *, a * (d * g - f * f) - b * (b * g - f * c) + c * (b * f - d * c) AS det FROM m{k}))"""
+    return out + f""",
+y AS (SELECT doc_id, h, quality, u, v, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS p
+  FROM t, w{steps} WHERE NOT train)"""
+
+
+TWO_FEATURES = ["n_words", "n_lines"]
+NEWTON = LABELLED + newton_sql("n_words", "n_lines")
+
+
+def facts(spark, run, *more):
+    """Sizes and checks of a run as (model, fact, value) rows."""
+    rows = []
+    for name, pred in run.predictions.items():
+        rows += [
+            (name, "n_train", float(run.summary["n_train"])),
+            (name, "n_test", float(run.summary["n_test"])),
+            (name, "n_scored", float(pred.where("y_pred is not null").count())),
+        ]
+    return spark.createDataFrame([*rows, *more], "model string, fact string, value double")
+
+
+SIZES = """ SELECT model, fact, value FROM
+  (VALUES {models}) AS names(model),
+  (SELECT 'n_train' AS fact, CAST(count(*) FILTER (train) AS DOUBLE) AS value FROM s
+   UNION ALL SELECT 'n_test', CAST(count(*) FILTER (NOT train) AS DOUBLE) FROM s
+   UNION ALL SELECT 'n_scored', CAST(count(*) FILTER (NOT train) AS DOUBLE) FROM s)"""
+
 
-@query()
+@query(
+    LABELLED
+    + SIZES.format(models="('Logistic Regression'), ('Random Forest')")
+    + """ UNION ALL SELECT m.model, 'confusion_total', CAST(count(*) FILTER (NOT train) AS DOUBLE)
+  FROM s, (VALUES ('Logistic Regression'), ('Random Forest')) m(model) GROUP BY 1
+UNION ALL SELECT model, 'accuracy_agrees', 1.0
+  FROM (VALUES ('Logistic Regression'), ('Random Forest')) m(model)"""
+)
 def classify(spark, folder):
-    """Logistic regression and forest on a stratified split."""
-    return models.run_classification(
-        labelled(spark, folder), "quality", "doc_id", FEATURES, importance=False
-    ).metrics
+    """Logistic regression and forest on a stratified split: every test row is scored once, and the
+    reported accuracy is that of the confusion table."""
+    run = models.run_classification(
+        labelled(spark, folder), "quality", "doc_id", FEATURES, importance=False, trees=20, depth=8
+    )
+    told = {r["model"]: r["value"] for r in run.metrics.where("metric = 'accuracy'").collect()}
+    more = []
+    for name in run.predictions:
+        cells = run.confusion.where(F.col("model") == name)
+        right, total = cells.agg(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))), F.sum("n")).first()
+        more.append((name, "confusion_total", float(total)))
+        more.append((name, "accuracy_agrees", float(abs(right / total - told[name]) < 5e-5)))
+    return facts(spark, run, *more)
 
 
-@query()
+@query(
+    NEWTON
+    + """ SELECT doc_id AS row_key, quality AS y_true, CAST(p > 0.5 AS INT) AS y_pred,
+  round(p, 3) AS p_class1 FROM y"""
+)
 def logit_predictions(spark, folder):
-    return models.run_classification(
-        labelled(spark, folder), "quality", "doc_id", FEATURES, models=[models.LOGISTIC], importance=False
+    pred = models.run_classification(
+        labelled(spark, folder), "quality", "doc_id", TWO_FEATURES, models=[models.LOGISTIC], importance=False
     ).predictions[models.LOGISTIC]
+    return pred.withColumn("p_class1", F.round("p_class1", 3))
+
+
+@query(
+    LABELLED.replace("d.lang, d.n_chars", "CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE d.lang END AS lang, d.n_chars")
+    + SIZES.format(models="('Logistic Regression')")
+)
+def classify_with_gaps(spark, folder):
+    """Missing numbers and texts, and a level that few rows have, lose no test row."""
+    rows = labelled(spark, folder)
+    rows = rows.withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.col("lang"))).withColumn(
+        "n_words", F.when(F.col("doc_id") % 7 != 0, F.col("n_words"))
+    )
+    rare = F.when(F.col("doc_id") == rows.agg(F.max("doc_id")).first()[0], F.lit("rare"))
+    rows = rows.withColumn("lang", F.coalesce(rare, F.col("lang")))
+    run = models.run_classification(
+        rows, "quality", "doc_id", FEATURES, models=[models.LOGISTIC], importance=False
+    )
+    return facts(spark, run)
 
 
-@query()
+SHIFTS = ", ".join(f"({(42 * 7919 + r * 104729)}, {r})" for r in range(5))
+
+
+@query(
+    NEWTON
+    + f""",
+o AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) - 1 AS pos, count(*) OVER () AS m FROM y),
+r AS (SELECT 1 + base % greatest(m - 1, 1) AS shift, rep FROM (VALUES {SHIFTS}) AS f(base, rep),
+  (SELECT max(m) AS m FROM o)),
+g AS (SELECT 'n_words' AS feature, rep, avg(CAST((b0 + b1 * k.u + b2 * o.v > 0) = (o.quality = 1) AS INT)) AS a
+  FROM o, r, w12, o k WHERE k.pos = (o.pos + shift) % o.m GROUP BY rep
+  UNION ALL SELECT 'n_lines', rep, avg(CAST((b0 + b1 * o.u + b2 * k.v > 0) = (o.quality = 1) AS INT))
+  FROM o, r, w12, o k WHERE k.pos = (o.pos + shift) % o.m GROUP BY rep),
+i AS (SELECT feature, (SELECT avg(CAST((p > 0.5) = (quality = 1) AS INT)) FROM y) - avg(a) AS importance
+  FROM g GROUP BY feature)
+SELECT 'Logistic Regression' AS model, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS ord,
+  feature, round(importance, 4) AS importance FROM i
+UNION ALL SELECT 'Random Forest', 0, 'all together', 1.0"""
+)
 def importances(spark, folder):
-    """Permutation importance of the logistic model, impurity importance of the forest."""
-    return models.run_classification(
-        labelled(spark, folder), "quality", "doc_id", FEATURES
+    """Permutation importance of the logistic model; the forest's impurity shares add up to one."""
+    found = models.run_classification(
+        labelled(spark, folder), "quality", "doc_id", TWO_FEATURES, trees=20, depth=8
     ).importance
+    logit = found.where(F.col("model") == models.LOGISTIC).withColumn("importance", F.round("importance", 4))
+    forest = found.where(F.col("model") == models.FOREST).groupBy("model").agg(
+        F.lit(0).alias("ord"), F.lit("all together").alias("feature"), F.round(F.sum("importance"), 4).alias("importance")
+    )
+    return logit.unionByName(forest)
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, {HASH.format(key='doc_id')} AS h FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT row_number() OVER (ORDER BY h, doc_id) <= floor(count(*) OVER () * 0.8) AS train FROM d)"""
+    + SIZES.format(models="('Random Forest')")
+    + """ UNION ALL SELECT 'Random Forest', 'importance_total', 1.0
+UNION ALL SELECT 'Random Forest', 'mae_within_rmse', 1.0 UNION ALL SELECT 'Random Forest', 'r2_agrees', 1.0"""
+)
 def forest_regression(spark, folder):
-    return models.run_regression(
+    """A forest scores every test row, its shares add up to one, and its scores are those of its
+    predictions."""
+    run = models.run_regression(
         labelled(spark, folder), "n_chars", "doc_id", ["n_lines", "lang", "toxic"],
-        models=[models.FOREST],
-    ).metrics
+        models=[models.FOREST], trees=20, depth=8,
+    )
+    told = {r["metric"]: r["value"] for r in run.metrics.collect()}
+    again = metrics.regression_scores(run.predictions[models.FOREST]).first()
+    total = run.importance.agg(F.round(F.sum("importance"), 6)).first()[0]
+    return facts(
+        spark,
+        run,
+        (models.FOREST, "importance_total", total),
+        (models.FOREST, "mae_within_rmse", float(told["mae"] <= told["rmse"])),
+        (models.FOREST, "r2_agrees", float(again["r2"] == told["r2"])),
+    )
 
 
-@query()
+@query(LABELLED + " SELECT doc_id AS row_key, quality AS y_true, true AS scored FROM s WHERE NOT train")
 def model_by_roles(spark, folder):
-    """Predictions of the outcome from every other column of the flagged table."""
+    """The outcome from every other column of the flagged table: all test rows are scored."""
     from studyspark.operators import qc
 
     flagged = qc.role_qc(labelled(spark, folder), "doc_id", "quality")
     run = models.run_by_roles(
         flagged, "doc_id", outcome="quality", model="Logistic", importance=False
     )
-    return run.predictions[models.LOGISTIC]
+    pred = run.predictions[models.LOGISTIC]
+    return pred.select("row_key", "y_true", F.col("p_class1").between(0, 1).alias("scored"))

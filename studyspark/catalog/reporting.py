@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studyspark.catalog.base import query, table
 from studyspark.catalog.comparing import SLOPE_FIT, TWO, rank_sql
-from studyspark.catalog.modelling import FEATURES, labelled
+from studyspark.catalog.modelling import NEWTON, TWO_FEATURES, labelled
 from studyspark.catalog.quality import FLAGS, flagged_visits
 from studyspark.operators import models
 from studyspark.plans import report, study
@@ -37,7 +37,10 @@ s AS (SELECT o_orderpriority AS k, avg(CAST(l = 'yes' AS INT)) AS v FROM
   GROUP BY 1),
 c AS (SELECT CASE WHEN o_totalprice > 250000 THEN 'yes' ELSE 'no' END AS k, count(*) AS n FROM o GROUP BY 1),
 m AS (SELECT strftime(o_orderdate, '%Y-%m') AS k, count(*) AS n FROM o GROUP BY 1 ORDER BY 1 LIMIT 12)
-SELECT 'rows' AS section, 1 AS ord, 'total' AS key, CAST(count(*) AS VARCHAR) AS value FROM o
+SELECT 'missing' AS section, CAST(row_number() OVER (ORDER BY name) AS INT) AS ord, name AS key,
+  '0.0' AS value FROM (SELECT unnest(['large', 'o_custkey', 'o_orderdate', 'o_orderkey', 'o_orderpriority',
+  'o_orderstatus', 'o_totalprice']) AS name)
+UNION ALL SELECT 'rows', 1, 'total', CAST(count(*) AS VARCHAR) FROM o
 UNION ALL SELECT 'rows', 2, 'kept', CAST(count(*) AS VARCHAR) FROM o
 UNION ALL SELECT 'rows', 3, 'removed', '0'
 UNION ALL SELECT 'rows', 4, 'kept_pct', '100.0'
@@ -46,23 +49,43 @@ UNION ALL SELECT 'positive_share', CAST(row_number() OVER (ORDER BY k) AS INT),
 UNION ALL SELECT 'months', CAST(row_number() OVER (ORDER BY k) AS INT), k, CAST(n AS VARCHAR) FROM m"""
 )
 def report_auto(spark, folder):
-    """The generic overview, without its missing-column section (all shares are zero here)."""
+    """The generic overview."""
     from studyspark.operators import qc
 
     o = table(spark, folder, "orders").withColumn(
         "large", F.when(F.col("o_totalprice") > 250000, F.lit("yes")).otherwise(F.lit("no"))
     )
     flagged = qc.role_qc(o, "o_orderkey", "large")
-    facts = report.auto_facts(flagged, "o_orderpriority", "large", "o_orderdate")
-    return facts.where("section <> 'missing'")
+    return report.auto_facts(flagged, "o_orderpriority", "large", "o_orderdate")
 
 
-@query()
+@query(
+    NEWTON
+    + """, c AS (SELECT count(*) AS n, count(*) FILTER ((p > 0.5) = (quality = 1)) AS good FROM y),
+k AS (SELECT w, count(*) FILTER (quality = w) AS s, count(*) FILTER (CAST(p > 0.5 AS INT) = w) AS q,
+  count(*) FILTER (quality = w AND CAST(p > 0.5 AS INT) = w) AS tp
+  FROM y, (VALUES (0), (1)) AS l(w) GROUP BY w),
+a AS (SELECT quality, rank() OVER (ORDER BY round(p, 10)) + (count(*) OVER (PARTITION BY round(p, 10)) - 1) / 2.0 AS rk FROM y)
+SELECT 'model' AS section, 1 AS ord, 'task' AS key, 'classification' AS value
+UNION ALL SELECT 'model', 2, 'split_type', 'random'
+UNION ALL SELECT 'model', 3, 'n_train', CAST(count(*) AS VARCHAR) FROM s WHERE train
+UNION ALL SELECT 'model', 4, 'n_test', CAST(count(*) AS VARCHAR) FROM s WHERE NOT train
+UNION ALL SELECT 'model', 5, 'best_model', 'Logistic Regression'
+UNION ALL SELECT 'model', 6, 'rare_classes', CASE WHEN count(*) < 200 AND
+  least(count(*) FILTER (quality = 0), count(*) FILTER (quality = 1)) < 5 THEN 'True' ELSE 'False' END FROM s
+UNION ALL SELECT 'metrics', 1, 'Logistic Regression: accuracy', CAST(round(good / n, 4) AS VARCHAR) FROM c
+UNION ALL SELECT 'metrics', 2, 'Logistic Regression: auc', CAST(round((sum(rk) FILTER (quality = 1)
+  - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0)
+  / (count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0)), 4) AS VARCHAR) FROM a
+UNION ALL SELECT 'metrics', 3, 'Logistic Regression: f1_weighted',
+  CAST(round(sum(s * coalesce(2.0 * tp / nullif(s + q, 0), 0)) / sum(s), 4) AS VARCHAR) FROM k"""
+)
 def report_model(spark, folder):
     run = models.run_classification(
-        labelled(spark, folder), "quality", "doc_id", FEATURES, models=[models.LOGISTIC]
+        labelled(spark, folder), "quality", "doc_id", TWO_FEATURES, models=[models.LOGISTIC], importance=False
     )
-    return report.model_facts(spark, run)
+    facts = report.model_facts(spark, run)
+    return facts.where("section <> 'importance'")
 
 
 STUDY = (

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where none is set (local runs and tests) a
-    temporary folder."""
+    """`spark.checkpoint.dir` of the session.
+
+    Where it is unset, a local master gets a folder beside its warehouse; a cluster must name one
+    that all its machines share.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="studyspark-"))
+        if shared is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/studyspark-{sc.applicationId}"
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 

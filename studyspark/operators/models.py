@@ -25,19 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyspark.functions.coerce import numeric_of
-from studyspark.functions.hashing import spread
+from studyspark.functions.hashing import SPAN, spread
 from studyspark.operators.lineage import cut
 from studyspark.operators.metrics import class_scores, confusion, regression_scores, roc_auc
 from studyspark.operators.order import bucket_depth, hash_bucket, hash_positions, quantiles
 from studyspark.operators.splits import TEST, TRAIN, entity_split, random_split, time_split
 
-MAX_FEATURES = 30
-MAX_CLASSES = 100
-MAX_LEVELS = 1000
 MIN_TRAIN, MIN_TEST = 10, 5
-TOP_IMPORTANCE = 15
 STRATIFY_UP_TO, STRATIFY_UP_TO_ROLES = 10, 49
 MIN_ROWS = 20
+FOREST_ROWS, FOREST_SEED = 200_000, 77
 RARE_CLASS, RARE_BELOW = 5, 200
 
 LOGISTIC, FOREST, RIDGE = "Logistic Regression", "Random Forest", "Ridge Regression"
@@ -57,6 +54,7 @@ class ModelRun:
 
     task: str
     error: str | None = None
+    errors: dict[str, str] = field(default_factory=dict)  # by model, where one could not be fitted
     summary: dict = field(default_factory=dict)
     metrics: DataFrame | None = None
     importance: DataFrame | None = None
@@ -74,9 +72,13 @@ class ModelRun:
                 table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def default_features(df: DataFrame, target: str, limit: int = MAX_FEATURES) -> list[str]:
+def default_features(
+    df: DataFrame, target: str, exclude: Sequence[str | None] = (), limit: int | None = None
+) -> list[str]:
+    """Numeric columns but the target, the QC flags and `exclude` (keys, ids, times)."""
+    out = {target, "qc_keep", "qc_reason", *exclude}
     return [
-        f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != target
+        f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in out
     ][:limit]
 
 
@@ -137,9 +139,13 @@ def medians(df: DataFrame, cols: Sequence[str], seen: DataFrame | None = None) -
     return {c: found.get(c, 0.0) for c in gaps}
 
 
-def feature_stages(train: DataFrame, features: Sequence[str], impute: dict[str, float]) -> list:
-    """Impute, one-hot (first sorted level dropped, missing text all zero) and assemble."""
-    text = [c for c in features if isinstance(train.schema[c].dataType, T.StringType)]
+def feature_stages(rows: DataFrame, features: Sequence[str], impute: dict[str, float]) -> list:
+    """Impute, one-hot (first sorted level dropped, missing text all zero) and assemble.
+
+    Levels come from all rows with a target, train and test, so that no test row is lost to a level
+    that training rows don't have.
+    """
+    text = [c for c in features if isinstance(rows.schema[c].dataType, T.StringType)]
     number = [c for c in features if c not in text]
     filled = [
         f"coalesce(`{c}`, {impute[c]!r}D) AS `_f_{c}`" if c in impute else f"`{c}` AS `_f_{c}`"
@@ -148,11 +154,7 @@ def feature_stages(train: DataFrame, features: Sequence[str], impute: dict[str,
     stages: list = []
     extra = list(filled)
     if text:
-        sketch = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in text]).first()
-        wide = [c for c in text if sketch[c] > MAX_LEVELS]
-        if wide:
-            raise ValueError(f"too many levels to encode: {wide}")
-        first = train.agg(*[F.min(c).alias(c) for c in text]).first()
+        first = rows.agg(*[F.min(c).alias(c) for c in text]).first()
         for c in text:
             level = (first[c] or "").replace("\\", "\\\\").replace("'", "\\'")
             extra.append(f"coalesce(`{c}`, '{level}') AS `_f_{c}`")
@@ -160,14 +162,13 @@ def feature_stages(train: DataFrame, features: Sequence[str], impute: dict[str,
     slots = [f"_f_{c}" for c in number]
     if text:
         # descending order puts the first level last, where the encoder drops it
-        stages.append(
-            StringIndexer(
-                inputCols=[f"_f_{c}" for c in text],
-                outputCols=[f"_i_{c}" for c in text],
-                stringOrderType="alphabetDesc",
-                handleInvalid="skip",
-            )
+        indexer = StringIndexer(
+            inputCols=[f"_f_{c}" for c in text],
+            outputCols=[f"_i_{c}" for c in text],
+            stringOrderType="alphabetDesc",
+            handleInvalid="error",
         )
+        stages.append(indexer.fit(stages[0].transform(rows)))
         stages.append(
             OneHotEncoder(
                 inputCols=[f"_i_{c}" for c in text], outputCols=[f"_o_{c}" for c in text]
@@ -257,7 +258,7 @@ def forest_regressor(trees: int = 100, depth: int = 30, seed: int = 42) -> list:
 def impurity_importance(model: PipelineModel, sample: DataFrame) -> dict[str, float]:
     names = slot_names(model.transform(sample.limit(0)))
     scores = model.stages[-1].featureImportances.toArray()
-    return dict(sorted(zip(names, map(float, scores)), key=lambda kv: -kv[1])[:TOP_IMPORTANCE])
+    return dict(sorted(zip(names, map(float, scores)), key=lambda kv: (-kv[1], kv[0])))
 
 
 def permutation_importance(
@@ -320,7 +321,6 @@ def permutation_importance(
         .groupBy(name.alias("feature"))
         .agg((F.lit(base) - F.avg("_s")).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
-        .limit(TOP_IMPORTANCE)
     )
 
 
@@ -345,13 +345,28 @@ def _fit_all(
     label_value: Column,
     importance: bool,
     repeats: int,
+    fit_rows: int | None,
 ) -> None:
+    """Fit and score each recipe; one that fails leaves its message in `run.errors`.
+
+    Forests are fitted on at most about `fit_rows` training rows, chosen by the hash of the key, as
+    their nodes grow with the rows; None takes all. Every other model reads all training rows.
+    """
     train = rows.where(F.col("split") == TRAIN)
     test = rows.where(F.col("split") == TEST)
     binary = run.summary.get("n_classes") == 2
     scores, importances, cells = [], [], []
+    encode = feature_stages(rows, features, impute)
     for name, stages in recipes.items():
-        model = Pipeline(stages=[*feature_stages(train, features, impute), *stages]).fit(train)
+        fit_on = train
+        if name == FOREST and fit_rows is not None and run.summary["n_train"] > fit_rows:
+            h = spread(F.col("_key"), train.schema["_key"].dataType, FOREST_SEED)
+            fit_on = train.where(h < int(SPAN * fit_rows / run.summary["n_train"]))
+        try:
+            model = Pipeline(stages=[*encode, *stages]).fit(fit_on)
+        except Exception as failure:  # noqa: BLE001 - any solver's failure concerns this model only
+            run.errors[name] = str(failure).splitlines()[0]
+            continue
         run.models[name] = model
         out = [F.col("_key").alias("row_key"), F.col("_label"), F.col("_pred")]
         if binary:
@@ -425,20 +440,21 @@ def run_classification(
     repeats: int = 5,
     trees: int = 100,
     depth: int = 30,
+    fit_rows: int | None = FOREST_ROWS,
+    exclude: Sequence[str] = (),
     stratify_up_to: int = STRATIFY_UP_TO,
 ) -> ModelRun:
     """Logistic regression and a random forest; time order, entities or strata decide the split."""
-    features = list(features or default_features(df, target))
+    features = list(
+        features or default_features(df, target, [key, entity, time_col, *exclude])
+    )
     split = "time" if time_col else "entity" if entity else "random"
     raw = _prepare(df, features, target, key, time_col, entity)
-    counts = raw.groupBy("_y").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    counts = raw.groupBy("_y").agg(F.count("*").alias("n")).collect()
     run = ModelRun("classification")
     if len(counts) < 2:
         run.error = "Target has fewer than 2 classes."
         return run
-    if len(counts) > MAX_CLASSES:
-        run.error = f"Target has more than {MAX_CLASSES} classes."
-        return run
     class_counts = {r["_y"]: r["n"] for r in counts}
     classes = sorted(class_counts)
     label = F.when(F.lit(False), F.lit(0.0))
@@ -469,7 +485,7 @@ def run_classification(
     recipes = {LOGISTIC: logistic(n[TRAIN]), FOREST: forest_classifier(trees, depth, seed)}
     names = F.array(*[F.lit(c) for c in classes])
     chosen = {m: recipes[m] for m in models}
-    _fit_all(run, rows, features, chosen, impute, names, importance, repeats)
+    _fit_all(run, rows, features, chosen, impute, names, importance, repeats, fit_rows)
     return run
 
 
@@ -488,9 +504,13 @@ def run_regression(
     repeats: int = 5,
     trees: int = 100,
     depth: int = 30,
+    fit_rows: int | None = FOREST_ROWS,
+    exclude: Sequence[str] = (),
 ) -> ModelRun:
     """Ridge regression and a random forest."""
-    features = list(features or default_features(df, target))
+    features = list(
+        features or default_features(df, target, [key, entity, time_col, *exclude])
+    )
     split = "time" if time_col else "entity" if entity else "random"
     raw = _prepare(df, features, target, key, time_col, entity)
     raw = raw.withColumn("_label", numeric_of(raw, "_y")).where("_label is not null")
@@ -514,7 +534,8 @@ def run_regression(
     impute = medians(train if impute_scope == "train" else rows, number, rows)
     y_sd = train.agg(F.stddev_pop("_label")).first()[0]
     recipes = {RIDGE: ridge(n[TRAIN], y_sd), FOREST: forest_regressor(trees, depth, seed)}
-    _fit_all(run, rows, features, {m: recipes[m] for m in models}, impute, None, importance, repeats)
+    chosen = {m: recipes[m] for m in models}
+    _fit_all(run, rows, features, chosen, impute, None, importance, repeats, fit_rows)
     return run
 
 

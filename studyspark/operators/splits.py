@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyspark.functions.coerce import is_numeric, numeric_of
-from studyspark.functions.hashing import spread
+from studyspark.functions.hashing import part_of, spread
 from studyspark.operators.order import bucket_depth, hash_bucket, kth_values, profile_values
 
 TRAIN, TEST = "train", "test"
-MAX_STRATA = 50
+# Up to so many cuts stand in the plan as literals; more are joined. The split is the same.
+LITERAL_CUTS = 50
 
 
 def _time_value(df: DataFrame, col: str) -> Column:
@@ -77,7 +78,7 @@ def random_split(
 ) -> DataFrame:
     """Hash-ordered split, the same for every run; exact counts overall or in each stratum.
 
-    `key` must identify a row. A stratum column may have at most MAX_STRATA values.
+    `key` must identify a row. Strata may be any number; a null stratum is one too.
     """
     dtype = df.schema[key].dataType
     h = spread(F.col(key), dtype, seed)
@@ -86,14 +87,16 @@ def random_split(
     rows = df.select(part.alias("s"), h.alias("h"), F.col(key).alias("id")).select(
         "s", F.struct("h", "id").alias("value"), hash_bucket(F.col("h"), depth).alias("_bucket")
     )
-    if stratum:
-        if len(df.select(stratum).distinct().limit(MAX_STRATA + 1).collect()) > MAX_STRATA:
-            raise ValueError(f"{stratum} has more than {MAX_STRATA} values; split without strata")
-
     def ask(total: Column) -> Column:
         k = F.floor(total * (1 - test_share)).cast("bigint") - 1
         return F.array(F.struct(k.alias("k")))
 
+    if stratum and df.select(stratum).distinct().limit(LITERAL_CUTS + 1).count() > LITERAL_CUTS:
+        cuts = kth_values(rows, ["s"], ask, False).select(F.struct("s").alias("_part"), "value")
+        joined = df.withColumn("_part", F.struct(F.col(stratum).alias("s"))).join(cuts, "_part", "left")
+        early = (h < F.col("value.h")) | ((h == F.col("value.h")) & (F.col(key) <= F.col("value.id")))
+        side = F.when(F.coalesce(early, F.lit(False)), F.lit(TRAIN)).otherwise(F.lit(TEST))
+        return joined.withColumn(output, side).select(*df.columns, output)
     train = F.lit(False)
     for r in kth_values(rows, ["s"], ask, True).collect():
         hash_cut, key_cut = r["value"]["h"], r["value"]["id"]
@@ -105,7 +108,7 @@ def random_split(
 
 def fold_of(df: DataFrame, entity: str, folds: int, seed: int = 42) -> Column:
     """Fold number shared by all rows of an entity."""
-    return F.pmod(spread(F.col(entity), df.schema[entity].dataType, seed), F.lit(folds)).cast("int")
+    return part_of(spread(F.col(entity), df.schema[entity].dataType, seed), folds)
 
 
 def entity_split(

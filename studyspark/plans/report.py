@@ -140,7 +140,7 @@ def auto_facts(
     if group and outcome:
         found = kept.select(outcome).where(F.col(outcome).isNotNull()).distinct().limit(3).count()
         if found == 2:
-            share = describe.positive_share(kept, group, outcome).orderBy(group).limit(50)
+            share = describe.positive_share(kept, group, outcome)
             parts.append(_facts(share, "positive_share", F.col(group).cast("string"), F.col("positive_share"), [F.col(group)]))
     if time:
         months = describe.rows_per_month(kept, time)

@@ -15,9 +15,16 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "studyspark", master: str | None = None, **extra: str) -> SparkSession:
-    """Session with the settings above; `extra` keys use `__` for dots."""
+def build_session(
+    app: str = "studyspark", master: str | None = None, shared: str | None = None, **extra: str
+) -> SparkSession:
+    """Session with the settings above; `extra` keys use `__` for dots.
+
+    `shared` is a folder that all machines see, for tables between passes (spark.checkpoint.dir).
+    """
     builder = SparkSession.builder.appName(app)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
