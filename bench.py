@@ -39,6 +39,11 @@ HEADLINE = [
     "split_stratified",
     "auc",
     "ridge_fit",
+    "classify",
+    "logit_predictions",
+    "importances",
+    "forest_regression",
+    "report_model",
     "report_qc",
 ]
 
