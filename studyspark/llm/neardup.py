@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyspark.llm.base import query, table
+from studyspark.llm.base import packed, query, table, text_key
 from studyspark.llm.components import components
 from studyspark.llm.wordbytes import Spans, chunks, mix, windows
 from studyspark.operators.lineage import cut
@@ -30,6 +30,7 @@ from studyspark.operators.lineage import cut
 TREES = 16
 DEPTH = 4  # values that a region shares
 DEEPER = 4  # further values that order it
+LONGS = 16  # words of 64 bits in each set's summary
 CROWD = 2_000  # nodes of a region from which it is cut deeper
 
 _draw = np.random.default_rng(11)
@@ -79,6 +80,13 @@ def _signatures(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.n
     return np.column_stack(sums).astype("<u8"), region.view(np.int64), order.view(np.int64)
 
 
+def _summaries(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits times LONGS of each set, as whole numbers: one bit is set for each shingle."""
+    bits = np.zeros((len(size), 64 * LONGS), bool)
+    bits[np.repeat(np.arange(len(size)), size), (hashes % np.uint64(64 * LONGS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def _lists(values: np.ndarray, full: np.ndarray) -> pa.Array:
     """One list per document; documents outside `full` get an empty one."""
     size = np.where(full, values.shape[1], 0)
@@ -86,13 +94,8 @@ def _lists(values: np.ndarray, full: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
-def text_key(id_col: Column, text: Column) -> Column:
-    """Names a row by its id and a hash of its text; rows with equal keys are copies."""
-    return F.struct(id_col.alias("id"), F.xxhash64(text).alias("th"))
-
-
 def sign_documents(rows: DataFrame, words: int) -> DataFrame:
-    """(key, n_shingles, node, regions, orders) of rows (key, text); node is null without words."""
+    """(key, n_shingles, node, regions, orders, bits) of rows (key, text); node is null without words."""
 
     def run(batches):
         for batch in batches:
@@ -112,14 +115,16 @@ def sign_documents(rows: DataFrame, words: int) -> DataFrame:
                         pa.array(node, pa.binary()),
                         _lists(region, full),
                         _lists(order, full),
+                        _lists(_summaries(hashes, size[full]), full),
                     ],
-                    ["key", "n_shingles", "node", "regions", "orders"],
+                    ["key", "n_shingles", "node", "regions", "orders", "bits"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.select("key", "text").mapInArrow(
         run,
-        f"key {kind}, n_shingles bigint, node binary, regions array<bigint>, orders array<bigint>",
+        f"key {kind}, n_shingles bigint, node binary, regions array<bigint>, orders array<bigint>, "
+        "bits array<bigint>",
     )
 
 
@@ -188,12 +193,13 @@ def neighbours(entries: DataFrame) -> DataFrame:
     )
 
 
-def unchecked(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def unchecked(entries: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one region but different components.
 
     The component with most nodes of a region is met only by the region's other nodes, so a large
-    group that is joined already costs nothing. Sizes that rule the similarity out are skipped, and
-    a pair comes from the first tree only in which it shares a region.
+    group that is joined already costs nothing. A pair comes from the first tree only in which it
+    shares a region. Pairs that can't reach the similarity are skipped by an exact bound: each bit
+    that differs between two summaries stands for at least one shingle that one of them lacks.
     """
     joined = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = joined.groupBy("region", "root").agg(F.count(F.lit(1)).alias("nodes"))
@@ -206,7 +212,8 @@ def unchecked(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         .where(F.col("kinds") > 1)
         .select("region", "main")
     )
-    rows = cut(joined.join(open_regions, "region"))
+    summary = nodes.select("node", *[F.get("bits", F.lit(k)).alias(f"bits{k}") for k in range(LONGS)])
+    rows = cut(joined.join(open_regions, "region").join(summary, "node"))
     loose = rows.where(F.col("root") != F.col("main")).select(
         "region",
         F.col("node").alias("a"),
@@ -214,6 +221,7 @@ def unchecked(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         F.col("root").alias("root_a"),
         F.col("tree").alias("tree"),
         F.col("regions").alias("regions_a"),
+        *[F.col(f"bits{k}").alias(f"a{k}") for k in range(LONGS)],
     )
     others = rows.select(
         "region",
@@ -222,10 +230,12 @@ def unchecked(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         F.col("root").alias("root_b"),
         (F.col("root") == F.col("main")).alias("in_main"),
         F.col("regions").alias("regions_b"),
+        *[F.col(f"bits{k}").alias(f"b{k}") for k in range(LONGS)],
     )
-    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (
-        100 * F.col("n_b") >= percent * F.col("n_a")
-    )
+    apart = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LONGS))
+    both = F.col("n_a") + F.col("n_b")
+    # shared <= (both - apart) / 2, and shared * (100 + percent) >= percent * both is asked for
+    fits = (both - apart) * (100 + percent) >= 2 * percent * both
     earlier = F.size(F.array_intersect(F.slice("regions_a", F.lit(1), F.col("tree")), "regions_b"))
     met = loose.join(others, "region").where(
         (F.col("root_a") != F.col("root_b"))
@@ -264,6 +274,7 @@ def near_duplicates(
             F.first("n_shingles").alias("n"),
             F.first("regions").alias("regions"),
             F.first("orders").alias("orders"),
+            F.first("bits").alias("bits"),
         )
     )
     spread = nodes.select(
@@ -280,7 +291,7 @@ def near_duplicates(
     sets = cut(node_sets(rows.join(wanted, "key").dropDuplicates(["node"]), words))
     first = cut(confirmed(neighbours(entries), sets, percent))
     roots = components(first)
-    rest = cut(confirmed(unchecked(entries, roots, percent), sets, percent))
+    rest = cut(confirmed(unchecked(entries, roots, nodes, percent), sets, percent))
     if not rest.isEmpty():
         roots = components(first.union(rest))
     lows = (
@@ -306,8 +317,6 @@ def keep_one(
     The row with the smallest id stays; of rows with equal id and text one stays. Rows without
     words all stay, and so do rows with null ids whose component has no other id.
     """
-    from studyspark.llm.base import packed
-
     found = near_duplicates(docs, words, percent, id_col, text_col)
     kept = found.where(F.col("key.id").eqNullSafe(F.col("component_id"))).select("key").distinct()
     rows = packed(docs, key=text_key(F.col(id_col), F.col(text_col).cast("string")))
