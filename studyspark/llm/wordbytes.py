@@ -6,6 +6,8 @@ chunk and by the longest single text. Nothing here makes a Python object per wor
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,6 @@ _MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE_CODE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,19 +34,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers and len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
-    # short ones, as the driver hashes, aren't kept: what is kept here would travel with functions
-    size = n if n < 4096 else max(n, 2 * CHUNK_BYTES)
-    made = []
-    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 2**64))):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        made.append(np.multiply.accumulate(steps))
-    if size >= 4096:
-        _powers[:] = made
-    return made[0], made[1]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least `n` of each.
+
+    Functions travel to executors by value, each task with globals of its own; the tables are kept
+    once per process instead, so that a worker which serves many tasks doesn't gather copies.
+    """
+    kept = sys.modules.setdefault("_studyspark_powers", types.ModuleType("_studyspark_powers"))
+    tables = getattr(kept, "tables", None)
+    if tables is None or len(tables[0]) < n:
+        tables = []
+        for base in (_BASE, np.uint64(pow(int(_BASE), -1, 2**64))):
+            steps = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
+            steps[0] = 1
+            tables.append(np.multiply.accumulate(steps))
+        kept.tables = tables
+    return tables
 
 
 class Spans:
