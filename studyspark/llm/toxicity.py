@@ -30,7 +30,7 @@ SEEDS = (
 MINE_ROWS = 6_000
 # A piece is strong (weak) if it stands in at least MIN_DOCS toxic texts and its rate there is this
 # many times its rate in clean ones. The lexicon keeps the best LEXICON_SIZE pieces of each kind.
-STRONG, WEAK, MIN_DOCS = 20.0, 5.0, 4
+STRONG, WEAK, MIN_DOCS = 20.0, 5.0, 3
 LEXICON_SIZE = 3_000
 PREFIXES = (4, 5, 6, 7, 8)
 FOLDS, HELD = 4, 2
@@ -62,11 +62,15 @@ def _hash_text(piece: str) -> int:
 
 
 # What is counted in a text, and from which count a voter fires.
-HITS = ("seed", "word_a", "word_b", "word_c", "word_weak", "prefix", "prefix_weak", "shout", "bang", "masked")
+HITS = ("seed", "word_a", "word_b", "word_c", "word_weak", "prefix", "prefix_weak", "dense", "dense_prefix", "shout", "bang", "masked")
 VOTERS = (
     ("seed", 1), ("seed", 2), ("word_a", 1), ("word_b", 1), ("word_c", 1), ("word_weak", 1),
-    ("prefix", 1), ("prefix", 2), ("prefix_weak", 2), ("shout", 20), ("bang", 3), ("masked", 1),
+    ("prefix", 1), ("prefix", 2), ("prefix_weak", 2), ("dense", 10), ("dense_prefix", 12), ("shout", 20), ("bang", 3), ("masked", 1),
 )
+LEXICON_VOTERS = 11  # the first ones
+# Rate of a vote in (clean, toxic) texts before any is seen, and how many texts that is worth.
+LEXICON_PRIOR = ((0.02, 0.5), (20.0, 4.0))
+PATTERN_PRIOR = ((0.05, 0.1), (2.0, 2.0))
 FEATURES = (*HITS, "log_terms")
 
 
@@ -160,6 +164,11 @@ def _count(chunk: Chunk, find: dict[str, _Lookup]) -> np.ndarray:
             strong[long] |= find["prefix"].hits(got)
             weak[long] |= find["prefix_weak"].hits(got)
     out["prefix"], out["prefix_weak"] = by(strong), by(weak)
+    # hits in a thousand terms, of texts with two hits or more
+    size = np.maximum(np.bincount(own, minlength=n), 1)
+    found = out["seed"] + out["word_a"] + out["word_b"] + out["word_c"]
+    out["dense"] = np.where(found >= 2, 1000 * found / size, 0)
+    out["dense_prefix"] = np.where(out["prefix"] >= 2, 1000 * out["prefix"] / size, 0)
     length = end - start
     out["shout"] = by((length >= 4) & (upper[end] - upper[start] == length))
     bang = np.flatnonzero((data[1:] == 0x21) & (data[:-1] == 0x21)) if len(data) else []
@@ -279,7 +288,7 @@ def fit_label_model(masks: np.ndarray, free: np.ndarray, known: np.ndarray) -> L
     """
     m = len(VOTERS)
     votes = (masks[:, None] >> np.arange(m)) & 1
-    some = votes[:, :9].any(axis=1)
+    some = votes[:, :LEXICON_VOTERS].any(axis=1)
     guess = np.where(some, 0.9, 0.02) if not known.sum() else None
     parent = [-1] * m
     model = None
@@ -296,9 +305,12 @@ def fit_label_model(masks: np.ndarray, free: np.ndarray, known: np.ndarray) -> L
             for g in (0, 1):
                 rows = votes[:, p] == g if p >= 0 else np.ones(len(votes), bool)
                 fired = mass[rows & (votes[:, j] == 1)].sum(axis=0)
-                rate[j, g] = (fired + 0.5) / (mass[rows].sum(axis=0) + 1.0)
+                held = mass[rows].sum(axis=0)
+                # the prior says which class is which: lexicon hits are rare in clean texts
+                before, size = (LEXICON_PRIOR if j < LEXICON_VOTERS else PATTERN_PRIOR)
+                rate[j, g] = (fired + np.multiply(before, size)) / (held + np.array(size))
         rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        prior = float(np.clip(mass[:, 1].sum() / mass.sum(), 1e-3, 1 - 1e-3))
+        prior = float((mass[:, 1].sum() + 1) / (mass.sum() + 10))
         model = LabelModel(prior, parent, rate)
     return model
 
@@ -343,7 +355,8 @@ def fit_linear(rows: DataFrame, posterior: dict[int, float]) -> np.ndarray:
             return beta
         system = np.array([r["sums"] for r in sorted(got, key=lambda r: r["line"])])
         ridge = PENALTY * np.eye(size)
-        step = np.linalg.solve(system[:, :size] + ridge, system[:, size] - PENALTY * beta)
+        ridge[0, 0] = 1e-3  # the constant is free
+        step = np.linalg.solve(system[:, :size] + ridge, system[:, size] - ridge @ beta)
         step *= min(1.0, 8.0 / max(np.abs(step).max(), 1e-12))
         beta = beta + step
         if np.abs(step).max() < 1e-3:
