@@ -8,5 +8,6 @@ from studyspark.catalog import (  # noqa: F401
     modelling,
     quality,
     reporting,
+    writing,
 )
 from studyspark.catalog.base import REGISTRY  # noqa: F401

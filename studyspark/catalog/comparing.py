@@ -8,6 +8,7 @@ from studyspark.catalog.base import (
     ORDER_MONTHS,
     VISITS,
     query,
+    sql_erfc,
     sql_normal_two_sided,
     table,
     visits,
@@ -73,13 +74,13 @@ def compare_two_groups(spark, folder):
     rank_sql(_long_sql(FEATURES, "l_returnflag"))
     + KRUSKAL
     + """ SELECT feature, n_groups, CAST(n AS BIGINT) AS n_total, 'Kruskal-Wallis' AS test,
-  round(h, 4) AS statistic, round(exp(-h / 2), 4) AS p_value,
+  'asymptotic' AS method, round(h, 4) AS statistic, round(exp(-h / 2), 4) AS p_value,
   round(between_ss / (between_ss + within), 4) AS effect_size, 'eta-squared' AS effect_size_type
 FROM h"""
 )
 def compare_k_groups(spark, folder):
     got = compare.compare_groups(table(spark, folder, "lineitem"), FEATURES, "l_returnflag")
-    return got.drop("group_a", "group_b", "method")
+    return got.drop("group_a", "group_b")
 
 
 # Order lines under gait names, so that the metric guide applies.
@@ -123,12 +124,16 @@ def metric_guide_lookup(spark, folder):
     + rank_sql("SELECT 'value' AS feature, event_type AS g, value AS v FROM visits", ",")
     + KRUSKAL
     + """ SELECT feature, n_groups, CAST(n AS BIGINT) AS n_total, round(h, 4) AS statistic,
-  round(between_ss / (between_ss + within), 4) AS effect_size FROM h"""
+  round(between_ss / (between_ss + within), 4) AS effect_size,
+  -- four conditions have values: the upper tail with three degrees of freedom
+  round(ERFC + sqrt(2 * h / pi()) * exp(-h / 2), 4) AS p_value FROM h""".replace(
+        "ERFC", sql_erfc("sqrt(h / 2)")
+    )
 )
 def condition_comparison(spark, folder):
     """A few-valued condition column: compare the outcome across its values."""
     got = compare.condition_analysis(visits(spark, folder), "event_type", "value")["comparison"]
-    return got.select("feature", "n_groups", "n_total", "statistic", "effect_size")
+    return got.select("feature", "n_groups", "n_total", "statistic", "effect_size", "p_value")
 
 
 PAIRS = """WITH RECURSIVE pr AS (SELECT a.user_id AS e, a.value AS va, b.value AS vb

@@ -206,6 +206,35 @@ def ridge_predictions(spark, folder):
     return pred.withColumn("y_pred", F.round("y_pred", 4))
 
 
+@query(
+    f"""WITH h AS (SELECT event_id, value AS y, CAST(user_id AS DOUBLE) AS a, CAST(hour(ts) AS DOUBLE) AS b,
+  CAST(({HASH.format(key='user_id')}) * 3 // 4294967296 AS INT) AS part FROM events),
+s AS (SELECT h.*, fold, part <> fold AS train FROM h, (VALUES (0), (1), (2)) AS k(fold)),
+m AS (SELECT fold, count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb,
+  avg(y) AS my FROM s WHERE train GROUP BY fold),
+g AS (SELECT fold, sum((a - ma) / sa * (a - ma) / sa) + 1 AS aa,
+  sum((b - mb) / sb * (b - mb) / sb) + 1 AS bb, sum((a - ma) / sa * (b - mb) / sb) AS ab,
+  sum((a - ma) / sa * (y - my)) AS ay, sum((b - mb) / sb * (y - my)) AS byy
+  FROM s JOIN m USING (fold) WHERE train GROUP BY fold),
+w AS (SELECT fold, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS wa,
+  (aa * byy - ab * ay) / (aa * bb - ab * ab) AS wb FROM g),
+p AS (SELECT fold, y, my + wa * (a - ma) / sa + wb * (b - mb) / sb AS yp
+  FROM s JOIN m USING (fold) JOIN w USING (fold) WHERE NOT train),
+x AS (SELECT fold, avg(abs(y - yp)) AS mae, sqrt(avg((y - yp) * (y - yp))) AS rmse,
+  1 - avg((y - yp) * (y - yp)) / var_pop(y) AS r2 FROM p GROUP BY fold)
+SELECT CAST(fold AS INT) AS fold, 'Ridge Regression' AS model, 'mae' AS metric, round(mae, 4) AS value FROM x
+UNION ALL SELECT fold, 'Ridge Regression', 'rmse', round(rmse, 4) FROM x
+UNION ALL SELECT fold, 'Ridge Regression', 'r2', round(r2, 4) FROM x"""
+)
+def ridge_folds(spark, folder):
+    """Scores of each of three folds that no user is split between."""
+    e = models.time_features(table(spark, folder, "events"), "ts")
+    return models.cross_validate(
+        e, "regression", "value", "event_id", "user_id", 3,
+        features=["user_id", "hour"], models=[models.RIDGE],
+    )
+
+
 def labelled(spark, folder):
     d = table(spark, folder, "documents").select(
         "doc_id",

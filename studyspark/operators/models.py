@@ -29,7 +29,14 @@ from studyspark.functions.hashing import SPAN, spread
 from studyspark.operators.lineage import cut
 from studyspark.operators.metrics import class_scores, confusion, regression_scores, roc_auc
 from studyspark.operators.order import bucket_depth, hash_bucket, hash_positions, quantiles
-from studyspark.operators.splits import TEST, TRAIN, entity_split, random_split, time_split
+from studyspark.operators.splits import (
+    TEST,
+    TRAIN,
+    entity_split,
+    fold_of,
+    random_split,
+    time_split,
+)
 
 MIN_TRAIN, MIN_TEST = 10, 5
 STRATIFY_UP_TO, STRATIFY_UP_TO_ROLES = 10, 49
@@ -325,8 +332,17 @@ def permutation_importance(
 
 
 def _split(
-    rows: DataFrame, split: str, test_share: float, seed: int, classes: int | None, strata_limit: int
+    rows: DataFrame,
+    split: str,
+    test_share: float,
+    seed: int,
+    classes: int | None,
+    strata_limit: int,
+    fold: tuple[int, int] | None = None,
 ):
+    if fold is not None:
+        here = fold_of(rows, "_x_entity", fold[1], seed) == fold[0]
+        return rows.withColumn("split", F.when(here, F.lit(TEST)).otherwise(F.lit(TRAIN)))
     if split == "time":
         return time_split(rows, "_x_time", "_key", test_share)
     if split == "entity":
@@ -443,6 +459,7 @@ def run_classification(
     fit_rows: int | None = FOREST_ROWS,
     exclude: Sequence[str] = (),
     stratify_up_to: int = STRATIFY_UP_TO,
+    fold: tuple[int, int] | None = None,
 ) -> ModelRun:
     """Logistic regression and a random forest; time order, entities or strata decide the split."""
     features = list(
@@ -462,7 +479,13 @@ def run_classification(
         label = label.when(F.col("_y") == F.lit(c), F.lit(float(i)))
     rows = cut(
         _split(
-            raw.withColumn("_label", label), split, test_share, seed, len(classes), stratify_up_to
+            raw.withColumn("_label", label),
+            split,
+            test_share,
+            seed,
+            len(classes),
+            stratify_up_to,
+            fold,
         )
     )
     n = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
@@ -506,6 +529,7 @@ def run_regression(
     depth: int = 30,
     fit_rows: int | None = FOREST_ROWS,
     exclude: Sequence[str] = (),
+    fold: tuple[int, int] | None = None,
 ) -> ModelRun:
     """Ridge regression and a random forest."""
     features = list(
@@ -514,7 +538,7 @@ def run_regression(
     split = "time" if time_col else "entity" if entity else "random"
     raw = _prepare(df, features, target, key, time_col, entity)
     raw = raw.withColumn("_label", numeric_of(raw, "_y")).where("_label is not null")
-    rows = cut(_split(raw, split, test_share, seed, None, 0))
+    rows = cut(_split(raw, split, test_share, seed, None, 0, fold))
     got = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("_label").alias("s")).collect()
     n = {r["split"]: r["n"] for r in got}
     run = ModelRun("regression")
@@ -539,6 +563,24 @@ def run_regression(
     return run
 
 
+def cross_validate(
+    df: DataFrame, task: str, target: str, key: str, entity: str, folds: int = 5, **options
+) -> DataFrame:
+    """(fold, model, metric, value): each fold of entities is the test part once.
+
+    No entity is in both parts of a fold. A fold that a guard rejects, or a model that fails in it,
+    has no rows. Options are those of `run_classification` or `run_regression`.
+    """
+    run = run_regression if task == "regression" else run_classification
+    options.setdefault("importance", False)
+    out = []
+    for f in range(folds):
+        got = run(df, target, key, entity=entity, fold=(f, folds), **options)
+        if got.error is None:
+            out += [(f, r["model"], r["metric"], r["value"]) for r in got.metrics.collect()]
+    return df.sparkSession.createDataFrame(out, "fold int, model string, metric string, value double")
+
+
 def run_by_roles(
     df: DataFrame,
     key: str,
