@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -55,6 +56,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
+        tempfile.mkdtemp(prefix="bench-"),
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="8g",

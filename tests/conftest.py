@@ -11,10 +11,11 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session(
         "tests",
         "local[4]",
+        str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g",
