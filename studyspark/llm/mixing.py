@@ -172,7 +172,7 @@ r AS (
          floor(t.target + 1e-6) AS words
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(words / source_size) ELSE 0 END AS laps FROM r)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
        CAST(laps * size + least(greatest(words - laps * source_size - before, 0), size) AS BIGINT)
          AS taken
 FROM e"""
@@ -181,4 +181,5 @@ FROM e"""
 @query(_oracle())
 def op4_mix_sources(spark, folder):
     mixed = mix_sources(table(spark, folder, "documents"), carry=["doc_id"])
-    return mixed.select(F.col("row.doc_id"), "size", "source_size", "target", "taken")
+    target = F.round("target", 6).alias("target")
+    return mixed.select(F.col("row.doc_id"), "size", "source_size", target, "taken")
