@@ -6,7 +6,7 @@ import pytest
 
 from studyspark.llm.langid import UNKNOWN, fit_languages, forward_backward, identify_languages, label_text
 from studyspark.llm.quality import fourier, isotonic, score_quality
-from studyspark.llm.toxicity import drop_toxic, fit_label_model, score_toxicity
+from studyspark.llm.toxicity import VOTERS, drop_toxic, fit_label_model, score_toxicity
 from studyspark.llm.wordbytes import chunks
 
 
@@ -82,7 +82,7 @@ def test_isotonic_pools_violators():
 def test_label_model_recovers_accuracies():
     """Voters drawn from known rates; EM without labels finds them and the tie of two of them."""
     draw = np.random.default_rng(2)
-    n, m = 40_000, 12
+    n, m = 40_000, len(VOTERS)
     y = draw.random(n) < 0.2
     high, low = np.linspace(0.9, 0.6, m), np.full(m, 0.05)
     votes = draw.random((n, m)) < np.where(y[:, None], high, low)
