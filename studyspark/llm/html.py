@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block. A sliding window sums the text lengths of the lines; a
-region of text begins where the sums surge and ends where they dive to nothing. Containers that are
-boilerplate by their tag, role or class leave empty lines, so the sums dive there. Where a page
-names its article (`article` or `main`), all other lines are emptied before the sums are taken.
+run of lines ends where the sums dive to nothing and is text if they surge inside it. Containers that
+are boilerplate by their tag, role or class leave empty lines, so the sums dive there. Where a page
+names its article (`article` or `main`), its lines weigh as much as a surge more and all other lines
+a part of their length, so text beside the article has to surge by much more.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from studyspark.llm.base import query, table
 
 WINDOW = 3
-# Shortest region, in characters, that counts as text where no article is named; the longest region
-# always counts.
-MIN_REGION = 120
-# A region keeps its place beside the longest one only with this part of its length.
-MIN_SHARE = 0.2
+# Window sum, in characters, from which a run of lines is text; on a page that reaches less than twice
+# as much anywhere, half of its largest sum.
+SURGE = 80
+# Weight of a character beside the named article.
+BESIDE = 0.25
 # Share of a line's characters inside links from which the line is a menu.
 LINK_SHARE = 0.5
 
@@ -187,17 +188,18 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def text_regions(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[from, to) of the line runs between a surge and the next dive of the windowed sums.
+def text_regions(lengths: np.ndarray, window: int = WINDOW, surge: float = 0) -> list[tuple[int, int]]:
+    """[from, to) of the line runs between dives of the windowed sums whose sums reach `surge`.
 
-    A window reaches `window` lines forward. A surge is a line with text before which the window
-    sum was nothing; a dive is the first window that holds nothing.
+    A window reaches `window` lines forward; a dive is the first window that holds nothing. `surge`
+    is lowered to half of the largest sum.
     """
     if not len(lengths):
         return []
     total = np.concatenate([[0], np.cumsum(lengths)])
     ends = np.minimum(np.arange(len(lengths)) + window, len(lengths))
     sums = total[ends] - total[:-1]
+    surge = min(surge, sums.max() / 2)
     regions, start = [], None
     for i, size in enumerate(lengths):
         if start is None and size > 0:
@@ -207,7 +209,7 @@ def text_regions(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, i
             start = None
     if start is not None:
         regions.append((start, len(lengths)))
-    return regions
+    return [(a, b) for a, b in regions if sums[a:b].max() >= surge]
 
 
 def main_text(page: str | None) -> str:
@@ -217,24 +219,20 @@ def main_text(page: str | None) -> str:
     lines = page_lines(page)
     named = any(main and not bad for _, _, main, bad in lines)
     texts, lengths = [], []
+    before = None
     for text, linked, main, bad in lines:
         menu = not main and linked >= LINK_SHARE * len(text)
-        if bad or menu or (named and not main):
-            # a stripped block leaves as many empty lines as a window has, so the sums dive
+        gap = bad or menu
+        if gap or (named and before is not None and main != before):
+            # a stripped block and the edge of the article leave as many empty lines as a window
+            # has, so the sums dive
             texts += [""] * WINDOW
             lengths += [0] * WINDOW
-        else:
+        if not gap:
+            before = main
             texts.append(text)
-            lengths.append(len(text))
-    regions = text_regions(np.array(lengths, dtype=np.int64))
-    if not named and regions:
-        sizes = [sum(lengths[a:b]) for a, b in regions]
-        most = max(sizes)
-        regions = [
-            r
-            for r, size in zip(regions, sizes, strict=True)
-            if size == most or (size >= MIN_REGION and size >= MIN_SHARE * most)
-        ]
+            lengths.append(len(text) + SURGE if named and main else len(text) * (BESIDE if named else 1))
+    regions = text_regions(np.array(lengths, dtype=float), surge=SURGE)
     return "\n".join(t for a, b in regions for t in texts[a:b] if t)
 
 

@@ -37,9 +37,17 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_sums_decide_beside_the_named_article():
+    more = "Further words of it stand in a plain box. " * 10
+    page = f"<article>{BODY * 9}</article><div>Our shop sells pens.</div><nav>n</nav><div>{more}</div>"
+    assert main_text(page) == "\n".join([TEXT] * 9 + [more.strip()])
+
+
 def test_surges_and_dives():
     assert text_regions(np.array([0, 5, 0, 0, 4, 0, 0, 0, 9])) == [(1, 5), (8, 9)]
     assert text_regions(np.array([], int)) == []
+    assert text_regions(np.array([9, 0, 0, 0, 40, 50, 0, 0, 0, 30]), surge=80) == [(4, 6)]
+    assert text_regions(np.array([9, 0, 0, 0, 3]), surge=80) == [(0, 1)]
 
 
 def test_pages_with_clashing_columns(spark):
