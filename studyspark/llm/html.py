@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one per block. A sliding window sums the text lengths of the lines; a
 run of lines ends where the sums dive to nothing and is text if they surge inside it. Containers that
-are boilerplate by their tag, role or class leave empty lines, so the sums dive there. Where a page
+are boilerplate by their tag, role or class leave empty lines, so the sums dive there; inside one
+container they leave nothing, as they only part its text. Where a page
 names its article (`article` or `main`), its lines weigh as much as a surge more and all other lines
 a part of their length, so text beside the article has to surge by much more.
 """
@@ -71,6 +72,7 @@ _CLOSES_P = frozenset(
 _ENDS_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
               "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCE = frozenset("ul ol dl table article main section div body".split())
+_HOLDS = frozenset("article main section div body form".split())
 
 
 def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
@@ -98,12 +100,15 @@ def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, inside the article, inside boilerplate) of each block."""
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, characters inside links, inside the article, inside boilerplate, container) of each block.
+
+    The container is the outermost article or main, or else the nearest part of a page.
+    """
     lines, buffer = [], []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-    junk = article = links = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, article, container
+    junk = article = links = made = 0
     at = 0
 
     def flush():
@@ -111,7 +116,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                lines.append((text, linked, article > 0, junk > 0))
+                lines.append((text, linked, article > 0, junk > 0, stack[-1][3] if stack else 0))
             buffer.clear()
         linked = 0
 
@@ -119,7 +124,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal junk, article, links
         flush()
         while len(stack) > k:
-            tag, bad, main = stack.pop()
+            tag, bad, main, _ = stack.pop()
             junk -= bad
             article -= main
             links -= tag == "a"
@@ -180,7 +185,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         main = tag in ("article", "main") and not bad
         if bad:
             flush()
-        stack.append((tag, bad, main))
+        held = stack[-1][3] if stack else 0
+        if tag in _HOLDS and not article:
+            made += 1
+            held = made
+        stack.append((tag, bad, main, held))
         junk += bad
         article += main
         links += tag == "a"
@@ -217,19 +226,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    named = any(main and not bad for _, _, main, bad in lines)
+    named = any(main and not bad for _, _, main, bad, _ in lines)
     texts, lengths = [], []
-    before = None
-    for text, linked, main, bad in lines:
+    before, gap = None, False
+    for text, linked, main, bad, held in lines:
         menu = not main and linked >= LINK_SHARE * len(text)
-        gap = bad or menu
-        if gap or (named and before is not None and main != before):
-            # a stripped block and the edge of the article leave as many empty lines as a window
-            # has, so the sums dive
-            texts += [""] * WINDOW
-            lengths += [0] * WINDOW
-        if not gap:
-            before = main
+        if bad or menu:
+            gap = True
+        else:
+            # stripped blocks between two containers and the edge of the article leave as many
+            # empty lines as a window has, so the sums dive
+            if before and ((gap and held != before[1]) or (named and main != before[0])):
+                texts += [""] * WINDOW
+                lengths += [0] * WINDOW
+            before, gap = (main, held), False
             texts.append(text)
             lengths.append(len(text) + SURGE if named and main else len(text) * (BESIDE if named else 1))
     regions = text_regions(np.array(lengths, dtype=float), surge=SURGE)

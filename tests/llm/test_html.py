@@ -43,6 +43,17 @@ def test_sums_decide_beside_the_named_article():
     assert main_text(page) == "\n".join([TEXT] * 9 + [more.strip()])
 
 
+def test_boxes_in_the_flow_take_no_text_with_them():
+    box = "<div class=ad>Buy</div>"
+    first = "<p>" + "An introduction. " * 24 + "</p>"
+    intro = ("An introduction. " * 24).strip()
+    body = "\n".join([TEXT] * 12)
+    assert main_text(f"<body>{first}{box}{BODY * 12}</body>") == f"{intro}\n{body}"
+    assert main_text(f"<body><div>{first}</div>{box}<div>{BODY * 12}</div></body>") == f"{intro}\n{body}"
+    assert main_text(f"<body>{BODY * 12}{box}<p>The end.</p></body>") == f"{body}\nThe end."
+    assert main_text(f"<body><div>{BODY * 12}</div>{box}<div>Pens</div></body>") == body
+
+
 def test_surges_and_dives():
     assert text_regions(np.array([0, 5, 0, 0, 4, 0, 0, 0, 9])) == [(1, 5), (8, 9)]
     assert text_regions(np.array([], int)) == []
