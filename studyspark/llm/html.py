@@ -5,13 +5,16 @@ run of lines ends where the sums dive to nothing and is text if they surge insid
 are boilerplate by their tag, role or class leave empty lines, so the sums dive there; inside one
 container they leave nothing, as they only part its text. Where a page
 names its article (`article` or `main`), its lines weigh as much as a surge more and all other lines
-a part of their length, so text beside the article has to surge by much more.
+a part of their length, so text beside the article has to surge by much more. A class, an id or a form
+makes a container boilerplate only where it doesn't wrap the page's text, and a page is named only if
+its articles hold most of its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -45,21 +48,34 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp "
     "rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_JUNK_TAGS = frozenset(
-    "nav header footer aside form menu button select dialog head fieldset".split()
-)
+_JUNK_TAGS = frozenset("nav header footer aside menu button select dialog head".split())
+_FORMS = frozenset("form fieldset".split())
 _JUNK_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar "
+    "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar".split()
 )
-_JUNK_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav "
-    "navbar navigation navi menu breadcrumb breadcrumbs header masthead footer foot sidebar aside "
-    "rail widget cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist disqus respond reply replies discussion pagination pager toolbar "
-    "skip copyright legal disclaimer paywall form search".split()
-)
+# Words of a class or id: of parts that may also wrap a page, of parts that repeat beside the text,
+# and of what readers wrote.
+_JUNK_WORDS = {
+    **dict.fromkeys(
+        "banner nav navbar navigation navi menu header masthead footer foot sidebar aside rail popup "
+        "modal overlay signup login toolbar skip paywall form search".split(), "layout"
+    ),
+    **dict.fromkeys(
+        "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb "
+        "breadcrumbs widget cookie cookies consent gdpr notice notices notification alert newsletter "
+        "subscribe subscription share sharing social related recommended pagination pager copyright "
+        "legal disclaimer".split(), "list"
+    ),
+    **dict.fromkeys(
+        "comment comments commentlist disqus respond reply replies discussion".split(), "reply"
+    ),
+}
+# A name that begins or ends so says what its element has or lacks, not what it is.
+_MODIFIED_BY = frozenset("has no with without not".split())
+_MODIFIER_ENDS = frozenset("open opened closed enabled disabled".split())
+# Part of a page's text from which a form beside a named article is the text itself.
+FORM_SHARE = 0.8
 # class names inside which these words name a part of the article itself
 _PART = re.compile(r"(article|entry|post|story|content)[-_]?(header|title|body|text|content)", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -75,39 +91,66 @@ _FENCE = frozenset("ul ol dl table article main section div body".split())
 _HOLDS = frozenset("article main section div body form".split())
 
 
-def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _JUNK_TAGS:
-        # the head of an article holds its title
-        return not (tag == "header" and in_article)
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+def _junk_kind(tag: str, attrs: str, in_article: bool) -> str:
+    """`sure` if tag, role or style say boilerplate; else the kind of the first junk word, or none."""
+    # the head of an article holds its title
+    if tag in _JUNK_TAGS and not (tag == "header" and in_article):
+        return "sure"
+    kind = "form" if tag in _FORMS else ""
+    if tag in _JUNK_TAGS or not attrs or "=" not in attrs and "hidden" not in attrs:
+        return kind
     if _HIDDEN.search(_ATTR.sub("", attrs)):
-        return True
+        return "sure"
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in _JUNK_ROLES:
-            return True
+            return "sure"
+        if name == "role" and value.lower() == "form":
+            kind = kind or "form"
         if name == "style" and _HIDDEN.search(value):
-            return True
+            return "sure"
         if name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            return "sure"
+        if not kind and name in ("class", "id") and tag not in ("html", "body", "main"):
             for part in value.split():
                 if _PART.search(part):
                     continue
-                if any(w.lower() in _JUNK_WORDS for w in _SPLIT.split(part)):
-                    return True
-    return False
+                words = [w.lower() for w in _SPLIT.split(part) if w]
+                if len(words) > 1 and (words[0] in _MODIFIED_BY or words[-1] in _MODIFIER_ENDS):
+                    continue
+                kind = kind or next((_JUNK_WORDS[w] for w in words if w in _JUNK_WORDS), "")
+    return kind
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
-    """(text, characters inside links, inside the article, inside boilerplate, container) of each block.
+@dataclass
+class Line:
+    """A block's text and where it stands."""
 
-    The container is the outermost article or main, or else the nearest part of a page.
-    """
+    text: str
+    linked: int  # characters inside links
+    article: bool
+    junk: bool  # inside sure boilerplate
+    held: int  # the outermost article or main, or else the nearest part of a page
+    boxes: tuple[int, ...]  # containers that may be boilerplate, the outermost first
+
+
+@dataclass
+class Box:
+    """A container whose class, id or tag says boilerplate, which its text may disprove."""
+
+    kind: str
+    article: bool = False  # is or holds an article
+    main: bool = False  # holds a main
+    inside: bool = False  # stands in an article
+
+
+def page_lines(page: str) -> tuple[list[Line], list[Box]]:
+    """The blocks of text in order, and the containers that may be boilerplate."""
     lines, buffer = [], []
     linked = 0
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, article, container
+    found: list[Box] = []
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, sure, article, container, box or -1
+    boxes: list[int] = []
     junk = article = links = made = 0
     at = 0
 
@@ -116,7 +159,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                lines.append((text, linked, article > 0, junk > 0, stack[-1][3] if stack else 0))
+                held = stack[-1][3] if stack else 0
+                lines.append(Line(text, linked, article > 0, junk > 0, held, tuple(boxes)))
             buffer.clear()
         linked = 0
 
@@ -124,7 +168,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
         nonlocal junk, article, links
         flush()
         while len(stack) > k:
-            tag, bad, main, _ = stack.pop()
+            tag, bad, main, _, box = stack.pop()
+            if box >= 0:
+                boxes.pop()
             junk -= bad
             article -= main
             links -= tag == "a"
@@ -146,7 +192,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag in _INLINE and not any(s[1] or s[2] for s in stack[k:]):
+                    if tag in _INLINE and not any(s[1] or s[2] or s[4] >= 0 for s in stack[k:]):
                         links -= sum(s[0] == "a" for s in stack[k:])
                         # an inline end closes only inline parts; blocks inside it stay open
                         stack[k:] = [s for s in stack[k + 1 :] if s[0] not in _INLINE]
@@ -177,24 +223,72 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
                 if stack[k][0] in ends:
                     drop(k)
                     break
-                if stack[k][0] in _FENCE or stack[k][1] or stack[k][2]:
+                if stack[k][0] in _FENCE or stack[k][1] or stack[k][2] or stack[k][4] >= 0:
                     break
         if attrs.endswith("/") and tag not in _INLINE and tag not in _CLOSES_P:
             continue
-        bad = _is_junk(tag, attrs, article > 0)
+        kind = _junk_kind(tag, attrs, article > 0)
+        bad = kind == "sure"
         main = tag in ("article", "main") and not bad
-        if bad:
+        if kind:
             flush()
+        box = -1
+        if kind and not bad:
+            box = len(found)
+            boxes.append(box)
+            found.append(Box(kind, inside=article > 0))
+        if main and not junk:
+            for k in boxes:
+                found[k].article = True
+                found[k].main |= tag == "main"
         held = stack[-1][3] if stack else 0
         if tag in _HOLDS and not article:
             made += 1
             held = made
-        stack.append((tag, bad, main, held))
+        stack.append((tag, bad, main, held, box))
         junk += bad
         article += main
         links += tag == "a"
     flush()
-    return lines
+    return lines, found
+
+
+def junk_boxes(lines: list[Line], boxes: list[Box]) -> set[int]:
+    """Which boxes are boilerplate: those that don't wrap the page's text."""
+    left = set(range(len(boxes)))
+    if not left:
+        return left
+    size = [0 if line.junk or _is_menu(line, line.article) else len(line.text) for line in lines]
+    total = sum(size)
+    holds, articles = [0] * len(boxes), [0] * len(boxes)
+    for line, n in zip(lines, size, strict=True):
+        for k in line.boxes:
+            holds[k] += n
+            articles[k] += n * line.article
+    out = named = None
+    parent = {b: a for line in lines for a, b in zip(line.boxes, line.boxes[1:])}
+    for k, box in enumerate(boxes):
+        most = 2 * holds[k] > total
+        if parent.get(k) in left or not (most or box.article):
+            continue
+        if out is None:
+            clean = [(n, line.article) for n, line in zip(size, lines, strict=True) if left.isdisjoint(line.boxes)]
+            out, named = sum(n for n, _ in clean), sum(n for n, article in clean if article)
+        layout = box.kind in ("layout", "form")
+        if (
+            box.main
+            or (layout and box.article and not named)
+            or (most and not named and (out < SURGE or layout or (box.kind == "list" and box.article)))
+            or (most and layout and holds[k] >= SURGE and not box.inside and articles[k] > named)
+            or (box.kind == "form" and holds[k] >= max(SURGE, FORM_SHARE * total))
+        ):
+            left.discard(k)
+            out = named = None
+    return left
+
+
+def _is_menu(line: Line, named: bool) -> bool:
+    return not named and line.linked >= LINK_SHARE * len(line.text)
 
 
 def text_regions(lengths: np.ndarray, window: int = WINDOW, surge: float = 0) -> list[tuple[int, int]]:
@@ -225,23 +319,26 @@ def main_text(page: str | None) -> str:
     """Text of the article, its blocks joined by one newline; empty if the page has none."""
     if not page:
         return ""
-    lines = page_lines(page)
-    named = any(main and not bad for _, _, main, bad, _ in lines)
+    lines, boxes = page_lines(page)
+    left = junk_boxes(lines, boxes)
+    junk = [line.junk or not left.isdisjoint(line.boxes) for line in lines]
+    size = [0 if bad or _is_menu(line, line.article) else len(line.text) for line, bad in zip(lines, junk, strict=True)]
+    named = 2 * sum(n for line, n in zip(lines, size, strict=True) if line.article) > sum(size)
     texts, lengths = [], []
     before, gap = None, False
-    for text, linked, main, bad, held in lines:
-        menu = not main and linked >= LINK_SHARE * len(text)
-        if bad or menu:
+    for line, bad in zip(lines, junk, strict=True):
+        main = named and line.article
+        if bad or _is_menu(line, main):
             gap = True
         else:
             # stripped blocks between two containers and the edge of the article leave as many
             # empty lines as a window has, so the sums dive
-            if before and ((gap and held != before[1]) or (named and main != before[0])):
+            if before and ((gap and line.held != before[1]) or main != before[0]):
                 texts += [""] * WINDOW
                 lengths += [0] * WINDOW
-            before, gap = (main, held), False
-            texts.append(text)
-            lengths.append(len(text) + SURGE if named and main else len(text) * (BESIDE if named else 1))
+            before, gap = (main, line.held), False
+            texts.append(line.text)
+            lengths.append(len(line.text) + SURGE if main else len(line.text) * (BESIDE if named else 1))
     regions = text_regions(np.array(lengths, dtype=float), surge=SURGE)
     return "\n".join(t for a, b in regions for t in texts[a:b] if t)
 

@@ -54,6 +54,30 @@ def test_boxes_in_the_flow_take_no_text_with_them():
     assert main_text(f"<body><div>{BODY * 12}</div>{box}<div>Pens</div></body>") == body
 
 
+LONG = "\n".join([TEXT] * 3)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div class='layout has-sidebar'><article>{BODY * 3}</article></div>", LONG),
+        (f"<div id='no-sidebar'><article>{BODY * 3}</article></div>", LONG),
+        (f"<article class='post comments-open'>{BODY * 3}</article>", LONG),
+        (f"<form id='aspnetForm'><div>{BODY * 3}</div></form>", LONG),
+        (f"<form id='aspnetForm'><article>{BODY * 3}</article><form>Send</form></form>", LONG),
+        (f"<div class='sidebar-left'><main>{BODY * 3}</main></div><p>(c)</p>", LONG),
+        (f"<article class='card'><p>Short</p></article><div class=ad>Buy</div><div>{BODY * 3}</div>", LONG),
+        # what is boilerplate stays so
+        (f"<article>{BODY * 3}</article><div class=sidebar>{BODY * 5}</div>", LONG),
+        (f"<div>{BODY * 3}</div><div class=comments><article>{BODY * 5}</article></div>", LONG),
+        (f"<article>{BODY * 3}<div class='cookie-notice'>{BODY * 5}</div></article>", LONG),
+        (f"<article>{BODY * 3}</article><div class=related><article>{BODY}</article></div>", LONG),
+    ],
+)
+def test_wrappers_with_a_junk_word_keep_their_text(page, text):
+    assert main_text(page) == text
+
+
 def test_surges_and_dives():
     assert text_regions(np.array([0, 5, 0, 0, 4, 0, 0, 0, 9])) == [(1, 5), (8, 9)]
     assert text_regions(np.array([], int)) == []
