@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders, so a question with other numbers or
 names keeps its template. Hashes of template windows are joined between documents and benchmark
 items; what filled the placeholders must map from item to document the same way all along a
-passage. Windows of the plain words are joined beside them, so a copy with other capitals counts.
+passage. A capital that opens a sentence may be a name or not, so its windows stand in both ways.
+Windows of the plain words are joined beside them, so a copy with other capitals counts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ UNITS = (
 )
 _NUMBER, _NAME, _UNIT = (np.uint64(0x1F0A3C5D7E9B1101 + k) for k in range(3))
 _BASE = 0xB5297A4D3F84D5B5
+# Bits of a filling: the lowest is set in all, the second in all but words that open a sentence.
+_FILLED, _INNER = np.uint64(1), np.uint64(2)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:;\n\r"]] = True
 
@@ -47,7 +50,11 @@ def _unit_hashes() -> np.ndarray:
 
 
 def _templates(chunk, units: np.ndarray):
-    """(document, plain hash, template hash, filling hash) of each term; a literal has filling 0."""
+    """(document, plain hash, [(template hash, filling), ...], opener) of each term.
+
+    A literal has filling 0. In the first template a capital that opens a sentence is a literal, in
+    the second one a name; `opener` says where they differ.
+    """
     start, end, own = chunk.terms()
     data = chunk.data
     plain = Spans(chunk.lowered()).hash(start, end)
@@ -60,53 +67,75 @@ def _templates(chunk, units: np.ndarray):
     stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
     opens = np.ones(len(start), bool)
     opens[1:] = (own[1:] != own[:-1]) | (stops[start[1:]] > stops[end[:-1]])
-    name = capital & ~opens & ~number
-    unit = np.zeros(len(start), bool)
-    unit[1:] = number[:-1] & (own[1:] == own[:-1])
-    maybe = np.flatnonzero(unit)
+    capital &= ~number
+    follows = np.zeros(len(start), bool)
+    follows[1:] = number[:-1] & (own[1:] == own[:-1])
+    maybe = np.flatnonzero(follows)
     at = np.minimum(np.searchsorted(units, plain[maybe]), len(units) - 1)
-    unit[maybe] = units[at] == plain[maybe]
-    unit &= ~name & ~number
-    typed = plain.copy()
-    for mask, code in ((number, _NUMBER), (name, _NAME), (unit, _UNIT)):
-        typed[mask] = code
-    filling = np.where(number | name | unit, plain | np.uint64(1), np.uint64(0))
-    return own, np.where(number, _NUMBER, plain), typed, filling
+    follows[maybe] = units[at] == plain[maybe]
+    out = []
+    for name in (capital & ~opens, capital):
+        unit = follows & ~name & ~number
+        typed = plain.copy()
+        for mask, code in ((number, _NUMBER), (name, _NAME), (unit, _UNIT)):
+            typed[mask] = code
+        kept = np.where(name & opens, (plain | _FILLED) & ~_INNER, plain | _FILLED | _INNER)
+        out.append((typed, np.where(number | name | unit, kept, np.uint64(0))))
+    return own, np.where(number, _NUMBER, plain), out, capital & opens
 
 
-def _rolled(values: np.ndarray, salt: int) -> np.ndarray:
-    n = len(values) - WINDOW + 1
+def _rolled(values: np.ndarray, width: int, salt: int) -> np.ndarray:
+    n = len(values) - width + 1
     total = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(width):
         total += values[k : k + n] * np.uint64(pow(_BASE, k, 2**64))
-    return mix(total + np.uint64(salt))
+    return mix(total + np.uint64(salt + 2 * (WINDOW - width)))
+
 
+def _windows_of(chunk, units: np.ndarray, widths: tuple[int, ...] | None):
+    """(document, position, width, typed?, hash, fillings) of the template and the plain windows.
 
-def _windows_of(chunk, units: np.ndarray):
-    """(document, position, typed?, hash, fillings) of the template and the plain windows."""
-    own, plain, typed, filling = _templates(chunk, units)
-    if len(own) < WINDOW:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool), none, np.zeros((0, WINDOW), np.int64)
-    n = len(own) - WINDOW + 1
-    inside = own[:n] == own[WINDOW - 1 :]
+    `widths` lists the widths in use; None gives windows of `WINDOW` words, and one window of the
+    whole text where it has fewer words.
+    """
+    own, plain, templates, opener = _templates(chunk, units)
     first = np.searchsorted(own, np.arange(chunk.n))
-    slots = np.lib.stride_tricks.sliding_window_view(filling, WINDOW)
-    literal = (slots == 0).sum(axis=1)
-    # a template window counts where it holds a placeholder; all others are plain windows
-    use = inside & (literal >= LEAST_LITERAL) & (literal < WINDOW)
-    where = [np.flatnonzero(inside), np.flatnonzero(use)]
-    hashes = [_rolled(plain, 1)[where[0]], _rolled(typed, 2)[where[1]]]
-    at = np.concatenate(where)
-    is_typed = np.repeat([False, True], [len(w) for w in where])
-    fillings = np.where(is_typed[:, None], slots[at], np.uint64(0)).view(np.int64)
-    return own[at], at - first[own[at]], is_typed, np.concatenate(hashes).view(np.int64), fillings
-
-
-def template_windows(rows: DataFrame, seen: bytes | None = None) -> DataFrame:
-    """(key, pos, typed, hash, slots) of all windows of rows (key, text).
-
-    `seen` is a bit table of hashes; windows outside it are left out, as they can't match.
+    words = np.bincount(own, minlength=chunk.n)
+    parts = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64)]]
+    for width in widths or range(1, WINDOW + 1):
+        n = len(own) - width + 1
+        if n <= 0:
+            continue
+        inside = own[:n] == own[width - 1 :]
+        if widths is None and width < WINDOW:
+            inside &= words[own[:n]] == width
+        if not inside.any():
+            continue
+        view = lambda x, w=width: np.lib.stride_tricks.sliding_window_view(x, w)
+        at = np.flatnonzero(inside)
+        none = np.zeros((len(at), WINDOW), np.uint64)
+        parts.append([at, np.full(len(at), width), np.zeros(len(at), bool), _rolled(plain, width, 1)[at], none])
+        for which, (typed, filling) in enumerate(templates):
+            literal = (view(filling) == 0).sum(axis=1)
+            # a template window counts where it holds a placeholder; all others are plain windows
+            use = inside & (literal >= LEAST_LITERAL) & (literal < width)
+            if which:
+                use &= view(opener).any(axis=1)
+            at = np.flatnonzero(use)
+            slots = np.zeros((len(at), WINDOW), np.uint64)
+            slots[:, :width] = view(filling)[at]
+            parts.append([at, np.full(len(at), width), np.ones(len(at), bool), _rolled(typed, width, 2)[at], slots])
+    at, width, is_typed, hashes, slots = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return own[at], at - first[own[at]], width, is_typed, hashes.view(np.int64), slots.view(np.int64)
+
+
+def template_windows(
+    rows: DataFrame, seen: bytes | None = None, widths: tuple[int, ...] | None = None
+) -> DataFrame:
+    """(key, pos, width, typed, hash, slots) of all windows of rows (key, text).
+
+    `seen` is a bit table of hashes; windows outside it are left out, as they can't match. `widths`
+    are the widths to look at; without it a text under `WINDOW` words is one window.
     """
     units = _unit_hashes()
     bits = None if seen is None else np.frombuffer(seen, np.uint8)
@@ -115,11 +144,12 @@ def template_windows(rows: DataFrame, seen: bytes | None = None) -> DataFrame:
         for batch in batches:
             keys = batch.column(0)
             for chunk in chunks(batch.column(1)):
-                own, pos, typed, hashes, slots = _windows_of(chunk, units)
+                found = _windows_of(chunk, units, widths)
                 if bits is not None:
-                    low = hashes & ((1 << FILTER_BITS) - 1)
+                    low = found[4] & ((1 << FILTER_BITS) - 1)
                     keep = np.flatnonzero((bits[low >> 3] >> (low & 7)) & 1)
-                    own, pos, typed, hashes, slots = own[keep], pos[keep], typed[keep], hashes[keep], slots[keep]
+                    found = [x[keep] for x in found]
+                own, pos, width, typed, hashes, slots = found
                 if not len(own):
                     continue
                 offsets = np.arange(len(slots) + 1, dtype=np.int32) * WINDOW
@@ -127,16 +157,17 @@ def template_windows(rows: DataFrame, seen: bytes | None = None) -> DataFrame:
                     [
                         keys.take(pa.array(own + chunk.first)),
                         pa.array(pos.astype(np.int64)),
+                        pa.array(width.astype(np.int32)),
                         pa.array(typed),
                         pa.array(hashes),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots.ravel())),
                     ],
-                    ["key", "pos", "typed", "hash", "slots"],
+                    ["key", "pos", "width", "typed", "hash", "slots"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.select("key", "text").mapInArrow(
-        run, f"key {kind}, pos bigint, typed boolean, hash bigint, slots array<bigint>"
+        run, f"key {kind}, pos bigint, width int, typed boolean, hash bigint, slots array<bigint>"
     )
 
 
@@ -160,33 +191,40 @@ def _bit_table(hashes: DataFrame) -> bytes:
 def benchmark_matches(
     rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
-    """(key, item, share): the part of an item's windows that a document of (key, text) holds.
+    """(key, item, share): the part of an item's windows that a passage of a document holds.
 
-    The share is the larger one of the plain windows and of the template windows whose fillings
-    are consistent. Along one diagonal (document position minus item position) each filling of the
-    item must stand for one filling of the document; where over `SLOT_FAULTS` of them don't, the
-    diagonal's template windows don't count. Items under five words have no window and match
-    nothing.
+    A window counts if its plain words (any number for a number) or one of its templates stand in the
+    document. Along one diagonal (document position minus item position) each filling of the item
+    must stand for one filling of the document; where over `SLOT_FAULTS` of them don't, the
+    diagonal's template windows don't count. An item under five
+    words is one window.
     """
     items = cut(
         template_windows(
             benchmark.select(F.col(item_col).alias("key"), F.col(text_col).cast("string").alias("text"))
         ).withColumnsRenamed({"key": "item", "pos": "ipos", "slots": "islots"})
     )
-    sizes = items.groupBy("item").agg(
-        F.countDistinct(F.when(~F.col("typed"), F.col("ipos"))).alias("plain_all"),
-        F.countDistinct("ipos").alias("all"),
-    )
-    filled = template_windows(rows, _bit_table(items))
+    sizes = items.groupBy("item").agg(F.countDistinct("ipos").alias("all"))
+    widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect())) or (WINDOW,)
+    filled = template_windows(rows, _bit_table(items), widths).drop("width")
     met = cut(
-        filled.join(items.drop("typed"), "hash").withColumn("diag", F.col("pos") - F.col("ipos"))
+        filled.join(items.drop("typed", "width"), "hash").withColumn("diag", F.col("pos") - F.col("ipos"))
     )
+    # an opening word that is the same on both sides tells nothing about the names
+    inner = F.lit(int(_INNER))
+    opener = (F.col("s.islots").bitwiseAND(inner) == 0) & (F.col("s.slots").bitwiseAND(inner) == 0)
     slots = (
         met.where("typed")
         .select("key", "item", "diag", F.explode(F.arrays_zip("islots", "slots")).alias("s"))
         .where(F.col("s.islots") != 0)
-        .groupBy("key", "item", "diag", F.col("s.islots").alias("slot"))
-        .agg((F.min("s.slots") != F.max("s.slots")).cast("int").alias("fault"))
+        .where(~(opener & (F.col("s.islots") == F.col("s.slots"))))
+        .select(
+            "key", "item", "diag",
+            F.col("s.islots").bitwiseOR(inner).alias("slot"),
+            F.col("s.slots").bitwiseOR(inner).alias("filling"),
+        )
+        .groupBy("key", "item", "diag", "slot")
+        .agg((F.min("filling") != F.max("filling")).cast("int").alias("fault"))
         .groupBy("key", "item", "diag")
         .agg((F.avg("fault") > SLOT_FAULTS).alias("broken"))
         .where("broken")
@@ -196,18 +234,9 @@ def benchmark_matches(
     )
     return (
         good.groupBy("key", "item")
-        .agg(
-            F.countDistinct(F.when(~F.col("typed"), F.col("ipos"))).alias("plain"),
-            F.countDistinct("ipos").alias("either"),
-        )
+        .agg(F.countDistinct("ipos").alias("found"))
         .join(sizes, "item")
-        .select(
-            "key",
-            "item",
-            F.round(
-                F.greatest(F.col("plain") / F.col("plain_all"), F.col("either") / F.col("all")), 6
-            ).alias("share"),
-        )
+        .select("key", "item", F.round(F.col("found") / F.col("all"), 6).alias("share"))
     )
 
 

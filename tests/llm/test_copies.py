@@ -139,6 +139,27 @@ def test_templates(spark, edge, empty):
     assert contamination(empty, items).count() == 0
 
 
+def _shares(spark, texts, item):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["key"]["id"]: r for r in contamination(df, items).collect()}
+    return [(got[k]["contaminated"], got[k]["share"]) for k in range(len(texts))]
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples does Tom have?"
+    other = item.replace("Tom", "Ann")
+    mixed = "Ann has 5 apples. Bob buys 3 more. Cid eats 2. How many apples does Dan have?"
+    got = _shares(spark, [other, "We ask: if " + other + " Say it.", other.replace("5", "8"), mixed], item)
+    assert [g[0] for g in got] == [True, True, True, False]
+    assert got[0][1] == 1.0
+
+
+def test_items_under_five_words(spark):
+    got = _shares(spark, ["What is a quark?", "He asked what is a quark and left", "what is a", ""], "What is a quark?")
+    assert [g[0] for g in got] == [True, True, False, False]
+
+
 def test_matches_are_those_of_all_windows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
