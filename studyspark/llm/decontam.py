@@ -22,6 +22,7 @@ WINDOW = 5
 LEAST_LITERAL = 2  # words of a window that must not be placeholders
 SHARE = 0.8  # of an item's windows that make a document contaminated
 SLOT_FAULTS = 0.2  # of an item's slots that may change their filling within a passage
+LEAST_BAND = 16  # diagonals that count as near for any item, however short
 FILTER_BITS = 25  # the window filter has 2^25 bits, 4 MB, whatever the benchmark
 
 UNITS = (
@@ -81,7 +82,7 @@ def _templates(chunk, units: np.ndarray):
             typed[mask] = code
         kept = np.where(name & opens, (plain | _FILLED) & ~_INNER, plain | _FILLED | _INNER)
         out.append((typed, np.where(number | name | unit, kept, np.uint64(0))))
-    return own, np.where(number, _NUMBER, plain), out, capital & opens
+    return own, plain, out, capital & opens
 
 
 def _rolled(values: np.ndarray, width: int, salt: int) -> np.ndarray:
@@ -193,10 +194,11 @@ def benchmark_matches(
 ) -> DataFrame:
     """(key, item, share): the part of an item's windows that a passage of a document holds.
 
-    A window counts if its plain words (any number for a number) or one of its templates stand in the
+    A window counts if its plain words (numbers as they are) or one of its templates stand in the
     document. Along one diagonal (document position minus item position) each filling of the item
     must stand for one filling of the document; where over `SLOT_FAULTS` of them don't, the
-    diagonal's template windows don't count. An item under five
+    diagonal's template windows don't count. Windows add up over diagonals that lie near each
+    other, by up to the item's length, so windows from unrelated places don't. An item under five
     words is one window.
     """
     items = cut(
@@ -232,11 +234,17 @@ def benchmark_matches(
     good = met.join(slots, ["key", "item", "diag"], "left").where(
         ~F.col("typed") | F.col("broken").isNull()
     )
+    # ranges of diagonals that overlap by half: any two that are near share one
+    band = F.floor(F.col("diag") / F.greatest(F.col("all"), F.lit(LEAST_BAND)))
     return (
-        good.groupBy("key", "item")
-        .agg(F.countDistinct("ipos").alias("found"))
+        good.select("key", "item", "ipos", "diag")
+        .distinct()
         .join(sizes, "item")
-        .select("key", "item", F.round(F.col("found") / F.col("all"), 6).alias("share"))
+        .select("key", "item", "ipos", "all", F.explode(F.array(band, band - 1)).alias("band"))
+        .groupBy("key", "item", "band", "all")
+        .agg(F.countDistinct("ipos").alias("found"))
+        .groupBy("key", "item")
+        .agg(F.round(F.max(F.col("found") / F.col("all")), 6).alias("share"))
     )
 
 

@@ -155,6 +155,24 @@ def test_names_that_open_sentences(spark):
     assert got[0][1] == 1.0
 
 
+def test_numbers_need_their_fillings(spark):
+    item = "take 5 of the red pens and then put 5 of the blue pens beside them"
+    got = _shares(spark, [item, item.replace("5", "7"), item.replace("put 5", "put 7")], item)
+    assert [g[0] for g in got] == [True, True, False]
+    rows = " ".join(str(k * 37) for k in range(20))
+    table = " ".join(str(k * 91 + 5) for k in range(400))
+    assert _shares(spark, [table, "sum all these " + rows], "sum all these " + rows) == [(False, 0.0), (True, 1.0)]
+
+
+def test_windows_of_unrelated_places_do_not_add_up(spark):
+    words = prose(11, 40, 9000).split()
+    parts = [" ".join(words[k : k + 10]) for k in range(0, 36, 6)]
+    far = " ".join(f"{part} {prose(50 + k, 300, 9000)}" for k, part in enumerate(parts))
+    near = " ".join(words[:20]) + " " + prose(60, 12, 9000) + " " + " ".join(words[20:])
+    got = _shares(spark, [far, near], " ".join(words))
+    assert [g[0] for g in got] == [False, True]
+
+
 def test_items_under_five_words(spark):
     got = _shares(spark, ["What is a quark?", "He asked what is a quark and left", "what is a", ""], "What is a quark?")
     assert [g[0] for g in got] == [True, True, False, False]
