@@ -29,9 +29,8 @@ SEEDS = (
 # Labelled rows of each class that the lexicon is mined from: a hash-chosen sample of this size.
 MINE_ROWS = 6_000
 # A piece is strong (weak) if it stands in at least MIN_DOCS toxic texts and its rate there is this
-# many times its rate in clean ones. The lexicon keeps the best LEXICON_SIZE pieces of each kind.
+# many times its rate in clean ones. The lexicon keeps all of them: the sample bounds their number.
 STRONG, WEAK, MIN_DOCS = 20.0, 5.0, 3
-LEXICON_SIZE = 3_000
 PREFIXES = (4, 5, 6, 7, 8)
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -115,7 +114,7 @@ def mine_lexicon(texts: DataFrame, known: DataFrame) -> Lexicon:
 
     def rows(df, words_only):
         kind = F.col("kind") == "word"
-        return df.where(kind if words_only else ~kind).orderBy(*best).limit(LEXICON_SIZE).collect()
+        return df.where(kind if words_only else ~kind).orderBy(*best).collect()
 
     for r in rows(strong, True):
         out[f"word_{'abc'[_hash_text(r['piece']) % 3]}"].append(r["piece"])
@@ -143,13 +142,12 @@ class _Lookup:
         return out
 
 
-def _count(chunk: Chunk, find: dict[str, _Lookup]) -> np.ndarray:
-    n, data = chunk.n, chunk.data
-    start, end, own = chunk.terms()
+def _count(chunk: Chunk, low: Chunk, find: dict[str, _Lookup]) -> np.ndarray:
+    """Counts of the documents of `chunk`; `low` holds the same ones in small letters."""
+    n, data = low.n, low.data
+    start, end, own = low.terms()
     by = lambda mask: np.bincount(own[mask], minlength=n).astype(float)
-    upper = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
-    digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
-    spans = Spans(chunk.lowered())
+    spans = Spans(data)
     word = spans.hash(start, end)
     out = {k: by(find[k].hits(word)) for k in ("seed", "word_a", "word_b", "word_c", "word_weak")}
     lead = (data & 0xC0) != 0x80
@@ -169,6 +167,11 @@ def _count(chunk: Chunk, find: dict[str, _Lookup]) -> np.ndarray:
     found = out["seed"] + out["word_a"] + out["word_b"] + out["word_c"]
     out["dense"] = np.where(found >= 2, 1000 * found / size, 0)
     out["dense_prefix"] = np.where(out["prefix"] >= 2, 1000 * out["prefix"] / size, 0)
+    # form is that of the text as it stands
+    data = chunk.data
+    start, end, own = chunk.terms()
+    upper = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
+    digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
     length = end - start
     out["shout"] = by((length >= 4) & (upper[end] - upper[start] == length))
     bang = np.flatnonzero((data[1:] == 0x21) & (data[:-1] == 0x21)) if len(data) else []
@@ -188,19 +191,25 @@ def _count(chunk: Chunk, find: dict[str, _Lookup]) -> np.ndarray:
 def count_hits(text: Column, lexicon: Lexicon) -> Column:
     """array<double> of `FEATURES` of each whole text; null counts as empty.
 
-    A-Z, and capitals of other alphabets, count as small letters for the lexicon.
+    A-Z, and capitals of other alphabets, count as small letters for the lexicon, which is mined from
+    texts in the same small letters.
     """
     tables = lexicon.tables()
 
     @F.arrow_udf("array<double>")
-    def hits(texts: pa.Array) -> pa.Array:
+    def hits(texts: pa.Array, small: pa.Array) -> pa.Array:
         find = {k: _Lookup(v) for k, v in tables.items()}
-        parts = [_count(c, find) for c in chunks(texts)]
+        parts = []
+        for c in chunks(texts):
+            # the same documents in one chunk, whatever length their small letters have
+            (low,) = chunks(small.slice(c.first, c.n), 1 << 62)
+            parts.append(_count(c, low, find))
         out = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         offsets = np.arange(len(out) + 1, dtype=np.int32) * len(FEATURES)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-    return hits(text.cast("string"))
+    text = text.cast("string")
+    return hits(text, F.lower(text))
 
 
 def vote_mask(hits: Column) -> Column:

@@ -3,10 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from studyspark.llm.langid import UNKNOWN, fit_languages, forward_backward, identify_languages, label_text
 from studyspark.llm.quality import fourier, isotonic, score_quality
-from studyspark.llm.toxicity import VOTERS, drop_toxic, fit_label_model, score_toxicity
+from studyspark.llm.toxicity import HITS, VOTERS, Lexicon, count_hits, drop_toxic, fit_label_model, score_toxicity
 from studyspark.llm.wordbytes import chunks
 
 
@@ -19,6 +20,16 @@ def test_scores_on_edges(edge, empty, labels, no_labels, score):
     assert score(empty, labels).count() == 0
 
 
+def test_capitals_of_all_alphabets_hit_the_lexicon(spark):
+    known = Lexicon({**{k: [] for k in HITS[:7]}, "word_a": ["écrasé", "дурак"], "prefix": ["ñoño"]})
+    texts = ["Écrasé", "ÉCRASÉ дурак", "Дурак!", "ДУРАК ÑOÑOS", None, "x", "ABCD"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["h"] for r in df.select("id", count_hits(F.col("text"), known).alias("h")).collect()}
+    assert [got[k][HITS.index("word_a")] for k in range(7)] == [1, 2, 1, 1, 0, 0, 0]
+    assert got[3][HITS.index("prefix")] == 1
+    assert [got[k][HITS.index("shout")] for k in range(7)] == [0, 0, 0, 0, 0, 0, 1]
+
+
 def test_toxic_rows_go_whole(edge, labels, spark):
     assert drop_toxic(edge, labels).columns == edge.columns
     bad = spark.createDataFrame([(1, "you stupid idiot, such scum and trash"), (2, "a fine day")], "doc_id int, text string")
