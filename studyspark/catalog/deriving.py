@@ -26,6 +26,19 @@ def csv_round_trip(spark, folder):
     return rows.withColumn("file", F.substring("_source_file", 1, 5)).drop("_source_file")
 
 
+def write_lines(lines, heads, path):
+    """Write the column `value` as text, with the header lines on top of each partition's own file.
+
+    One file holds the header alone, so that a table without rows has one too.
+    """
+    head = F.lit("\n".join(heads))
+    # the lower 33 bits number the rows of a partition
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    parts = lines.select(F.when(first, F.concat_ws("\n", head, "value")).otherwise(F.col("value")).alias("value"))
+    alone = lines.sparkSession.range(0, 1, 1, 1).select(head.alias("value"))
+    parts.unionByName(alone).write.text(path)
+
+
 @query(
     """SELECT event_id, user_id, '[' ||
   array_to_string([x + user_id for x in range(event_id % 7 + 10000)], ',') || ']' AS taps,
@@ -43,11 +56,7 @@ def csv_long_lists(spark, folder):
         F.lit(']"'),
     )
     line = F.concat_ws(",", "event_id", "user_id", taps)
-    head = spark.range(1).select(F.lit("event_id,user_id,taps,note").alias("value"))
-    # a file for each part of the rows, with the header on top of each
-    parts = e.select(line.alias("value"), F.lit(1).alias("n"))
-    one = head.withColumn("n", F.lit(0)).unionByName(parts).coalesce(1).sortWithinPartitions("n")
-    one.select("value").write.text(path)
+    write_lines(e.select(line.alias("value")), ["event_id,user_id,taps,note"], path)
     rows, _ = read_study(spark, [path])
     return rows.select("event_id", "user_id", "taps", F.col("note").cast("string").alias("note"))
 
@@ -61,9 +70,8 @@ def two_row_headers(spark, folder):
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     line = table(spark, folder, "lineitem").where("l_linenumber <= 7")
     cells = ["l_orderkey", F.col("l_linenumber") + 0.5, "l_quantity", "l_discount", "l_extendedprice", "l_tax"]
-    text = line.select(F.concat_ws(",", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cells]).alias("value"), F.lit(2).alias("n"))
-    heads = spark.createDataFrame([("ID,Vel,Step,,Stride,", 0), (",,Mean,SD,Mean,SD", 1)], "value string, n int")
-    heads.unionByName(text).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    text = line.select(F.concat_ws(",", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cells]).alias("value"))
+    write_lines(text, ["ID,Vel,Step,,Stride,", ",,Mean,SD,Mean,SD"], path)
     rows, _ = read_study(spark, [path])
     return rows.drop("_source_file")
 

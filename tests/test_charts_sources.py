@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from studyspark.catalog.deriving import write_lines
 from studyspark.operators import charts, qc
 from studyspark.plans.report import insight_facts
 from studyspark.operators.rules import load_config
@@ -36,6 +37,20 @@ def test_box(spark):
     assert [f["value"] for f in charts.fliers(df, ["x"]).collect()] == [100.0]
 
 
+def test_header_lines_stand_on_each_partition(spark, tmp_path):
+    heads = ["ID,Vel,Step,,Stride,", ",,Mean,SD,Mean,SD"]
+    lines = spark.range(0, 1000, 1, 5).select(F.concat_ws(",", "id", *["id"] * 5).alias("value"))
+    write_lines(lines, heads, str(tmp_path / "some"))
+    files = [f.read_text().splitlines() for f in (tmp_path / "some").glob("part-*")]
+    assert len(files) == 6 and all(f[:2] == heads for f in files)
+    assert sorted(len(f) for f in files) == [2] + [202] * 5
+    rows, _ = delimited.read_study(spark, [str(tmp_path / "some")])
+    assert rows.agg(F.count("*"), F.sum("stride_sd")).first() == (1000, 499500)
+    write_lines(lines.where("value = ''"), heads, str(tmp_path / "none"))
+    rows, _ = delimited.read_study(spark, [str(tmp_path / "none")])
+    assert rows.count() == 0 and "stride_sd" in rows.columns
+
+
 def test_trend_takes_first_entities(spark):
     rows = [(0, "z", 0.0, 1.0, None), (1, "a", 0.0, 2.0, "g1"), (2, "z", 1.0, 3.0, "g2"), (3, "a", None, 1.0, "g1"), (4, "b", 0.0, 0.0, "g"), (5, "b", 1.0, 0.0, "g")]
     df = spark.createDataFrame(rows, "id int, e string, t double, y double, g string")
