@@ -527,11 +527,12 @@ def run_regression(
     repeats: int = 5,
     trees: int = 100,
     depth: int = 30,
-    fit_rows: int | None = FOREST_ROWS,
+    fit_rows: int | None = None,
     exclude: Sequence[str] = (),
     fold: tuple[int, int] | None = None,
 ) -> ModelRun:
-    """Ridge regression and a random forest."""
+    """Ridge regression and a random forest, fitted on all training rows unless `fit_rows` bounds
+    those of the forest."""
     features = list(
         features or default_features(df, target, [key, entity, time_col, *exclude])
     )

@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,14 @@ def test_scores(spark):
     assert metrics.regression_scores(flat).first()["r2"] == 0.0
     auc = spark.createDataFrame([(True, 0.9), (False, 0.9), (True, 0.5), (False, 0.1)], "p boolean, s double")
     assert metrics.roc_auc(auc, "p", "s").first()["auc"] == 0.625
+
+
+def test_regression_forest_is_fitted_on_all_rows(spark, monkeypatch):
+    seen = []
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 * 2.0).alias("z"))
+    fit = models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    given = inspect.signature(models.run_regression).parameters["fit_rows"].default
+    assert given is None
+    run = models.run_regression(rows, "z", "id", ["a"], models=[models.FOREST], trees=2, depth=3, importance=False)
+    assert seen == [run.summary["n_train"]]
