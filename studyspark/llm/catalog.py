@@ -12,6 +12,7 @@ from studyspark.llm import (  # noqa: F401
     neardup,
     quality,
     repetition,
+    secretscan,
     toxicity,
 )
 from studyspark.llm.base import REGISTRY  # noqa: F401
