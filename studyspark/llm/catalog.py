@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from studyspark.llm import (  # noqa: F401
+    collocations,
     decontam,
     html,
     langid,
