@@ -9,6 +9,7 @@ from studyspark.llm import (  # noqa: F401
     langid,
     licenses,
     linededup,
+    merkle,
     mixing,
     neardup,
     quality,
