@@ -2,10 +2,13 @@
 
 Each word opens one window of four lead columns, padded with '' where its piece ends. Only these
 longest windows are counted; Spark's ROLLUP over the columns sums them into the counts of every
-shorter phrase, so there is no explosion per n-gram length. A window stops before the first pair of
-words that stands too seldom for any candidate to hold it: pair counts, by hash, name the pairs that
-may be frequent, and a filter of bounded size (a pair let through in error only costs shuffle) takes
-them to the tasks.
+shorter phrase, so there is no explosion per n-gram length into the result's counts.
+
+Most windows of prose stand once, and shuffling them would cost many times the input. A phrase can't
+be frequent unless both its parts without one end word are, so a window stops where that fails: for
+lengths one to three, hashes are counted in turn, only at places that the length before let through,
+and the hashes that stand often enough become a filter of bounded size for the tasks (a hash let
+through in error only costs shuffle). Windows hold words, so counts are exact.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ COVER = 80  # per cent of a phrase's places that one longer candidate must hold
 SCALE = 2_000_000
 TOP = 2000
 CHUNK = 2 << 20  # bytes of text whose windows are folded before Spark sees them
-# The pair filter: about sixteen bits a frequent pair, within these bounds.
+# A filter has about sixteen bits for each frequent hash, within these bounds.
 FEWEST_BITS, MOST_BITS = 20, 28
 BLOCK_BITS = 32768  # of Spark's bitmap functions
 SALTS = 64
@@ -66,10 +69,6 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return Spans(data).hash(offsets[:-1], offsets[1:])
 
 
-def _pair_hash(first: np.ndarray, second: np.ndarray, lang: np.uint64) -> np.ndarray:
-    return mix(first * np.uint64(3) + mix(second + lang))
-
-
 def _lang_hash(name: str) -> np.uint64:
     return _word_hashes(pa.array([name], pa.large_string()))[0]
 
@@ -83,10 +82,34 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, tuple]]:
             yield lang, _encoded(chunk)
 
 
-def _pairs(words, own, piece) -> np.ndarray:
-    """Whether the word at each place and the next one stand in one piece."""
-    out = np.zeros(len(words), bool)
-    out[:-1] = (own[1:] == own[:-1]) & (piece[1:] == piece[:-1])
+def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = h & np.uint64(8 * len(bits) - 1)
+    found = bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)
+    return (found & 1).astype(bool)
+
+
+def _hopeful(lang: str, part: tuple, filters: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash, hope) of the phrases of one word, two words, .. at each place of a part.
+
+    Hope is lost where a piece ends, and where a filter doesn't know the phrase or one inside it. The
+    last pair is for one length more than there are filters.
+    """
+    words, listed, own, piece = part
+    each = _word_hashes(listed)[words]
+    joined = np.zeros(len(words), bool)
+    joined[:-1] = (own[1:] == own[:-1]) & (piece[1:] == piece[:-1])
+    h, hope = mix(each + _lang_hash(lang)), np.ones(len(words), bool)
+    out = []
+    for k, bits in enumerate([*filters, None], 1):
+        if k > 1:
+            longer = np.zeros(len(words), bool)
+            longer[:-1] = hope[:-1] & hope[1:] & joined[:-1]
+            grown = h.copy()
+            grown[: len(words) - k + 1] = mix(h[: len(words) - k + 1] * np.uint64(3) + mix(each[k - 1 :]))
+            h, hope = grown, longer
+        if bits is not None:
+            hope = hope & _known(np.frombuffer(bits, np.uint8), h)
+        out.append((h, hope))
     return out
 
 
@@ -100,29 +123,25 @@ def _folded(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
     return first, count
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(h, c) per chunk of text: hashes of word pairs of rows (lang, text), and their counts."""
+def hash_counts(rows: DataFrame, filters: list[bytes]) -> DataFrame:
+    """(h, c) per chunk of text: hashes of the phrases of rows (lang, text) that are one word longer
+    than the last filter's and may be frequent, and their counts."""
+    sent = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         for batch in batches:
-            for lang, (words, listed, own, piece) in _parts(batch):
-                if len(words) < 2:
-                    continue
-                joined = np.flatnonzero(_pairs(words, own, piece))
-                hashes = _word_hashes(listed)
-                h, c = np.unique(
-                    _pair_hash(hashes[words[joined]], hashes[words[joined + 1]], _lang_hash(lang)),
-                    return_counts=True,
-                )
+            for lang, part in _parts(batch):
+                h, hope = _hopeful(lang, part, sent.value)[-1]
+                h, c = np.unique(h[hope], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
     return rows.mapInArrow(run, "h bigint, c bigint")
 
 
-def pair_filter(counts: DataFrame, least: int) -> bytes:
-    """Bits that are set for the pairs of (h, c) which stand `least` times or more.
+def hash_filter(counts: DataFrame, least: int) -> bytes:
+    """Bits that are set for the hashes of (h, c) which stand `least` times or more.
 
-    As many bits as the pairs need, up to 2^MOST_BITS (32 MB); beyond, the filter lets more through.
+    As many bits as the hashes need, up to 2^MOST_BITS (32 MB); beyond, the filter lets more through.
     """
     often = cut(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h"))
     bits = min(max((16 * often.count()).bit_length(), FEWEST_BITS), MOST_BITS)
@@ -137,35 +156,25 @@ def pair_filter(counts: DataFrame, least: int) -> bytes:
     return bytes(out)
 
 
-def window_counts(rows: DataFrame, seen: bytes, order: int = ORDER) -> DataFrame:
-    """(lang, w0.., c): the windows that each word of rows (lang, text) opens, padded with ''.
+def window_counts(rows: DataFrame, filters: list[bytes]) -> DataFrame:
+    """(lang, w0.., c): the windows that each word of rows (lang, text) opens, padded with '', of one
+    word more than there are filters.
 
-    Counted per chunk of text. A window ends before the first pair that the filter doesn't know.
+    Counted per chunk of text. A window ends where no longer phrase may be frequent; that of a word
+    which is too rare itself is all padding.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(seen)
+    sent = rows.sparkSession.sparkContext.broadcast(filters)
+    order = len(filters) + 1
 
     def run(batches):
-        bits = np.frombuffer(sent.value, np.uint8)
-        mask = np.uint64(8 * len(bits) - 1)
         for batch in batches:
-            for lang, (words, listed, own, piece) in _parts(batch):
-                if not len(words):
-                    continue
-                goes_on = _pairs(words, own, piece)
-                at = np.flatnonzero(goes_on)
-                hashes = _word_hashes(listed)
-                low = _pair_hash(hashes[words[at]], hashes[words[at + 1]], _lang_hash(lang)) & mask
-                often = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-                goes_on[at] = often.astype(bool)
-                pad = len(listed)
-                columns, open_ = [words], np.ones(len(words), bool)
-                for k in range(1, order):
-                    open_ = open_.copy()
-                    open_[: len(words) - k + 1] &= goes_on[k - 1 :][: len(words) - k + 1]
-                    open_[len(words) - k :] = False
+            for lang, part in _parts(batch):
+                words, listed = part[:2]
+                pad, columns = len(listed), []
+                for k, (_, hope) in enumerate(_hopeful(lang, part, sent.value)):
                     column = np.full(len(words), pad, np.int64)
-                    column[: len(words) - k] = words[k:]
-                    column[~open_] = pad
+                    at = np.flatnonzero(hope)
+                    column[at] = words[at + k]
                     columns.append(column)
                 first, count = _folded(columns, pad + 1)
                 names = pa.concat_arrays([listed, pa.array([""], pa.large_string())]).cast(pa.string())
@@ -193,10 +202,12 @@ def phrase_counts(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    seen = pair_filter(pair_counts(rows), least)
+    filters: list[bytes] = []
+    for _ in range(order - 1):
+        filters.append(hash_filter(hash_counts(rows, filters), least))
     leads = [f"w{k}" for k in range(order)]
     # folded over tasks first, so that the roll-up reads each window once
-    top = window_counts(rows, seen, order).groupBy("lang", *leads).agg(F.sum("c").alias("c"))
+    top = window_counts(rows, filters).groupBy("lang", *leads).agg(F.sum("c").alias("c"))
     sums = top.rollup("lang", *leads).agg(F.sum("c").alias("f"))
     words = F.array_compact(F.array(*leads))
     return (

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import rows_of, EDGE
 
-from studyspark.llm.collocations import mine_collocations, pair_filter
+from studyspark.llm.collocations import mine_collocations, hash_filter
 from studyspark.llm.merkle import document_leaves, merkle_manifest
 from studyspark.llm.secretscan import BASE_RULES, RULES, Rule, read_ledger, scan_secrets, update_ledger
 
@@ -133,9 +133,9 @@ def test_long_words_and_numbers_beyond_64_bits(spark):
     assert (row["phrase"][-3:], row["a"], row["score"]) == ("z b", 2, 1_000_000)
 
 
-def test_pair_filter_lets_frequent_pairs_through(spark):
+def test_filter_lets_frequent_hashes_through(spark):
     counts = spark.createDataFrame([(h * 7919 - 4000, 1 + h % 3) for h in range(3000)], "h bigint, c bigint")
-    bits = pair_filter(counts, 2)
+    bits = hash_filter(counts, 2)
     low = [(h * 7919 - 4000) % (8 * len(bits)) for h in range(3000) if h % 3 >= 1]
     assert all(bits[x >> 3] >> (x & 7) & 1 for x in low)
     assert sum(bin(b).count("1") for b in bits) == len(set(low))
