@@ -270,8 +270,9 @@ def mine_collocations(
     )
     lefts = phrases.select("lang", F.col("words").alias("left"), F.col("f").alias("l"))
     rights = phrases.select("lang", F.col("words").alias("right"), F.col("f").alias("r"))
-    # a first word may open a large part of all candidates; such keys are salted
-    both = attach(attach(cuts, lefts, ["lang", "left"]), rights, ["lang", "right"])
+    # a first word may open a large part of all candidates; such keys are salted, none is broadcast
+    both = attach(cuts, lefts, ["lang", "left"], broadcast_bytes=0)
+    both = attach(both, rights, ["lang", "right"], broadcast_bytes=0)
     score = F.expr(f"cast({wide.format('a')} * {SCALE} div ({wide.format('l')} + {wide.format('r')}) as bigint)")
     worst = (
         both.select("lang", "words", "a", F.struct(score.alias("score"), "k", "l", "r").alias("cut"))
