@@ -9,7 +9,7 @@ from studyspark.operators import metrics, models, splits
 
 # the split hash of a key that isn't negative, in plain arithmetic
 HASH = (
-    "(((({key} + 42) % 4294967296 + (({key} + 42) // 4294967296 * 2246822519) % 4294967296)"
+    "((CAST(({key} + 42) % 4294967296 + (({key} + 42) // 4294967296 * 2246822519) % 4294967296 AS HUGEINT)"
     " % 4294967296) * 2654435761) % 4294967296"
 )
 

@@ -19,8 +19,10 @@ def spread(key: Column, dtype: T.DataType, seed: int = 42) -> Column:
     `part_of`, not with a remainder.
     """
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        moved = key.cast("bigint") + F.lit(seed)
-        top = F.pmod(F.shiftright(moved, 32), F.lit(SPAN >> 1))
+        whole = key.cast("bigint")
+        # the seed is added to the low half and carried, so keys at either end of BIGINT don't overflow
+        moved = F.pmod(whole, F.lit(SPAN)) + F.lit(seed)
+        top = F.pmod(F.shiftright(whole, 32) + F.shiftright(moved, 32), F.lit(SPAN >> 1))
         low = F.pmod(F.pmod(moved, F.lit(SPAN)) + F.pmod(top * HIGH_MULTIPLIER, F.lit(SPAN)), F.lit(SPAN))
         # two 16-bit halves keep the product inside BIGINT for every key
         high, rest = F.floor(low / 65536).cast("bigint"), F.pmod(low, F.lit(65536))

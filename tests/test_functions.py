@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from studyspark.functions import signal, tails
 from studyspark.functions.coerce import numeric, timestamp_text
 from studyspark.functions.guide import expectation
-from studyspark.functions.hashing import MULTIPLIER, SPAN, spread
+from studyspark.functions.hashing import HIGH_MULTIPLIER, MULTIPLIER, SPAN, spread
 
 
 def value(spark, col):
@@ -131,7 +131,8 @@ def test_guide_first_entry_wins(spark):
 
 
 def test_spread_matches_plain_arithmetic(spark):
-    keys = [0, 1, 17, 2**31, 2**32 - 43, 2**40 + 5, -3]
+    keys = [0, 1, 17, 2**31, 2**32 - 43, 2**32 - 42, 2**40 + 5, -3, 2**63 - 1, 2**63 - 43, -(2**63)]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     got = [r[0] for r in df.select(spread(F.col("k"), T.LongType())).collect()]
-    assert got == [((k + 42) % SPAN) * MULTIPLIER % SPAN for k in keys]
+    high = [((k + 42) >> 32) % (SPAN >> 1) * HIGH_MULTIPLIER for k in keys]
+    assert got == [((k + 42) % SPAN + top) % SPAN * MULTIPLIER % SPAN for k, top in zip(keys, high)]
