@@ -18,7 +18,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: str |
     if partition_by:
         out = out.partitionBy(partition_by)
     if fmt == "csv":
-        out = out.option("header", True)
+        # a quote inside a cell is written twice, as other tools read it
+        out = out.option("header", True).option("escape", '"')
+        out = out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     out.format(fmt).save(path)
 
 
