@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studyspark.catalog.base import query, table
-from studyspark.operators import metrics, models, splits
+from studyspark.operators import metrics, models, splits, trees
 
 # the split hash of a key that isn't negative, in plain arithmetic
 HASH = (
@@ -433,3 +433,76 @@ def model_by_roles(spark, folder):
     )
     pred = run.predictions[models.LOGISTIC]
     return pred.select("row_key", "y_true", F.col("p_class1").between(0, 1).alias("scored"))
+
+
+SPLIT_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    f"""WITH x AS (UNPIVOT (SELECT l_returnflag AS y, {", ".join(SPLIT_FEATURES)} FROM lineitem)
+    ON {", ".join(SPLIT_FEATURES)} INTO NAME feature VALUE value),
+v AS (SELECT feature, value, count(*) AS n, count(*) FILTER (y = 'A') AS a, count(*) FILTER (y = 'N') AS b,
+             count(*) FILTER (y = 'R') AS c FROM x GROUP BY feature, value),
+p AS (SELECT feature, value, lead(value) OVER w AS nxt, sum(n) OVER w AS nl, sum(a) OVER w AS la, sum(b) OVER w AS lb,
+             sum(c) OVER w AS lc, sum(n) OVER f AS n, sum(a) OVER f AS ta, sum(b) OVER f AS tb, sum(c) OVER f AS tc
+      FROM v WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
+g AS (SELECT *, CAST(la * la + lb * lb + lc * lc AS DOUBLE) / nl
+             + CAST((ta - la) * (ta - la) + (tb - lb) * (tb - lb) + (tc - lc) * (tc - lc) AS DOUBLE) / (n - nl) AS score,
+             CAST(ta * ta + tb * tb + tc * tc AS DOUBLE) / n AS parent
+      FROM p WHERE nxt IS NOT NULL AND nl >= 3 AND n - nl >= 3),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY feature ORDER BY score DESC, value) = 1)
+SELECT feature, round((value + nxt) / 2, 6) AS threshold, CAST(nl AS BIGINT) AS n_left,
+       CAST(n - nl AS BIGINT) AS n_right, round((score - parent) / n, 9) AS gain,
+       CAST(row_number() OVER (ORDER BY score - parent DESC) = 1 AS INT) AS importance FROM b"""
+)
+def best_class_splits(spark, folder):
+    """Best split of each feature for three classes, and which of them a one-level tree takes."""
+    items = table(spark, folder, "lineitem").withColumn("_y", F.col("l_returnflag")).withColumn("_node", F.lit(1))
+    found = trees.best_splits(items, SPLIT_FEATURES, trees.CLASSES)
+    tree = trees.grow_tree(table(spark, folder, "lineitem"), SPLIT_FEATURES, "l_returnflag", trees.CLASSES)
+    share = tree.importance()
+    chosen = F.create_map(*[F.lit(x) for c in SPLIT_FEATURES for x in (c, round(share.get(c, 0.0)))])
+    return found.select(
+        "feature",
+        F.round("threshold", 6).alias("threshold"),
+        "n_left",
+        "n_right",
+        F.round("gain", 9).alias("gain"),
+        chosen[F.col("feature")].alias("importance"),
+    )
+
+
+def _tree_sql() -> str:
+    """Two levels of a regression tree; a level is a pass over the rows with their nodes."""
+    level = """x{k} AS (UNPIVOT (SELECT node, y, discount, quantity, tax FROM r{k}) ON discount, quantity, tax INTO NAME feature VALUE value),
+v{k} AS (SELECT node, feature, value, count(*) AS n, sum(y) AS s FROM x{k} GROUP BY ALL),
+p{k} AS (SELECT node, feature, value, lead(value) OVER w AS nxt, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER f AS n,
+              sum(s) OVER f AS st FROM v{k} WINDOW w AS (PARTITION BY node, feature ORDER BY value), f AS (PARTITION BY node, feature)),
+s{k} AS (SELECT node, feature, (value + nxt) / 2 AS threshold, n, nl, (sl * sl / nl + (st - sl) * (st - sl) / (n - nl) - st * st / n) / n AS gain
+       FROM p{k} WHERE nxt IS NOT NULL AND nl >= 3 AND n - nl >= 3
+       QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, value) = 1)"""
+    return f"""WITH m AS (SELECT avg(l_extendedprice) AS y FROM lineitem),
+r0 AS (SELECT 1 AS node, l_extendedprice - m.y AS y, l_discount AS discount, l_quantity AS quantity, l_tax AS tax FROM lineitem, m),
+{level.format(k=0)},
+r1 AS (SELECT 2 + CAST(CASE feature WHEN 'discount' THEN discount WHEN 'quantity' THEN quantity ELSE tax END > threshold AS INT) AS node,
+              y, discount, quantity, tax FROM r0, s0),
+{level.format(k=1)},
+t AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)
+SELECT CAST(node AS BIGINT) AS node, feature, round(threshold, 6) AS threshold, CAST(n AS BIGINT) AS n, CAST(nl AS BIGINT) AS n_left,
+       round(gain, 2) AS gain, round(sum(n * gain) OVER (PARTITION BY feature) / sum(n * gain) OVER (), 6) AS importance FROM t"""
+
+
+@query(_tree_sql())
+def regression_tree(spark, folder):
+    """Splits of a two-level tree with each feature's importance."""
+    items = table(spark, folder, "lineitem").select(
+        "l_extendedprice", *[F.col(f"l_{c}").alias(c) for c in ("discount", "quantity", "tax")]
+    )
+    tree = trees.grow_tree(items, ["discount", "quantity", "tax"], "l_extendedprice", trees.NUMBERS, depth=2)
+    share = tree.importance()
+    rows = [
+        (s.node, s.feature, round(s.threshold, 6), s.n, s.n_left, round(s.gain, 2), round(share[s.feature], 6)) for s in tree.splits
+    ]
+    return spark.createDataFrame(
+        rows, "node bigint, feature string, threshold double, n bigint, n_left bigint, gain double, importance double"
+    )
