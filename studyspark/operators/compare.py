@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,22 +91,50 @@ def _exact_u():
     A nested function travels to the workers by value, so they need not have this package.
     """
 
+    listed: dict[int, tuple[int, list[int]]] = {}
+
+    def polynomial(m: int) -> tuple[int, list[int]]:
+        """(L, P) with 1 / ((1 - q) (1 - q) (1 - q^2) .. (1 - q^m)) = P(q) / (1 - q^L)^(m + 1)."""
+        if m not in listed:
+            period = math.lcm(*range(1, m + 1))
+            coefs = [1]
+            for j in (1, *range(1, m + 1)):
+                # a factor (1 - q^L) / (1 - q^j) = 1 + q^j + .. + q^(L - j)
+                grown = coefs + [0] * (period - j)
+                for i in range(len(grown) - 1, period - 1, -1):
+                    grown[i] -= coefs[i - period] if i - period < len(coefs) else 0
+                for i in range(j, len(grown)):
+                    grown[i] += grown[i - j]
+                coefs = grown
+            listed[m] = period, coefs
+        return listed[m]
+
+    def count_upto(m: int, n: int, u: int) -> int:
+        """Placements of m among m + n whose statistic is at most u: sums of the coefficients of
+        the Gaussian binomial, whose numerator has 2^m terms at most and whose denominator is a
+        polynomial of fixed size over a power; so n costs nothing."""
+        period, coefs = polynomial(m)
+        terms = {0: 1}  # exponent: sign and number
+        for j in range(1, m + 1):
+            for e, c in list(terms.items()):
+                terms[e + n + j] = terms.get(e + n + j, 0) - c
+        total = 0
+        for e, c in terms.items():
+            if e <= u and c:
+                t = u - e
+                total += c * sum(
+                    coefs[i] * math.comb((t - i) // period + m, m)
+                    for i in range(t % period, min(t + 1, len(coefs)), period)
+                )
+        return total
+
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in pdf.index[pdf["exact"]]:
                 m, n = sorted((int(pdf.at[i, "n_a"]), int(pdf.at[i, "n_b"])))
-                # chances[u] of statistic u, up to the smaller tail: the Gaussian binomial of
-                # m + n over m, a factor (1 - q^(n+j)) / (1 - q^j) for each j, scaled as it grows
                 low = int(min(pdf.at[i, "u"], m * n - pdf.at[i, "u"]))
-                chances = np.zeros(low + 1)
-                chances[0] = 1.0
-                for j in range(1, m + 1):
-                    if n + j <= low:
-                        chances[n + j :] -= chances[: low + 1 - n - j].copy()
-                    for start in range(min(j, low + 1)):
-                        chances[start::j] = np.cumsum(chances[start::j])
-                    chances *= j / (n + j)
-                pdf.at[i, "p_raw"] = min(1.0, 2.0 * chances.sum())
+                p = Fraction(2 * count_upto(m, n, low), math.comb(m + n, m))
+                pdf.at[i, "p_raw"] = float(min(p, 1))
             yield pdf
 
     return step

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -219,3 +220,39 @@ def test_exact_u_at_any_size(spark):
             row[k] += row[k - j]
     want = min(1.0, 2 * sum(row) / math.comb(m + n, m))
     assert r["method"] == "exact" and r["p_value"] == pytest.approx(want, abs=1e-4)
+
+
+def gaussian_upto(m, n, u):
+    """Placements with statistic at most u, by the product of the Gaussian binomial."""
+    chances = [1] + [0] * u
+    for j in range(1, m + 1):
+        for i in range(u, n + j - 1, -1):
+            chances[i] -= chances[i - n - j]
+        for i in range(j, u + 1):
+            chances[i] += chances[i - j]
+    return sum(chances)
+
+
+@pytest.mark.parametrize("m,n", [(1, 1), (1, 900), (2, 3), (3, 3), (5, 40), (7, 8), (8, 8), (8, 300)])
+def test_exact_u_of_any_size(m, n):
+    from math import comb
+
+    step = compare._exact_u()
+    us = sorted({0, 1, m * n // 3, m * n // 2, m * n - 1 if m * n > 1 else 1, m * n})
+    frame = pd.DataFrame({"n_a": float(n), "n_b": float(m), "u": [float(u) for u in us], "exact": True, "p_raw": 0.0})
+    (got,) = step(iter([frame]))
+    want = [min(1.0, 2 * gaussian_upto(m, n, min(u, m * n - u)) / comb(m + n, m)) for u in us]
+    assert got["p_raw"].tolist() == pytest.approx(want, rel=1e-12)
+
+
+def test_exact_u_of_a_billion_rows():
+    step = compare._exact_u()
+    frame = pd.DataFrame({"n_a": 8.0, "n_b": 1e9, "u": [4e9, 1e9, 0.0], "exact": True, "p_raw": 0.0})
+    start = time.time()
+    (got,) = step(iter([frame]))
+    assert time.time() - start < 2
+    # so many rows stand evenly between the eight: the mean of eight uniform places
+    half, eighth = got["p_raw"][0], got["p_raw"][1]
+    assert half == pytest.approx(1.0, abs=1e-6)
+    assert eighth == pytest.approx(2 / 40320, rel=1e-6)  # volume of a sum of eight uniforms up to 1
+    assert 0 < got["p_raw"][2] < 1e-60

@@ -1,3 +1,4 @@
+import decimal
 import math
 import statistics
 
@@ -136,3 +137,52 @@ def test_spread_matches_plain_arithmetic(spark):
     got = [r[0] for r in df.select(spread(F.col("k"), T.LongType())).collect()]
     high = [((k + 42) >> 32) % (SPAN >> 1) * HIGH_MULTIPLIER for k in keys]
     assert got == [((k + 42) % SPAN + top) % SPAN * MULTIPLIER % SPAN for k, top in zip(keys, high)]
+
+
+def plain_chi2(x, df):
+    """P(X > x) for even df: e^-h times a finite sum, in forty digits."""
+    with decimal.localcontext() as ctx:
+        ctx.prec = 40
+        h, term, total = decimal.Decimal(x) / 2, decimal.Decimal(1), decimal.Decimal(1)
+        for k in range(1, df // 2):
+            term = term * h / k
+            total += term
+        return float(total * (-h).exp())
+
+
+def plain_student(t, df):
+    """P(|T| > t) by the finite series in forty digits."""
+    with decimal.localcontext() as ctx:
+        ctx.prec = 40
+        nu, t = decimal.Decimal(df), decimal.Decimal(t)
+        cos2 = nu / (nu + t * t)
+        total = term = decimal.Decimal(1)
+        for k in range(1, (df - 2) // 2 + 1):
+            term = term * cos2 * (2 * k - 1) / (2 * k)
+            total += term
+        return float(1 - t / (nu + t * t).sqrt() * total)
+
+
+@pytest.mark.parametrize("df", [2, 4, 10, 48, 50, 200, 202, 5000, 100_000])
+def test_tails_of_any_degrees_of_freedom(spark, df):
+    spread_of = (2 * df) ** 0.5
+    xs = [x for x in (0.3, df - 3 * spread_of, df - 1.0, df, df + 1.0, df + 2 * spread_of, df + 6 * spread_of) if x > 0]
+    ts = [0.001, 0.5, 1.0, 1.7, 1.9599, 3.0, 5.0, 12.0]
+    df_x = spark.createDataFrame([(float(x), df) for x in xs], "x double, df bigint")
+    got = [r[0] for r in df_x.select(tails.chi2_upper(F.col("x"), F.col("df"))).collect()]
+    assert got == [pytest.approx(plain_chi2(x, df), rel=1e-9, abs=1e-12) for x in xs]
+    df_t = spark.createDataFrame([(t, df) for t in ts], "t double, df bigint")
+    got = [r[0] for r in df_t.select(tails.student_two_sided(F.col("t"), F.col("df"))).collect()]
+    assert got == [pytest.approx(plain_student(t, df), rel=1e-8, abs=1e-12) for t in ts]
+
+
+def test_tails_of_odd_and_huge_degrees(spark):
+    # published upper points: chi-square 5 %, Student 5 % two-sided
+    for df, x in ((1, 3.841458821), (3, 7.814727903), (5, 11.070497694)):
+        assert value(spark, tails.chi2_upper(F.lit(x), F.lit(df))) == pytest.approx(0.05, abs=1e-8)
+    for df, t in ((61, 1.999624), (101, 1.983731), (10**9, 1.959964)):
+        assert value(spark, tails.student_two_sided(F.lit(t), F.lit(df))) == pytest.approx(0.05, abs=5e-7)
+    assert value(spark, tails.chi2_upper(F.lit(1e6), F.lit(10**6))) == pytest.approx(0.4998, abs=1e-4)
+    assert value(spark, tails.chi2_upper(F.lit(0.0), F.lit(7))) == 1.0
+    assert value(spark, tails.chi2_upper(F.lit(1.0), F.lit(0))) is None
+    assert value(spark, tails.student_two_sided(F.lit(0.0), F.lit(500))) == 1.0
