@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from studyspark.catalog.base import ORDER_MONTHS, query, table
+from studyspark.catalog.base import ORDER_MONTHS, REGISTRY, query, table
 from studyspark.catalog.comparing import (
     GAIT,
     GAIT_FEATURES,
@@ -17,7 +19,8 @@ from studyspark.catalog.comparing import (
     rank_sql,
 )
 from studyspark.operators import charts, compare, describe
-from studyspark.operators.lineage import cut
+from studyspark.operators.lineage import cut, shared_folder
+from studyspark.sources import sinks
 
 
 def hist_sql(src: str, value: str, bins: int, keys: str = "") -> str:
@@ -136,3 +139,11 @@ j AS (SELECT d."group" AS g, slope FROM sl LEFT JOIN d USING (o_custkey)), """
 def slope_by_group(spark, folder):
     per = cut(order_slopes(spark, folder).where("status = 'ok'"))
     return charts.slopes_by_group(per, table(spark, folder, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query(REGISTRY["hist_by_group"].sql)
+def sink_charts(spark, folder):
+    """Chart tables as the writer leaves them."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    sinks.write_charts({"hist": hist_by_group(spark, folder)}, path)
+    return spark.read.parquet(f"{path}/plots/hist")

@@ -277,3 +277,22 @@ def order_months(spark, folder):
     return months_since_baseline(
         table(spark, folder, "orders"), "o_custkey", "o_orderdate", "months"
     )
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey, count(*) FILTER (l_linestatus = 'F') AS na, count(*) FILTER (l_linestatus = 'O') AS nb,
+  avg(l_linenumber) FILTER (l_linestatus = 'F') AS ma, avg(l_linenumber) FILTER (l_linestatus = 'O') AS mb,
+  var_samp(l_linenumber) FILTER (l_linestatus = 'F') AS va, var_samp(l_linenumber) FILTER (l_linestatus = 'O') AS vb
+  FROM lineitem WHERE l_linenumber <= 1 + l_suppkey % 3 GROUP BY l_suppkey),
+p AS (SELECT *, sqrt(((na - 1) * va + (nb - 1) * vb) / nullif(na + nb - 2, 0)) AS sd FROM m)
+SELECT l_suppkey, CASE WHEN na >= 2 AND nb >= 2 AND sd > 0 THEN round((ma - mb) / sd, 6) END AS d FROM p"""
+)
+def effect_of_constants(spark, folder):
+    """Cohen's d per supplier, NULL where both groups are constant."""
+    line = table(spark, folder, "lineitem").where(F.col("l_linenumber") <= 1 + F.col("l_suppkey") % 3)
+    x = {g: F.when(F.col("l_linestatus") == g, F.col("l_linenumber").cast("double")) for g in ("F", "O")}
+    m = line.groupBy("l_suppkey").agg(
+        *[f(x[g]).alias(f"{n}{g}") for g in x for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    )
+    d = compare.pooled_d(*[F.col(c) for c in ("mF", "mO", "vF", "vO", "nF", "nO")], zero_sd="null")
+    return m.select("l_suppkey", F.round(d, 6).alias("d"))

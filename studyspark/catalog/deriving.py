@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from studyspark.catalog.base import query, table, visits
+from studyspark.functions.coerce import numeric_columns, text_columns
 from studyspark.operators import rules, sessions, standardise
 from studyspark.operators.lineage import shared_folder
 from studyspark.sources.delimited import read_study
@@ -542,3 +543,36 @@ def list_lengths(spark, folder):
         .otherwise(F.lit("17")),
     )
     return e.select("event_id", list_length(F.col("cell")).alias("n_items"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN lower(o_orderpriority) LIKE '%high%'
+    OR lower(o_orderpriority) LIKE '%urgent%' THEN 'RUSH'
+  WHEN lower(o_orderpriority) LIKE '%low%' THEN 'SLOW'
+  WHEN lower(o_orderpriority) LIKE '%not%' THEN 'OTHER_TEXT' ELSE 'NORMAL' END AS pace,
+  o_totalprice * 2 AS twice, CAST(1 AS BIGINT) AS issues FROM orders"""
+)
+def rule_config(spark, folder):
+    """Rules of a saved config, loaded again, checked and applied; one names a missing column."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    twice = {"type": "formula", "output_col": "twice", "expression": "o_totalprice * 2"}
+    lost = {**KEYWORD_RULE, "source_col": "nowhere", "output_col": "lost"}
+    rules.save_config(spark, {"rules": [KEYWORD_RULE, twice, lost]}, path)
+    loaded = rules.load_config(spark, path)["rules"]
+    orders = table(spark, folder, "orders")
+    out, _ = rules.apply_rules(orders, loaded)
+    issues = rules.validate_rules(loaded, orders.columns)
+    return out.select("o_orderkey", "pace", "twice", F.lit(len(issues)).cast("bigint").alias("issues"))
+
+
+@query(
+    """SELECT CAST(sum(l_orderkey) AS BIGINT) AS l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS l_partkey,
+  CAST(sum(l_suppkey) AS BIGINT) AS l_suppkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
+FROM lineitem"""
+)
+def first_numeric_columns(spark, folder):
+    """Sums of the first three numeric columns, and the largest value of each text column."""
+    line = table(spark, folder, "lineitem")
+    return line.agg(
+        *[F.sum(c).alias(c) for c in numeric_columns(line, 3)], *[F.max(c).alias(c) for c in text_columns(line)]
+    )

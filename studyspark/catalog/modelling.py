@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from studyspark.catalog.base import query, table
-from studyspark.operators import metrics, models, splits, trees
+from studyspark.catalog.base import REGISTRY, query, table
+from studyspark.operators import metrics, models, ridge, splits, trees
+from studyspark.operators.lineage import shared_folder
 
 # the split hash of a key that isn't negative, in plain arithmetic
 HASH = (
@@ -506,3 +510,61 @@ def regression_tree(spark, folder):
     return spark.createDataFrame(
         rows, "node bigint, feature string, threshold double, n bigint, n_left bigint, gain double, importance double"
     )
+
+
+@query(
+    """WITH d AS (SELECT CAST(l_partkey AS VARCHAR) AS level, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+s AS (SELECT count(*) AS n, min(level) AS first, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM d),
+r AS (SELECT level, (x - mx) / sx AS z, y - my AS y FROM d, s),
+l AS (SELECT level, count(*) AS n, sum(z) AS z, sum(y) AS y FROM r, s WHERE level <> first GROUP BY level),
+k AS (SELECT l.*, l.n + (l.n / s.n::DOUBLE) * (1 - l.n / s.n::DOUBLE) AS w FROM l, s),
+t AS (SELECT sum(n * n / w) AS oo, sum(n * z / w) AS oz, sum(z * z / w) AS zz, sum(n * y / w) AS oy, sum(z * y / w) AS zy FROM k),
+a AS (SELECT count(*) - any_value(oo) AS oo, sum(z) - any_value(oz) AS oz, sum(z * z) + 1 - any_value(zz) AS zz,
+             sum(y) - any_value(oy) AS oy, sum(z * y) - any_value(zy) AS zy FROM r, t),
+b AS (SELECT (zz * oy - oz * zy) / (oo * zz - oz * oz) AS b, (oo * zy - oz * oy) / (oo * zz - oz * oz) AS w FROM a)
+SELECT level, CAST(k.n AS BIGINT) AS n, round((k.y - b.b * k.n - b.w * k.z) / k.w, 4) AS coef, round(b.w / sx, 4) AS slope FROM k, b, s"""
+)
+def ridge_many_levels(spark, folder):
+    """Coefficients of every part, one level each, beside that of the quantity."""
+    items = table(spark, folder, "lineitem").withColumn("part", F.col("l_partkey").cast("string"))
+    fit = ridge.ridge_with_levels(items, ["l_quantity"], "part", "l_extendedprice")
+    slope = F.lit(round(fit.weights[0], 4)).alias("slope")
+    return fit.levels.select("level", "n", F.round("coef", 4).alias("coef"), slope)
+
+
+@query(
+    """WITH e AS (SELECT count(DISTINCT value) AS many, count(DISTINCT event_type) AS few, count(*) AS n FROM events)
+SELECT 'classes' AS guard, many > 200 AS stopped FROM e UNION ALL SELECT 'one class', true
+UNION ALL SELECT 'few rows', true UNION ALL SELECT 'levels', (SELECT count(DISTINCT event_id) FROM events) > 10000
+UNION ALL SELECT 'usable', few < 2 FROM e"""
+)
+def model_guards(spark, folder):
+    """What a model run refuses: too many classes, one class, too few rows, text that is an id."""
+    e = table(spark, folder, "events").withColumn("same", F.lit("x")).withColumn("id_text", F.col("event_id").cast("string"))
+    few = e.where(F.col("event_id") < 6)
+
+    def stopped(df, target, features=("user_id",)):
+        return models.run_classification(df, target, "event_id", list(features), models=[models.LOGISTIC], importance=False)
+
+    wide = stopped(e, "event_type", ("user_id", "id_text"))
+    rows = [
+        ("classes", stopped(e, "value").error is not None),
+        ("one class", stopped(e, "same").error is not None),
+        ("few rows", stopped(few, "event_type").error is not None),
+        ("levels", "id_text" in wide.errors and wide.error is None),
+        ("usable", wide.error is not None),
+    ]
+    return spark.createDataFrame(rows, "guard string, stopped boolean")
+
+
+@query(f"WITH f AS ({REGISTRY['ridge_predictions'].sql}) SELECT row_key, y_pred FROM f")
+def sink_model(spark, folder):
+    """A saved model, loaded again, predicts what it predicted before."""
+    run = ridge_run(spark, folder)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    run.save(path)
+    again = PipelineModel.load(f"{path}/{models.RIDGE.lower().replace(' ', '_')}")
+    e = models.time_features(table(spark, folder, "events"), "ts")
+    rows = models.model_table(e, ["user_id", "hour"], "value", "event_id").withColumn("_label", F.col("_y"))
+    test = run.predictions[models.RIDGE].select("row_key")
+    return again.transform(rows).join(test, F.col("_key") == F.col("row_key")).select("row_key", F.round("_pred", 4).alias("y_pred"))

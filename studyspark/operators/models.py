@@ -29,6 +29,7 @@ from studyspark.functions.hashing import SPAN, spread
 from studyspark.operators.lineage import cut
 from studyspark.operators.metrics import class_scores, confusion, regression_scores, roc_auc
 from studyspark.operators.order import bucket_depth, hash_bucket, hash_positions, quantiles
+from studyspark.operators.ridge import ridge_by_folds
 from studyspark.operators.splits import (
     TEST,
     TRAIN,
@@ -43,6 +44,9 @@ STRATIFY_UP_TO, STRATIFY_UP_TO_ROLES = 10, 49
 MIN_ROWS = 20
 FOREST_ROWS, FOREST_SEED = 200_000, 77
 RARE_CLASS, RARE_BELOW = 5, 200
+# Guards on what comes to the driver: a target with more classes is a number or an id, not a class,
+# and a text feature with more levels is free text or an id (`ridge.ridge_with_levels` takes those).
+MOST_CLASSES, MOST_LEVELS = 200, 10_000
 
 LOGISTIC, FOREST, RIDGE = "Logistic Regression", "Random Forest", "Ridge Regression"
 # Model choices offered to the user.
@@ -436,6 +440,20 @@ def label_value_of(table: Column | None, col: str) -> Column:
     return F.element_at(table, F.col(col).cast("int") + 1)
 
 
+def _usable_features(run: ModelRun, raw: DataFrame, features: list[str]) -> list[str]:
+    """Features but text of more than MOST_LEVELS levels; those are named in `run.errors`."""
+    text = [c for c in features if isinstance(raw.schema[c].dataType, T.StringType)]
+    if not text:
+        return features
+    # a sketch finds the candidates, and only they are counted exactly, up to the bound
+    sketch = raw.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
+    wide = [c for c in text if sketch[c] > MOST_LEVELS // 2]
+    wide = [c for c in wide if raw.select(c).distinct().limit(MOST_LEVELS + 1).count() > MOST_LEVELS]
+    for c in wide:
+        run.errors[c] = f"More than {MOST_LEVELS} levels: left out as free text or an id."
+    return [c for c in features if c not in wide]
+
+
 def _prepare(df, features, target, key, time_col, entity) -> DataFrame:
     extra = {"time": time_col, "entity": None if time_col else entity}
     return model_table(df, features, target, key, {n: c for n, c in extra.items() if c})
@@ -467,10 +485,17 @@ def run_classification(
     )
     split = "time" if time_col else "entity" if entity else "random"
     raw = _prepare(df, features, target, key, time_col, entity)
-    counts = raw.groupBy("_y").agg(F.count("*").alias("n")).collect()
+    counts = raw.groupBy("_y").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
     run = ModelRun("classification")
     if len(counts) < 2:
-        run.error = "Target has fewer than 2 classes."
+        run.error = "The target needs at least two classes."
+        return run
+    if len(counts) > MOST_CLASSES:
+        run.error = f"The target has more than {MOST_CLASSES} classes; model it as a number or group it."
+        return run
+    features = _usable_features(run, raw, features)
+    if not features:
+        run.error = "No feature is left to model from."
         return run
     class_counts = {r["_y"]: r["n"] for r in counts}
     classes = sorted(class_counts)
@@ -490,7 +515,7 @@ def run_classification(
     )
     n = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
     if n.get(TRAIN, 0) < MIN_TRAIN or n.get(TEST, 0) < MIN_TEST:
-        run.error = "Not enough data after split."
+        run.error = f"One part of the split is too small (train {n.get(TRAIN, 0)}, test {n.get(TEST, 0)})."
         return run
     run.summary = {
         "task": "classification",
@@ -539,12 +564,16 @@ def run_regression(
     split = "time" if time_col else "entity" if entity else "random"
     raw = _prepare(df, features, target, key, time_col, entity)
     raw = raw.withColumn("_label", numeric_of(raw, "_y")).where("_label is not null")
+    run = ModelRun("regression")
+    features = _usable_features(run, raw, features)
+    if not features:
+        run.error = "No feature is left to model from."
+        return run
     rows = cut(_split(raw, split, test_share, seed, None, 0, fold))
     got = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("_label").alias("s")).collect()
     n = {r["split"]: r["n"] for r in got}
-    run = ModelRun("regression")
     if n.get(TRAIN, 0) < MIN_TRAIN or n.get(TEST, 0) < MIN_TEST:
-        run.error = "Not enough data after split."
+        run.error = f"One part of the split is too small (train {n.get(TRAIN, 0)}, test {n.get(TEST, 0)})."
         return run
     run.summary = {
         "task": "regression",
@@ -564,17 +593,38 @@ def run_regression(
     return run
 
 
+def _ridge_folds(df, target, key, entity, folds, features, seed) -> DataFrame | None:
+    """All folds from sums of one pass; None with text features or gaps, whose coding differs by fold."""
+    features = list(features or default_features(df, target, [key, entity]))
+    raw = _prepare(df, features, target, key, None, entity)
+    if any(isinstance(raw.schema[c].dataType, T.StringType) for c in features):
+        return None
+    raw = raw.withColumn("_label", numeric_of(raw, "_y")).where("_label is not null")
+    rows = cut(raw.select(fold_of(raw, "_x_entity", folds, seed).alias("_fold"), "_label", *features))
+    got = ridge_by_folds(rows, features, folds, 1.0, MIN_TRAIN, MIN_TEST)
+    if got is None:
+        return None
+    names = ("mae", "rmse", "r2")
+    listed = [(f, RIDGE, m, v) for f, *scores in got for m, v in zip(names, scores) if v is not None]
+    return df.sparkSession.createDataFrame(listed, "fold int, model string, metric string, value double")
+
+
 def cross_validate(
     df: DataFrame, task: str, target: str, key: str, entity: str, folds: int = 5, **options
 ) -> DataFrame:
     """(fold, model, metric, value): each fold of entities is the test part once.
 
-    No entity is in both parts of a fold. A fold that a guard rejects, or a model that fails in it,
+    No entity is in both parts of a fold. Ridge alone on complete numbers takes sums of one pass for
+    all folds. A fold that a guard rejects, or a model that fails in it,
     has no rows. Options are those of `run_classification` or `run_regression`.
     """
     run = run_regression if task == "regression" else run_classification
     options.setdefault("importance", False)
     out = []
+    if task == "regression" and options.get("models") == [RIDGE] and not options["importance"]:
+        once = _ridge_folds(df, target, key, entity, folds, options.get("features"), options.get("seed", 42))
+        if once is not None:
+            return once
     for f in range(folds):
         got = run(df, target, key, entity=entity, fold=(f, folds), **options)
         if got.error is None:
