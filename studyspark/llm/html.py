@@ -5,7 +5,8 @@ run of lines ends where the sums dive to nothing and is text if they surge insid
 are boilerplate by their tag, role or class leave empty lines, so the sums dive there; inside one
 container they leave nothing, as they only part its text. Where a page
 names its article (`article` or `main`), its lines weigh as much as a surge more and all other lines
-a part of their length, so text beside the article has to surge by much more. A class, an id or a form
+a part of their length, so text beside the article has to surge by much more. Where it names none,
+paragraphs and headings weigh a surge more. A class, an id or a form
 makes a container boilerplate only where it doesn't wrap the page's text, and a page is named only if
 its articles hold most of its text.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +35,16 @@ BESIDE = 0.25
 LINK_SHARE = 0.5
 
 # A tag with its attributes; quoted values may hold >. Comments, declarations and processing
-# instructions go whole.
+# instructions go whole. A tag that never ends is tried once to the end of the page; from there on
+# quotes don't count, so that a page of open quotes takes linear time.
+_MARKUP = r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
+_PLAIN_TAG = r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)",
+    _MARKUP
+    + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)(?:>|(\Z)))",
     re.S,
 )
+_SIMPLE = re.compile(_MARKUP + _PLAIN_TAG, re.S)
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math",
         "title", "textarea", "xmp", "noembed", "noframes")
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>|\Z", re.I) for t in _RAW}
@@ -89,6 +94,10 @@ _ENDS_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
               "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCE = frozenset("ul ol dl table article main section div body".split())
 _HOLDS = frozenset("article main section div body form".split())
+# Blocks of one piece of text: a class or an id doesn't make them boilerplate.
+_LEAVES = frozenset("p li td th dt dd h1 h2 h3 h4 h5 h6 figure figcaption blockquote pre".split())
+# Blocks that authors write text in, also where it is short.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 
 def _junk_kind(tag: str, attrs: str, in_article: bool) -> str:
@@ -111,7 +120,7 @@ def _junk_kind(tag: str, attrs: str, in_article: bool) -> str:
             return "sure"
         if name == "aria-hidden" and value.lower() == "true":
             return "sure"
-        if not kind and name in ("class", "id") and tag not in ("html", "body", "main"):
+        if not kind and name in ("class", "id") and tag not in ("html", "body", "main") and tag not in _LEAVES:
             for part in value.split():
                 if _PART.search(part):
                     continue
@@ -131,7 +140,8 @@ class Line:
     article: bool
     junk: bool  # inside sure boilerplate
     held: int  # the outermost article or main, or else the nearest part of a page
-    boxes: tuple[int, ...]  # containers that may be boilerplate, the outermost first
+    box: int  # the innermost container that may be boilerplate, or -1
+    prose: bool  # a paragraph or heading
 
 
 @dataclass
@@ -142,6 +152,7 @@ class Box:
     article: bool = False  # is or holds an article
     main: bool = False  # holds a main
     inside: bool = False  # stands in an article
+    parent: int = -1  # the next container around it that may be boilerplate
 
 
 def page_lines(page: str) -> tuple[list[Line], list[Box]]:
@@ -151,8 +162,9 @@ def page_lines(page: str) -> tuple[list[Line], list[Box]]:
     found: list[Box] = []
     stack: list[tuple[str, bool, bool, int, int]] = []  # tag, sure, article, container, box or -1
     boxes: list[int] = []
-    junk = article = links = made = 0
-    at = 0
+    opened: Counter[str] = Counter()  # tags on the stack
+    junk = article = links = made = prose = 0
+    at, token = 0, _TOKEN
 
     def flush():
         nonlocal linked
@@ -160,23 +172,28 @@ def page_lines(page: str) -> tuple[list[Line], list[Box]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
                 held = stack[-1][3] if stack else 0
-                lines.append(Line(text, linked, article > 0, junk > 0, held, tuple(boxes)))
+                lines.append(Line(text, linked, article > 0, junk > 0, held, boxes[-1] if boxes else -1, prose > 0))
             buffer.clear()
         linked = 0
 
     def drop(k):
-        nonlocal junk, article, links
+        nonlocal junk, article, links, prose
         flush()
         while len(stack) > k:
             tag, bad, main, _, box = stack.pop()
             if box >= 0:
                 boxes.pop()
+            opened[tag] -= 1
             junk -= bad
             article -= main
             links -= tag == "a"
+            prose -= tag in _PROSE
 
     while True:
-        m = _TOKEN.search(page, at)
+        m = token.search(page, at)
+        if m is not None and token is _TOKEN and m[4] is not None:
+            token = _SIMPLE
+            m = token.search(page, at)
         piece = page[at : m.start() if m else len(page)]
         if piece:
             buffer.append(piece)
@@ -185,16 +202,21 @@ def page_lines(page: str) -> tuple[list[Line], list[Box]]:
         if m is None:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        closing, attrs = m[1] == "/", m[3] or ""
         if closing:
+            if not opened[tag]:
+                if tag not in _INLINE:
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in _INLINE and not any(s[1] or s[2] or s[4] >= 0 for s in stack[k:]):
                         links -= sum(s[0] == "a" for s in stack[k:])
                         # an inline end closes only inline parts; blocks inside it stay open
+                        opened.subtract(s[0] for s in stack[k:] if s[0] in _INLINE)
                         stack[k:] = [s for s in stack[k + 1 :] if s[0] not in _INLINE]
                     else:
                         drop(k)
@@ -219,7 +241,7 @@ def page_lines(page: str) -> tuple[list[Line], list[Box]]:
         if tag not in _INLINE:
             flush()
             ends = ("p",) if tag in _CLOSES_P else _ENDS_SELF.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[e] for e in ends) else ():
                 if stack[k][0] in ends:
                     drop(k)
                     break
@@ -235,45 +257,52 @@ def page_lines(page: str) -> tuple[list[Line], list[Box]]:
         box = -1
         if kind and not bad:
             box = len(found)
+            found.append(Box(kind, inside=article > 0, parent=boxes[-1] if boxes else -1))
             boxes.append(box)
-            found.append(Box(kind, inside=article > 0))
-        if main and not junk:
-            for k in boxes:
-                found[k].article = True
-                found[k].main |= tag == "main"
+        if main and not junk and boxes:
+            found[boxes[-1]].article = True
+            found[boxes[-1]].main |= tag == "main"
         held = stack[-1][3] if stack else 0
         if tag in _HOLDS and not article:
             made += 1
             held = made
         stack.append((tag, bad, main, held, box))
+        opened[tag] += 1
+        prose += tag in _PROSE
         junk += bad
         article += main
         links += tag == "a"
     flush()
+    for box in reversed(found):  # parents stand before their children
+        if box.parent >= 0:
+            found[box.parent].article |= box.article
+            found[box.parent].main |= box.main
     return lines, found
 
 
-def junk_boxes(lines: list[Line], boxes: list[Box]) -> set[int]:
-    """Which boxes are boilerplate: those that don't wrap the page's text."""
-    left = set(range(len(boxes)))
-    if not left:
-        return left
+def junk_boxes(lines: list[Line], boxes: list[Box]) -> list[bool]:
+    """Which boxes are boilerplate, or stand in one that is; the others wrap the page's text.
+
+    What readers wrote is boilerplate however much of it there is.
+    """
     size = [0 if line.junk or _is_menu(line, line.article) else len(line.text) for line in lines]
     total = sum(size)
-    holds, articles = [0] * len(boxes), [0] * len(boxes)
+    own, own_named = [0] * (len(boxes) + 1), [0] * (len(boxes) + 1)  # the last is outside all boxes
     for line, n in zip(lines, size, strict=True):
-        for k in line.boxes:
-            holds[k] += n
-            articles[k] += n * line.article
-    out = named = None
-    parent = {b: a for line in lines for a, b in zip(line.boxes, line.boxes[1:])}
+        own[line.box] += n
+        own_named[line.box] += n * line.article
+    holds, articles = own[:-1], own_named[:-1]
+    for k in range(len(boxes) - 1, -1, -1):
+        if boxes[k].parent >= 0:
+            holds[boxes[k].parent] += holds[k]
+            articles[boxes[k].parent] += articles[k]
+    # text that stands in no boilerplate so far, and how much of it is named
+    out, named = own[-1], own_named[-1]
+    bad = [True] * len(boxes)
     for k, box in enumerate(boxes):
         most = 2 * holds[k] > total
-        if parent.get(k) in left or not (most or box.article):
+        if box.parent >= 0 and bad[box.parent] or not (most or box.article) or box.kind == "reply" and not box.main:
             continue
-        if out is None:
-            clean = [(n, line.article) for n, line in zip(size, lines, strict=True) if left.isdisjoint(line.boxes)]
-            out, named = sum(n for n, _ in clean), sum(n for n, article in clean if article)
         layout = box.kind in ("layout", "form")
         if (
             box.main
@@ -282,9 +311,9 @@ def junk_boxes(lines: list[Line], boxes: list[Box]) -> set[int]:
             or (most and layout and holds[k] >= SURGE and not box.inside and articles[k] > named)
             or (box.kind == "form" and holds[k] >= max(SURGE, FORM_SHARE * total))
         ):
-            left.discard(k)
-            out = named = None
-    return left
+            bad[k] = False
+            out, named = out + own[k], named + own_named[k]
+    return bad
 
 
 def _is_menu(line: Line, named: bool) -> bool:
@@ -320,8 +349,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, boxes = page_lines(page)
-    left = junk_boxes(lines, boxes)
-    junk = [line.junk or not left.isdisjoint(line.boxes) for line in lines]
+    bad = junk_boxes(lines, boxes)
+    junk = [line.junk or line.box >= 0 and bad[line.box] for line in lines]
     size = [0 if bad or _is_menu(line, line.article) else len(line.text) for line, bad in zip(lines, junk, strict=True)]
     named = 2 * sum(n for line, n in zip(lines, size, strict=True) if line.article) > sum(size)
     texts, lengths = [], []
@@ -338,7 +367,10 @@ def main_text(page: str | None) -> str:
                 lengths += [0] * WINDOW
             before, gap = (main, line.held), False
             texts.append(line.text)
-            lengths.append(len(line.text) + SURGE if main else len(line.text) * (BESIDE if named else 1))
+            # on pages that name no article, paragraphs and headings are text however short; those of a
+            # lesser `article` are teasers
+            surges = main or not named and line.prose and not line.article
+            lengths.append(len(line.text) + SURGE if surges else len(line.text) * (BESIDE if named else 1))
     regions = text_regions(np.array(lengths, dtype=float), surge=SURGE)
     return "\n".join(t for a, b in regions for t in texts[a:b] if t)
 

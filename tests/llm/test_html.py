@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -93,3 +95,45 @@ def test_pages_with_clashing_columns(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_main_text(pages).collect()}
     assert got == {1: ("é b", 3), 2: ("", 0)}
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+SAID = "".join(f"<p>{'I think so too, and more. ' * 12}</p>" for _ in range(5))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # short titles and paragraphs before an advert
+        (f"<div><h1>Title</h1></div><div class=ad>Buy</div><div>{BODY * 3}</div>", f"Title\n{LONG}"),
+        (f"<div><p>Twenty characters...</p></div><div class=ad>Buy</div><div>{BODY * 3}</div>", f"Twenty characters...\n{LONG}"),
+        # a class of a paragraph is about its text
+        (f"<article>{BODY}<p class='market-share'>Shares fell.</p><li id='search'>Look</article>", f"{TEXT}\nShares fell.\nLook"),
+        # readers' comments are never the text, however short that is
+        (f"<div><p>A body of some forty characters stands.</p></div><div id='comments'>{SAID}</div>", "A body of some forty characters stands."),
+        (f"<div><p>Short.</p></div><div class='replies'><article>{SAID}</article></div>", "Short."),
+        (f"<div class='discussion'><main>{BODY}</main></div>", TEXT),
+    ],
+)
+def test_short_text_stays_and_comments_go(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div class=menu><p>abc</p>" * 40_000, None),
+        ("<a b=\"" * 200_000, None),
+        ("<p>x</p>" + "<a b=\"c" * 100_000 + "<p>y</p>", None),
+        ("<center>" * 100_000 + "</td></b><p>x" * 20_000, None),
+        ("<div class=menu><article>" * 20_000, None),
+        ("<ul><li>" * 50_000 + "</i></zz>" * 50_000, None),
+        ("<!-- " * 100_000, ""),
+        ("<script>" * 100_000, ""),
+        ("<article>" + "<p>word</p>" * 100_000 + "</article>", "\n".join(["word"] * 100_000)),
+    ],
+)
+def test_long_and_deep_pages_take_linear_time(page, text):
+    start = time.process_time()
+    got = main_text(page)
+    assert time.process_time() - start < 4
+    assert text is None or got == text
