@@ -10,16 +10,22 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import (
     OneHotEncoder,
+    OneHotEncoderModel,
     SQLTransformer,
     StandardScaler,
+    StandardScalerModel,
     StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -272,6 +278,56 @@ def impurity_importance(model: PipelineModel, sample: DataFrame) -> dict[str, fl
     return dict(sorted(zip(names, map(float, scores)), key=lambda kv: (-kv[1], kv[0])))
 
 
+def _linear_weights(model: PipelineModel, features: Sequence[str]) -> list[float] | None:
+    """Weight of each numeric feature in the margin (or prediction) of a linear model of two classes
+    or a number; None for any other model and with text features."""
+    scaler, last = model.stages[-2:]
+    two = isinstance(last, LogisticRegressionModel) and last.numClasses == 2
+    if not (two or isinstance(last, LinearRegressionModel)) or not isinstance(scaler, StandardScalerModel):
+        return None
+    if any(isinstance(s, OneHotEncoderModel) for s in model.stages):
+        return None
+    coefs, sds = last.coefficients.toArray(), scaler.std.toArray()
+    return [float(c / s) if s else 0.0 for c, s in zip(coefs, sds, strict=True)]
+
+
+def _score(pred: Column, task: str) -> Column:
+    y = F.col("_label")
+    if task == "classification":
+        return F.avg((y == pred).cast("double"))
+    return 1 - F.try_divide(F.avg((y - pred) * (y - pred)), F.var_pop(y))
+
+
+def _linear_importance(
+    model: PipelineModel, placed: DataFrame, features: Sequence[str], weights: list[float], n: int, shifts: list[int], task: str
+) -> DataFrame:
+    """Permutation importance without a row per feature: a swapped value moves the margin by its
+    weight times the difference, so one row gives the predictions of all features."""
+    margin = vector_to_array("_margin")[1] if task == "classification" else F.col("_pred")
+    scored = cut(
+        model.transform(placed).select("_pos", "_label", margin.alias("_m"), *[F.col(f"_f_{c}").cast("double").alias(f"_v{j}") for j, c in enumerate(features)])
+    )
+
+    def predicted(m: Column) -> Column:
+        return (m > 0).cast("double") if task == "classification" else m
+
+    base = scored.agg(_score(predicted(F.col("_m")), task)).first()[0]
+    runs = F.array(*[F.struct(F.lit(r).alias("_r"), F.lit(s).alias("_shift")) for r, s in enumerate(shifts)])
+    rows = scored.select("*", F.inline(runs)).withColumn("_donor", F.pmod(F.col("_pos") + F.col("_shift"), F.lit(n)))
+    donors = scored.select(F.col("_pos").alias("_donor"), *[F.col(f"_v{j}").alias(f"_d{j}") for j in range(len(features))])
+    moved = [F.col("_m") + F.lit(w) * (F.col(f"_d{j}") - F.col(f"_v{j}")) for j, w in enumerate(weights)]
+    per_run = rows.join(donors, "_donor").groupBy("_r").agg(
+        *[_score(predicted(m), task).alias(f"_s{j}") for j, m in enumerate(moved)]
+    )
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(f"_s{j}").alias("_s")) for j, c in enumerate(features)]
+    return (
+        per_run.select(F.inline(F.array(*pairs)))
+        .groupBy("feature")
+        .agg((F.lit(base) - F.avg("_s")).alias("importance"))
+        .orderBy(F.desc("importance"), "feature")
+    )
+
+
 def permutation_importance(
     model: PipelineModel,
     test: DataFrame,
@@ -295,6 +351,9 @@ def permutation_importance(
         ).drop("_h")
     )
     shifts = [1 + (seed * 7919 + r * 104729) % max(n - 1, 1) for r in range(repeats)]
+    weights = _linear_weights(model, features)
+    if weights is not None:
+        return _linear_importance(model, placed, features, weights, n, shifts, task)
     runs = F.array(
         *[F.struct(F.lit(r).alias("_r"), F.lit(s).alias("_shift")) for r, s in enumerate(shifts)]
     )

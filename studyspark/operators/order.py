@@ -150,16 +150,15 @@ def average_ranks(
     feature. Lines of one value are adjacent in one bucket, whatever they carry.
     """
     weight = F.lit(1) if weight is None else weight
-    # at most one row per feature and bucket
-    offs = _offsets(rows, ["feature"], weight).select(
-        F.col("feature").alias("_o_feature"), F.col("_bucket").alias("_o__bucket"), "_before"
-    )
+    # one row per feature and bucket, which may be many: no broadcast is asked for, as the windows
+    # below need lines by feature and bucket anyway and Spark still broadcasts a list it finds small
+    offs = _offsets(rows, ["feature"], weight).select("feature", "_bucket", "_before")
     lines = rows.groupBy("feature", "_bucket", "value", *carry).agg(F.sum(weight).alias("n"))
     inside = Window.partitionBy("feature", "_bucket").orderBy("value")
     upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ties = inside.rangeBetween(Window.currentRow, Window.currentRow)
     return (
-        lines.join(F.broadcast(offs), _same(["feature"], "_o_"))
+        lines.join(offs, ["feature", "_bucket"])
         .withColumn("t", F.sum("n").over(ties))
         .withColumn("_cum", F.sum("n").over(upto))
         .withColumn("rank", F.col("_before") + F.col("_cum") - (F.col("t") - 1) / 2.0)

@@ -167,3 +167,15 @@ def test_regression_forest_is_fitted_on_all_rows(spark, monkeypatch):
     assert given is None
     run = models.run_regression(rows, "z", "id", ["a"], models=[models.FOREST], trees=2, depth=3, importance=False)
     assert seen == [run.summary["n_train"]]
+
+
+@pytest.mark.parametrize("task,target", [("classification", "y"), ("regression", "z")])
+def test_margins_give_what_swapped_rows_give(sample, monkeypatch, task, target):
+    run = models.run_classification if task == "classification" else models.run_regression
+    name = models.LOGISTIC if task == "classification" else models.RIDGE
+    rows = sample.withColumn("flat", F.lit(3.0))
+    fast = run(rows, target, "id", ["a", "b", "flat"], models=[name], repeats=3).importance.collect()
+    monkeypatch.setattr(models, "_linear_weights", lambda *_: None)
+    slow = run(rows, target, "id", ["a", "b", "flat"], models=[name], repeats=3).importance.collect()
+    assert {r["feature"]: r["importance"] for r in fast} == pytest.approx({r["feature"]: r["importance"] for r in slow}, abs=1e-9)
+    assert len(fast) == 3 and [r["feature"] for r in fast] == [r["feature"] for r in slow]
