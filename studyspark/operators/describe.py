@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions.coerce import is_numeric, numeric_of
-from studyspark.operators.lineage import cut
 from studyspark.operators.order import quantiles
 from studyspark.operators.standardise import column_missingness
 
@@ -105,24 +104,22 @@ def profile_columns(df: DataFrame, top: int | None = None) -> DataFrame:
 def profile_totals(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_cols, duplicate_rows (rows beyond the first of each exact copy).
 
-    Rows are told apart by 128-bit fingerprints, so a few bytes of each are shuffled; only rows whose
-    fingerprint repeats are compared whole.
+    Rows are told apart by 64-bit fingerprints, so a few bytes of each are shuffled; only rows whose
+    fingerprint repeats are compared whole, so the count is exact.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    n_rows, extra = df.count(), 0
-    if n_rows and columns:
-        # hashes pass over nulls, so which cells are null goes in as text
-        gaps = F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in columns])
-        prints = {"_h": F.xxhash64(gaps, *columns), "_g": F.xxhash64(F.lit(1), *columns, gaps)}
-        hashed = df.select(*[h.alias(name) for name, h in prints.items()])
-        again = cut(hashed.groupBy(*prints).agg(F.count("*").alias("_n")).where("_n > 1").select(*prints))
-        repeated = again.count()
-        if repeated:
-            few = F.broadcast(again) if repeated <= BROADCAST_PRINTS else again
-            names = [f"_c{i}" for i in range(len(columns))]
-            rows = df.select(*[c.alias(n) for c, n in zip(columns, names)], *[h.alias(n) for n, h in prints.items()])
-            copies = rows.join(few, list(prints), "left_semi").groupBy(*names).agg(F.count("*").alias("_n"))
-            extra = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+    # hashes pass over nulls, so which cells are null is hashed too
+    print_ = F.xxhash64(*[x for c in columns for x in (c, c.isNull())]) if columns else F.lit(0)
+    counts = df.select(print_.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
+    n_rows, repeated = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.when(F.col("_n") > 1, 1))).first()
+    extra = 0
+    if repeated:
+        again = counts.where("_n > 1").select("_h")
+        few = F.broadcast(again) if repeated <= BROADCAST_PRINTS else again
+        names = [f"_c{i}" for i in range(len(columns))]
+        rows = df.select(print_.alias("_h"), *[c.alias(n) for c, n in zip(columns, names)])
+        copies = rows.join(few, "_h", "left_semi").groupBy(*names).agg(F.count("*").alias("_n"))
+        extra = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
     row = (n_rows, len(df.columns), extra)
     return df.sparkSession.createDataFrame([row], "n_rows bigint, n_cols bigint, duplicate_rows bigint")
 
