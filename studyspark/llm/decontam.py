@@ -5,13 +5,17 @@ names keeps its template. Hashes of template windows are joined between document
 items; what filled the placeholders must map from item to document the same way all along a
 passage. A capital that opens a sentence may be a name or not, so its windows stand in both ways.
 Windows of the plain words are joined beside them, so a copy with other capitals counts.
+
+A window that many items and many documents share would join all of them. So documents and items
+first meet on each item's rarest windows only: a document that holds a share s of an item's n windows
+holds one of any n - s n + 1 of them. All windows are then compared for the pairs that met.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyspark.llm.base import packed, query, table, text_key
@@ -40,6 +44,7 @@ _BASE = 0xB5297A4D3F84D5B5
 _FILLED, _INNER = np.uint64(1), np.uint64(2)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:;\n\r"]] = True
+_CAPITALS = np.array([chr(k).isupper() for k in range(0x20000)])
 
 
 def _unit_hashes() -> np.ndarray:
@@ -50,6 +55,19 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(np.array(out, np.uint64))
 
 
+def _capitals(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Does the code point at each start belong to the capitals of any alphabet?"""
+    last = max(len(data) - 1, 0)
+    b = [data[np.minimum(start + k, last)].astype(np.int64) for k in range(4)]
+    tail = [x & 0x3F for x in b]
+    point = np.select(
+        [b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0],
+        [b[0], (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]],
+        (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3],
+    )
+    return (point < len(_CAPITALS)) & _CAPITALS[np.minimum(point, len(_CAPITALS) - 1)]
+
+
 def _templates(chunk, units: np.ndarray):
     """(document, plain hash, [(template hash, filling), ...], opener) of each term.
 
@@ -61,9 +79,7 @@ def _templates(chunk, units: np.ndarray):
     plain = Spans(chunk.lowered()).hash(start, end)
     digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
     number = digit[end] > digit[start]
-    head = data[start]
-    after = data[np.minimum(start + 1, max(len(data) - 1, 0))]
-    capital = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (after >= 0x80) & (after <= 0x9E))
+    capital = _capitals(data, start)
     # a term opens a sentence at a document's start or if a sentence end stands before it
     stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
     opens = np.ones(len(start), bool)
@@ -189,11 +205,40 @@ def _bit_table(hashes: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _rarest(items: DataFrame, sizes: DataFrame, filled: DataFrame, share: float) -> DataFrame:
+    """(item, hash) of the windows of which a document with `share` of the item holds at least one.
+
+    `sizes` holds each item's number of positions. Those that the fewest windows of documents match
+    are taken, so what they join is as little as it can be.
+    """
+    held = filled.groupBy("hash").agg(F.count(F.lit(1)).alias("held"))
+    places = (
+        items.join(held, "hash", "left")
+        .groupBy("item", "ipos")
+        .agg(F.sum(F.coalesce("held", F.lit(0))).alias("held"))
+        .join(sizes, "item")
+    )
+    # shares are rounded to six digits before they are compared
+    least = F.greatest(F.ceil(F.col("all") * (share - 1e-6)), F.lit(1))
+    order = Window.partitionBy("item").orderBy("held", "ipos")
+    rare = places.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("all") - least + 1)
+    return (
+        items.join(rare.where("held > 0").select("item", "ipos"), ["item", "ipos"])
+        .select("item", "hash")
+        .distinct()
+    )
+
+
 def benchmark_matches(
-    rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"
+    rows: DataFrame,
+    benchmark: DataFrame,
+    item_col: str = "item_id",
+    text_col: str = "text",
+    least: float = SHARE,
 ) -> DataFrame:
     """(key, item, share): the part of an item's windows that a passage of a document holds.
 
+    Pairs whose share is below `least` aren't listed; the lower it is, the more pairs are compared.
     A window counts if its plain words (numbers as they are) or one of its templates stand in the
     document. Along one diagonal (document position minus item position) each filling of the item
     must stand for one filling of the document; where over `SLOT_FAULTS` of them don't, the
@@ -208,9 +253,12 @@ def benchmark_matches(
     )
     sizes = items.groupBy("item").agg(F.countDistinct("ipos").alias("all"))
     widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect())) or (WINDOW,)
-    filled = template_windows(rows, _bit_table(items), widths).drop("width")
+    filled = cut(template_windows(rows, _bit_table(items), widths).drop("width"))
+    pairs = filled.join(_rarest(items, sizes, filled, least), "hash").select("key", "item").distinct()
     met = cut(
-        filled.join(items.drop("typed", "width"), "hash").withColumn("diag", F.col("pos") - F.col("ipos"))
+        pairs.join(items.drop("typed", "width"), "item")
+        .join(filled, ["key", "hash"])
+        .withColumn("diag", F.col("pos") - F.col("ipos"))
     )
     # an opening word that is the same on both sides tells nothing about the names
     inner = F.lit(int(_INNER))
@@ -245,6 +293,7 @@ def benchmark_matches(
         .agg(F.countDistinct("ipos").alias("found"))
         .groupBy("key", "item")
         .agg(F.round(F.max(F.col("found") / F.col("all")), 6).alias("share"))
+        .where(F.col("share") >= least)
     )
 
 
@@ -258,19 +307,20 @@ def contamination(
 ) -> DataFrame:
     """(key, contaminated, item, share, n_items) of every row of `docs`; key is `text_key`.
 
-    `item` is the item with the largest share (ties: the smallest), null if no window is shared;
-    `n_items` counts the items that reach `share`. Null and empty texts share nothing. An empty
+    `item` is the item with the largest share (ties: the smallest) and `n_items` counts the items, of
+    those that reach `share`; where none does, item is null and share 0. Null and empty texts share
+    nothing. An empty
     benchmark leaves every document clean. Equal rows are each returned.
     """
     rows = docs.select(
         text_key(F.col(id_col), F.col(text_col).cast("string")).alias("key"),
         F.col(text_col).cast("string").alias("text"),
     )
-    found = benchmark_matches(rows, benchmark, item_col)
+    found = benchmark_matches(rows, benchmark, item_col, least=share)
     best = found.groupBy("key").agg(
         F.min_by("item", F.struct(-F.col("share"), "item")).alias("item"),
         F.max("share").alias("share"),
-        F.sum((F.col("share") >= share).cast("bigint")).alias("n_items"),
+        F.count(F.lit(1)).alias("n_items"),
     )
     return rows.select("key").join(best, "key", "left").select(
         "key",
@@ -292,8 +342,7 @@ def drop_contaminated(
     """The rows of `docs`, all columns as they are, that hold no benchmark item."""
     key = text_key(F.col(id_col), F.col(text_col).cast("string"))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    found = benchmark_matches(rows, benchmark, item_col)
-    bad = found.where(F.col("share") >= share).select("key").distinct()
+    bad = benchmark_matches(rows, benchmark, item_col, least=share).select("key").distinct()
     return packed(docs, key=key).join(bad, "key", "left_anti").select("row.*")
 
 

@@ -178,6 +178,27 @@ def test_items_under_five_words(spark):
     assert [g[0] for g in got] == [True, True, False, False]
 
 
+def test_names_of_other_alphabets(spark):
+    item = "Вчера Анна купила 12 яблок по 3 рубля и отдала Борису половину, сколько яблок осталось у Анна?"
+    other = item.replace("Анна", "Ольга").replace("Борису", "Юрию").replace("12", "70")
+    assert [g[0] for g in _shares(spark, [other, item.replace("яблок", "груш")], item)] == [True, False]
+
+
+def test_windows_that_all_items_share(spark):
+    """Documents and items meet on rare windows, so a common opening joins no further pairs."""
+    opening = "what is the number of small round things that are left over when"
+    items = [f"{opening} {prose(300 + k, 12, 5000)}" for k in range(300)]
+    texts = [f"{prose(900 + k, 30, 5000)} {opening} {prose(2000 + k, 30, 5000)}" for k in range(200)]
+    texts += [f"{prose(4000 + k, 30, 5000)} {items[k]} {prose(5000 + k, 30, 5000)}" for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r["key"]["id"]: r for r in contamination(docs, bench).collect()}
+    assert {k for k, r in got.items() if r["contaminated"]} == set(range(200, 220))
+    assert all(got[200 + k]["item"] == k and got[200 + k]["n_items"] == 1 for k in range(20))
+    # a lower threshold lists what shares less
+    less = {r["key"]["id"]: r for r in contamination(docs, bench, share=0.3).collect()}
+    assert all(less[k]["n_items"] == 300 for k in range(200))
+
 def test_matches_are_those_of_all_windows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
