@@ -5,7 +5,8 @@ lines at a place comes from the ranks of its two halves. Ranks are hashes, so ea
 its own and equal runs get equal ranks without a global sort per round; all that deletion needs of
 the array are its intervals of equal prefixes. A run of any length is named by the two ranks, of
 the largest power of two inside it, that cover it from both ends. Places with one name form a
-longest-common-prefix interval; all but the first are later copies.
+longest-common-prefix interval; all but the first are later copies. Ranks are built twice, by hashes
+of two seeds, so 128 bits say that two runs are equal.
 
 A maximal repeated run of `min_words` words or more is exactly the union of its smallest windows of
 at least `min_words` words that begin, or end, at each of its lines. So each line names two windows
@@ -21,34 +22,39 @@ from studyspark.llm.base import packed, query, table, text_key
 from studyspark.operators.lineage import cut
 
 MIN_WORDS = 30
+SEAL = 0x5EA1  # seed of the second hashes
+HOT = 1_000  # a name with more than 1/HOT of all places is hot, so there are fewer than HOT of them
 
 
-def _doubled(ranks: Column, words: Column, step: int) -> tuple[Column, Column]:
-    """Ranks and word sums of runs twice as long; `step` is the length of the given runs."""
+def _doubled(ranks: Column, seals: Column, words: Column, step: int) -> tuple[Column, Column, Column]:
+    """Ranks, seals and word sums of runs twice as long; `step` is the length of the given runs."""
     last = F.size(ranks) - step
     places = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
     return (
         F.transform(places, lambda i: F.xxhash64(F.get(ranks, i), F.get(ranks, i + step))),
+        F.transform(places, lambda i: F.xxhash64(F.lit(SEAL), F.get(seals, i), F.get(seals, i + step))),
         F.transform(places, lambda i: F.get(words, i) + F.get(words, i + step)),
     )
 
 
 def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """(id, th, start, end, name) of the windows of rows (id, th, ranks, words).
+    """(id, th, start, end, name, seal) of the windows of rows (id, th, ranks, seals, words).
 
-    `ranks` and `words` are arrays over the lines of a document: a hash and the number of words.
+    `ranks`, `seals` and `words` are arrays over the lines of a document: two hashes and the number
+    of words.
     """
     longest = rows.agg(F.max(F.size("ranks"))).first()[0] or 0
     levels = max(int(longest) - 1, 0).bit_length()  # 2^levels >= longest
-    df = rows.select("id", "th", F.col("ranks").alias("r0"), F.col("words").alias("s0"))
+    df = rows.select("id", "th", F.col("ranks").alias("r0"), F.col("seals").alias("q0"), F.col("words").alias("s0"))
     for k in range(levels):
-        ranks, words = _doubled(F.col(f"r{k}"), F.col(f"s{k}"), 1 << k)
-        df = df.withColumns({f"r{k + 1}": ranks, f"s{k + 1}": words})
+        ranks, seals, words = _doubled(F.col(f"r{k}"), F.col(f"q{k}"), F.col(f"s{k}"), 1 << k)
+        df = df.withColumns({f"r{k + 1}": ranks, f"q{k + 1}": seals, f"s{k + 1}": words})
     df = df.select(
         "id",
         "th",
         F.size("r0").alias("n"),
         F.array(*[f"r{k}" for k in range(levels + 1)]).alias("r"),
+        F.array(*[f"q{k}" for k in range(levels + 1)]).alias("q"),
         F.array(*[f"s{k}" for k in range(levels + 1)]).alias("s"),
     )
     down = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1 << k).alias("size")) for k in range(levels, -1, -1)])
@@ -97,25 +103,27 @@ def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
     lines = F.sequence(F.lit(0), F.col("n") - 1)
     spans = F.array_distinct(F.concat(F.transform(lines, forward), F.transform(lines, backward)))
     whole = df.where("n > 0").select(
-        "id", "th", "n", "r", F.explode(spans).alias("w")
+        "id", "th", "n", "r", "q", F.explode(spans).alias("w")
     ).where((F.col("w.start") >= 0) & (F.col("w.end") < F.col("n")))
     placed = whole.select(
         "id",
         "th",
         "r",
+        "q",
         F.col("w.start").alias("start"),
         F.col("w.end").alias("end"),
         (F.col("w.end") - F.col("w.start") + 1).alias("length"),
     # the number of binary digits, less one: exact where a logarithm might not be
     ).withColumn("level", F.length(F.bin("length")) - 1)
     tail = F.col("end") + 1 - F.expr("shiftleft(1, level)")
-    ranks = F.get("r", F.col("level"))
+    ranks, seals = F.get("r", F.col("level")), F.get("q", F.col("level"))
     return placed.select(
         "id",
         "th",
         "start",
         "end",
         F.xxhash64(F.get(ranks, F.col("start")), F.get(ranks, tail), F.col("length")).alias("name"),
+        F.xxhash64(F.lit(SEAL), F.get(seals, F.col("start")), F.get(seals, tail)).alias("seal"),
     )
 
 
@@ -123,13 +131,17 @@ def repeated_lines(rows: DataFrame, min_words: int) -> DataFrame:
     """(id, th, lines): the line numbers of each document that lie in a later copy of a run."""
     place = F.struct(F.col("id").isNull().alias("no"), "id", "th", "start")
     runs = cut(line_runs(rows, min_words))
-    intervals = (
-        runs.groupBy("name")
+    both = ["name", "seal"]
+    intervals = cut(
+        runs.groupBy(*both)
         .agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("first"))
         .where(F.col("places") > 1)
-        .select("name", "first")
     )
-    later = runs.join(intervals, "name").where(place != F.col("first"))
+    # a run that stands in very many documents is sent to its places, not its places to one task
+    is_hot = F.col("places") * HOT > runs.count()
+    hot, rest = intervals.where(is_hot), intervals.where(~is_hot)
+    named = runs.join(F.broadcast(hot.select(*both)), both, "left_anti").join(rest, both)
+    later = runs.join(F.broadcast(hot), both).unionByName(named).where(place != F.col("first"))
     return (
         later.select("id", "th", F.explode(F.sequence("start", "end")).alias("line"))
         .groupBy("id", "th")
@@ -156,6 +168,7 @@ def drop_repeated_lines(
             F.col(id_col).alias("id"),
             F.xxhash64(text).alias("th"),
             F.transform(lines, lambda x: F.xxhash64(x)).alias("ranks"),
+            F.transform(lines, lambda x: F.xxhash64(F.lit(SEAL), x)).alias("seals"),
             F.transform(
                 lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
             ).alias("words"),

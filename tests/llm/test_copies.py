@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from studyspark.llm import neardup
+from studyspark.llm import linededup, neardup
 from studyspark.llm.components import components
 from studyspark.llm.decontam import contamination, drop_contaminated
 from studyspark.llm.linededup import drop_repeated_lines
@@ -108,6 +108,29 @@ def test_line_edges(spark, edge, empty):
     assert drop_repeated_lines(empty).count() == 0
 
 
+def test_runs_of_every_document(spark, monkeypatch):
+    """Hot and other names give the same deletions, whatever counts as hot."""
+    shared = "\n".join(prose(70 + k, 20) for k in range(3))
+    texts = [f"{prose(k, 12)}\n{shared}\n{prose(1000 + k // 2, 40)}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for hot in (1, 20, 10**9):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        got[hot] = sorted((r["row"]["doc_id"], r["text"]) for r in drop_repeated_lines(df).collect())
+    assert got[1] == got[20] == got[10**9]
+    want = [t if k == 0 else "\n".join(x for j, x in enumerate(t.split("\n")) if not 0 < j < (5 if k % 2 else 4)) for k, t in enumerate(texts)]
+    assert got[20] == list(enumerate(want))
+
+
+def test_equal_hashes_are_not_equal_runs(spark):
+    """Places whose first hashes agree and second ones don't are different runs."""
+    rows = spark.createDataFrame(
+        [(1, 1, [5], [7], [40]), (2, 2, [5], [8], [40]), (3, 3, [5], [7], [40])],
+        "id bigint, th bigint, ranks array<bigint>, seals array<bigint>, words array<bigint>",
+    )
+    assert [(r["id"], r["lines"]) for r in linededup.repeated_lines(rows, 30).collect()] == [(3, [0])]
+
+
 ITEM = (
     "Last week Anna bought 12 kg of apples at 3 dollars each and gave Bert half of them, so how many "
     "apples does Anna still have after 5 days if Bert eats 2 of them every single day?"
