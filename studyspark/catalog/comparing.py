@@ -177,6 +177,19 @@ def within_subject(spark, folder):
     )
 
 
+CENTS = "abs(CAST(round(va * 100) AS BIGINT) - CAST(round(vb * 100) AS BIGINT)) AS v"
+
+
+@query(
+    PAIRS.replace("a.user_id AS e", "a.user_id % 7 AS e").replace("a.user_id = b.user_id", "a.user_id % 7 = b.user_id % 7")
+    + SIGNED.replace("abs(va - vb) AS v", CENTS)
+)
+def within_subject_grid(spark, folder):
+    """Few entities with very many pairs each: decimal differences from convolved histograms."""
+    e = table(spark, folder, "events").withColumn("cohort", F.col("user_id") % 7)
+    return paired.within_subject(e, ["value"], "cohort", "event_type", "click", "view", decimals=2)
+
+
 @query(PAIRS_MEAN + SIGNED)
 def within_subject_means(spark, folder):
     return paired.within_subject(
@@ -190,8 +203,6 @@ def within_subject_means(spark, folder):
     )
 
 
-
-
 @query(
     PAIRS
     + """, g AS (SELECT count(*) AS n, avg(va - vb) AS md, stddev_samp(va - vb) AS sd FROM pr),

@@ -3,8 +3,10 @@
 Pairs are all rows of condition A with all rows of condition B of the same entity. Pair counts,
 means, variances and the paired t statistic follow from per-entity moments, so they need no pairs
 at all. Signed ranks do need pair differences: they are built from distinct values, whatever their
-number, so the test never depends on the size of the table. Callers who want a cost that is linear
-in the rows choose `pairing='mean'`.
+number, so the test never depends on the size of the table. Where values lie on a grid, the
+differences of an entity with many distinct values are one exact convolution of its two histograms,
+so their cost follows the span of the values and not the number of pairs. Callers who want a cost
+that is linear in the rows choose `pairing='mean'`.
 """
 
 from __future__ import annotations
@@ -14,19 +16,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions.coerce import numeric_of
 from studyspark.functions.tails import normal_two_sided, student_two_sided
 from studyspark.operators.compare import _by_feature, pooled_d
 from studyspark.operators.keyed import profile_keys
+from studyspark.operators.lineage import cut
 from studyspark.operators.order import bucket_depth, even_bucket, average_ranks, long_values
 
 MIN_PAIRS = 5
 EXACT_PAIRS = 50
 # A hot entity is dealt over a grid: side A to a row of it, side B to a column.
 GRID = 8
+# Steps of 1, 1/16 and 1/256: differences of such doubles are exact, so any way to build them agrees.
+BINARY_SCALES = (1.0, 16.0, 256.0)
+# An entity is convolved only if its values span at most so many steps (a task holds about 200 MB
+# for that); wider ones are joined.
+GRID_CELLS = 2**20
 
 
 def _sides(df: DataFrame, entity: str, condition: str, a, b) -> DataFrame:
@@ -116,15 +124,19 @@ def _pair_moments(moments: DataFrame, centers: dict[str, float]) -> DataFrame:
 
 @dataclass(frozen=True)
 class PairProfile:
-    """Per feature: row pairs, value range and mean of both sides."""
+    """Per feature: row pairs, value range and mean of both sides, steps a unit (grid values only)."""
 
     pairs: dict[str, float]
     ranges: dict[str, float]
     centers: dict[str, float]
+    scales: dict[str, float]
 
 
-def profile_pairs(sides: DataFrame, features: Sequence[str], entity: str) -> PairProfile:
+def profile_pairs(
+    sides: DataFrame, features: Sequence[str], entity: str, decimals: int | None = None
+) -> PairProfile:
     """One pass: per-entity counts fold to the exact number of pairs."""
+    scales = BINARY_SCALES if decimals is None else (10.0**decimals,)
     aggs, out = [], []
     for i, c in enumerate(features):
         x = numeric_of(sides, c)
@@ -134,20 +146,33 @@ def profile_pairs(sides: DataFrame, features: Sequence[str], entity: str) -> Pai
             F.min(x).alias(f"l{i}"),
             F.max(x).alias(f"h{i}"),
             F.sum(x).alias(f"s{i}"),
+            F.max(_grid_level(x, scales)).alias(f"g{i}"),
         ]
         out += [
             F.sum(F.col(f"a{i}") * F.col(f"b{i}")).alias(f"p{i}"),
             F.min(f"l{i}").alias(f"l{i}"),
             F.max(f"h{i}").alias(f"h{i}"),
+            F.max(f"g{i}").alias(f"g{i}"),
             (F.sum(f"s{i}") / F.sum(F.col(f"a{i}") + F.col(f"b{i}"))).alias(f"m{i}"),
         ]
     got = sides.groupBy(entity).agg(*aggs).agg(*out).first()
-    pairs, ranges, centers = {}, {}, {}
+    pairs, ranges, centers, steps = {}, {}, {}, {}
     for i, c in enumerate(features):
         pairs[c] = got[f"p{i}"] or 0.0
         ranges[c] = (got[f"h{i}"] or 0.0) - (got[f"l{i}"] or 0.0)
         centers[c] = got[f"m{i}"] or 0.0
-    return PairProfile(pairs, ranges, centers)
+        level = got[f"g{i}"]
+        if level is not None and level < len(scales):
+            steps[c] = scales[level]
+    return PairProfile(pairs, ranges, centers, steps)
+
+
+def _grid_level(x: Column, scales: Sequence[float]) -> Column:
+    """Place of the first scale on whose grid `x` lies; the number of scales if there is none."""
+    out = F.when(F.lit(False), F.lit(0))
+    for i, s in enumerate(scales):
+        out = out.when(F.rint(x * s) / s == x, F.lit(i))
+    return F.when(x.isNotNull(), out.otherwise(F.lit(len(scales))))
 
 
 def _exact_w():
@@ -171,12 +196,83 @@ def _exact_w():
     return step
 
 
+def _convolved():
+    """Differences of one entity and feature: its histograms, one of them reversed, convolved.
+
+    Counts are cut into parts of eight bits. A sum of products of such parts over 2^20 cells stays
+    below 2^40, where a transform in doubles errs by less than 0.01; so each rounds to the exact
+    whole number, and 64-bit integers hold the total, which is at most the number of pairs.
+    A nested function travels to the workers by value.
+    """
+    bits = 8
+
+    def spectra(counts: np.ndarray, size: int) -> list[np.ndarray]:
+        out = []
+        while counts.any():
+            out.append(np.fft.rfft((counts & ((1 << bits) - 1)).astype(float), size))
+            counts = counts >> bits
+        return out
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["value"].to_numpy()
+        at = np.rint(at - at.min()).astype(np.int64)
+        in_a, c = pdf["_in_a"].to_numpy(dtype=bool), pdf["c"].to_numpy(dtype=np.int64)
+        span = int(at.max()) + 1
+        a, b = np.zeros(span, np.int64), np.zeros(span, np.int64)
+        a[at[in_a]], b[span - 1 - at[~in_a]] = c[in_a], c[~in_a]
+        size = 1 << (2 * span - 1).bit_length()
+        fa, fb = spectra(a, size), spectra(b, size)
+        ways = np.zeros(2 * span - 1, np.int64)
+        for k in range(len(fa) + len(fb) - 1):
+            part = sum(fa[i] * fb[k - i] for i in range(len(fa)) if 0 <= k - i < len(fb))
+            ways += np.rint(np.fft.irfft(part, size)[: 2 * span - 1]).astype(np.int64) << (bits * k)
+        found = np.flatnonzero(ways)
+        d = found - (span - 1)
+        return pd.DataFrame(
+            {"feature": pdf["feature"].iloc[0], "value": np.abs(d).astype(float), "positive": d > 0, "w": ways[found]}
+        )
+
+    return step
+
+
+def _dense(sides: DataFrame, on_grid: Sequence[str]) -> DataFrame:
+    """(entity, feature) whose pairs of distinct values outnumber the differences they can have."""
+    a, b = F.col("_in_a"), ~F.col("_in_a")
+    per = sides.where(F.col("feature").isin(list(on_grid))).groupBy("entity", "feature").agg(
+        F.count_if(a).cast("double").alias("va"),
+        F.count_if(b).cast("double").alias("vb"),
+        F.sum(F.when(a, F.col("c"))).cast("double").alias("na"),
+        F.sum(F.when(b, F.col("c"))).cast("double").alias("nb"),
+        (F.max("value") - F.min("value") + 1).alias("span"),
+    )
+    # the number of pairs has to fit in 64 bits
+    return per.where(f"va * vb > 2 * span AND span <= {GRID_CELLS} AND na * nb < 9e18").select("entity", "feature")
+
+
 def _differences(
-    df: DataFrame, features: Sequence[str], entity: str, ranges: dict[str, float]
+    df: DataFrame, features: Sequence[str], entity: str, ranges: dict[str, float], scales: dict[str, float]
 ) -> DataFrame:
-    """(feature, value = |a - b|, positive, w, _bucket) from distinct values of each side."""
+    """(feature, value = |a - b|, positive, w, _bucket) from distinct values of each side.
+
+    Values of features in `scales` are counted in steps of their grid, which keeps order and ties.
+    """
     long = long_values(df, features, [entity, "_in_a"]).withColumnRenamed(entity, "entity")
+    for name, scale in scales.items():
+        unit = F.rint(F.col("value") * scale)
+        long = long.withColumn("value", F.when(F.col("feature") == name, unit).otherwise(F.col("value")))
+    ranges = {name: width * scales.get(name, 1.0) for name, width in ranges.items()}
     sides = long.groupBy("entity", "feature", "_in_a", "value").agg(F.count("*").alias("c"))
+    folded = None
+    if scales:
+        sides = cut(sides)
+        dense = _dense(sides, list(scales))
+        shape = "feature string, value double, positive boolean, w bigint"
+        folded = (
+            sides.join(dense, ["entity", "feature"], "left_semi")
+            .groupBy("entity", "feature")
+            .applyInPandas(_convolved(), shape)
+        )
+        sides = sides.join(dense, ["entity", "feature"], "left_anti")
     hot = list(profile_keys(df, [entity], hot_min_rows=10_000).hot)
     left = sides.where("_in_a").select("entity", "feature", "value", "c")
     right = sides.where("not _in_a").select(
@@ -208,6 +304,8 @@ def _differences(
     pairs = left.join(right, same).select(
         "feature", F.abs(d).alias("value"), (d > 0).alias("positive"), (F.col("c") * F.col("_c")).alias("w")
     )
+    if folded is not None:
+        pairs = pairs.unionByName(folded)
     bucket = F.when(F.lit(False), F.lit(0))
     for name, width in ranges.items():
         bucket = bucket.when(F.col("feature") == name, even_bucket(F.col("value"), 0.0, width, depth))
@@ -252,23 +350,28 @@ def within_subject(
     a,
     b,
     pairing: str = "all",
+    decimals: int | None = None,
 ) -> DataFrame:
     """One row per feature with at least five pairs.
 
     `pairing='all'` pairs every row of A with every row of B per entity; `'mean'` first averages
     each condition within the entity. A feature whose differences are all zero has no signed ranks
     and gets the paired t row.
+
+    With `decimals`, features whose values have at most so many decimals are ranked by their decimal
+    differences: 0.3 - 0.1 and 0.5 - 0.3 are ties, as they are not in doubles. Without it, doubles
+    are subtracted as they are.
     """
     features = [c for c in features if c in df.columns]
     sides = _sides(df, entity, condition, a, b)
-    seen = profile_pairs(sides, features, entity)
+    seen = profile_pairs(sides, features, entity, decimals)
     moments = _entity_moments(sides, features, entity)
     if pairing == "mean":
         moments = _collapse(moments)
         diffs = _mean_differences(moments, seen.ranges, bucket_depth(df))
         small = features
     else:
-        diffs = _differences(sides, features, entity, seen.ranges) if features else None
+        diffs = _differences(sides, features, entity, seen.ranges, seen.scales) if features else None
         small = [c for c in features if seen.pairs[c] <= EXACT_PAIRS]
     out = _pair_moments(moments, seen.centers).where(F.col("pairs") >= MIN_PAIRS)
     if diffs is not None:

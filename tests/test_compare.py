@@ -153,6 +153,80 @@ def test_hot_entity_is_spread(spark, monkeypatch):
     assert paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b").first() == plain
 
 
+def ranked(differences):
+    """Signed rank sums of pair differences, plainly."""
+    d = pd.Series(differences)
+    d = d[d != 0]
+    rank = d.abs().rank()
+    return min(rank[d > 0].sum(), rank[d < 0].sum()), len(d)
+
+
+def folds(monkeypatch):
+    """How many (entity, feature) groups were convolved."""
+    seen = []
+    dense = paired._dense
+
+    def watched(*args):
+        out = dense(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(paired, "_dense", watched)
+    return seen
+
+
+def test_convolved_differences_are_exact(spark, monkeypatch):
+    """Whole numbers, one hot entity, repeated values, negative ones, and an entity of one side only."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", "a" if rng.random() < 0.5 else "b", float(rng.integers(-20, 20))) for _ in range(300)]
+    rows += [(f"e{i}", c, float(rng.integers(0, 4))) for i in range(5) for c in "ab"]
+    rows += [("one", "a", 3.0), (None, "b", 2.0), ("hot", "a", None)]
+    seen = folds(monkeypatch)
+    r = paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b").first()
+    ps = brute(rows)
+    w, _ = ranked([x - y for _, x, y in ps])
+    assert seen == [1] and (r["n_pairs"], r["statistic"]) == (len(ps), pytest.approx(w, abs=1e-3))
+    monkeypatch.setattr(paired, "GRID_CELLS", 0)
+    assert paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b").first() == r
+    assert seen == [1, 0]
+
+
+def test_decimal_ties(spark, monkeypatch):
+    """With decimals, equal decimal differences are ties on either way; values off the grid are joined as they are."""
+    rows = many(9)
+    seen = folds(monkeypatch)
+    exact = [round(10 * x) - round(10 * y) for _, x, y in brute(rows)]
+    r = paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b", decimals=1).first()
+    assert r["statistic"] == pytest.approx(ranked(exact)[0], abs=1e-3)
+    monkeypatch.setattr(paired, "GRID_CELLS", 0)
+    assert paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b", decimals=1).first() == r
+    plain = paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b").first()
+    off = paired.within_subject(pairs_frame(spark, rows), ["x"], "e", "c", "a", "b", decimals=0).first()
+    assert len(seen) == 2 and off == plain
+
+
+def test_large_counts_convolve_exactly():
+    """Counts near 2^31 on both sides: totals near 2^62, each exact."""
+    rng = np.random.default_rng(11)
+    n = 50
+    frame = pd.DataFrame(
+        {
+            "feature": "x",
+            "value": np.tile(np.arange(n, dtype=float), 2),
+            "_in_a": np.repeat([True, False], n),
+            "c": rng.integers(2**24, 2**25, 2 * n),
+        }
+    )
+    got = paired._convolved()(frame)
+    a, b = frame["c"][:n].tolist(), frame["c"][n:].tolist()
+    want = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            want[i - j] = want.get(i - j, 0) + x * y
+    signed = np.where(got["positive"], got["value"], -got["value"]).astype(int)
+    assert dict(zip(signed.tolist(), got["w"].tolist())) == want
+
+
 def test_exact_signed_ranks(spark):
     a, b = [1.0, 2.5, 3.1, 4.7, 6.0, 9.9], [1.5, 2.2, 5.0, 3.0, 2.0, 3.0]
     rows = [(f"e{i}", c, v) for i, (x, y) in enumerate(zip(a, b)) for c, v in (("a", x), ("b", y))]
