@@ -32,8 +32,8 @@ EXACT_PAIRS = 50
 GRID = 8
 # Steps of 1, 1/16 and 1/256: differences of such doubles are exact, so any way to build them agrees.
 BINARY_SCALES = (1.0, 16.0, 256.0)
-# An entity is convolved only if its values span at most so many steps (a task holds about 200 MB
-# for that); wider ones are joined.
+# An entity is convolved only if its values span at most so many steps (measured: a task holds up to
+# 400 MB for that, input included); wider ones are joined.
 GRID_CELLS = 2**20
 
 

@@ -227,6 +227,20 @@ def test_large_counts_convolve_exactly():
     assert dict(zip(signed.tolist(), got["w"].tolist())) == want
 
 
+def test_widest_span_convolves_exactly():
+    """As many steps as are convolved, hot cells at both ends: the pairs of some distances, and all of them."""
+    n, rng = paired.GRID_CELLS, np.random.default_rng(1)
+    a, b = rng.integers(1, 2**10, n), rng.integers(1, 2**10, n)
+    a[0], b[-1] = 2**31, 2**30
+    value, in_a = np.tile(np.arange(n, dtype=float), 2), np.repeat([True, False], n)
+    got = paired._convolved()(pd.DataFrame({"feature": "x", "value": value, "_in_a": in_a, "c": np.concatenate([a, b])}))
+    assert int(got["w"].sum()) == int(a.sum()) * int(b.sum())
+    signed = np.where(got["positive"], got["value"], -got["value"]).astype(int)
+    for d in (0, 1, -1, 500_000, n - 1, 1 - n):
+        want = int((a[d:] * b[: n - d]).sum()) if d >= 0 else int((a[: n + d] * b[-d:]).sum())
+        assert got["w"][signed == d].tolist() == [want]
+
+
 def test_exact_signed_ranks(spark):
     a, b = [1.0, 2.5, 3.1, 4.7, 6.0, 9.9], [1.5, 2.2, 5.0, 3.0, 2.0, 3.0]
     rows = [(f"e{i}", c, v) for i, (x, y) in enumerate(zip(a, b)) for c, v in (("a", x), ("b", y))]
